@@ -18,10 +18,11 @@ from millrace.operators.longform import SLOT, field, melt, named, non_null
 from millrace.operators.names import bare
 
 _LONGS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_TIMES = (T.TimestampType, T.TimestampNTZType)
 
 
 def _family(dtype: T.DataType) -> str:
-    if isinstance(dtype, (*_LONGS, T.BooleanType, T.DateType, T.TimestampType)):
+    if isinstance(dtype, (*_LONGS, T.BooleanType, T.DateType, *_TIMES)):
         return "long"
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return "double"
@@ -31,22 +32,22 @@ def _family(dtype: T.DataType) -> str:
 def _key(df: DataFrame, name: str) -> Column:
     """The value in its family's type."""
     dtype, col = field(df, name).dataType, non_null(df, name)
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(col)
+    if isinstance(dtype, _TIMES):
+        return F.unix_micros(col.cast("timestamp"))
     if isinstance(dtype, T.DateType):
         return F.unix_date(col).cast("long")
     if isinstance(dtype, T.BooleanType):
         return col.cast("int").cast("long")
     family = _family(dtype)
     if family == "text":
-        simple = isinstance(dtype, (T.StringType, T.DecimalType, T.TimestampNTZType))
+        simple = isinstance(dtype, (T.StringType, T.DecimalType))
         return col.cast("string") if simple else F.to_json(F.struct(col.alias("v")))
     return col.cast(family)
 
 
 def _shown(dtype: T.DataType, key: Column) -> Column:
     """A key back as readable text."""
-    if isinstance(dtype, T.TimestampType):
+    if isinstance(dtype, _TIMES):
         return F.timestamp_micros(key).cast("string")
     if isinstance(dtype, T.DateType):
         return F.date_from_unix_date(key.cast("int")).cast("string")
