@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements whose content is not text of the page.
 SILENT_ELEMENTS = ("script", "style", "template", "rt", "rp")
@@ -29,13 +30,10 @@ _DECLARATION = r"<![^>]*>|<\?[^>]*>"
 _COMMENT = r"(?s)<!--.*?-->"
 
 
-def _unescape_batch(values: pd.Series) -> pd.Series:
+def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-_unescape = F.pandas_udf(_unescape_batch, "string")
-
-
 def strip_markup(col: Column) -> Column:
     """Drop comments, silent elements, declarations and tags; keep all other text as it is."""
     out = F.regexp_replace(col, _COMMENT, "")
@@ -63,4 +61,5 @@ def html_to_text(col: Column, all_entities: bool = True) -> Column:
         return plain
     known = "|".join(e[1:-1] for e, _ in COMMON_ENTITIES)
     rare = text.rlike(rf"&(?!(?:{known});)#?[A-Za-z0-9]")
-    return F.coalesce(_unescape(F.when(rare, text)), plain)
+    full = F.pandas_udf(_unescape, T.StringType())
+    return F.coalesce(full(F.when(rare, text)), plain)

@@ -314,7 +314,7 @@ def cleaning_report(df: DataFrame) -> DataFrame:
     """``(column_name, type, n_rows, n_null, duplicate_rows)``: the state after cleaning."""
     rows = null_summary(df)
     dup = frequency.duplicate_count(df).first()["duplicate_rows"]
-    return rows.withColumn("duplicate_rows", F.lit(dup))
+    return rows.withColumn("duplicate_rows", F.lit(dup).cast("bigint"))
 
 
 def analyze(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:

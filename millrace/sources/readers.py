@@ -75,7 +75,7 @@ def read_avro(spark: SparkSession, path: str, **opts) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str, whole: bool = True, **opts) -> DataFrame:
-    """``(path, text)``, one row per file or per line.  Also the way gzip text is read."""
+    """``(path, text)``, one row per file or per line."""
     return spark.read.options(**opts).text(path, wholetext=whole).select(
         F.input_file_name().alias("path"), F.col("value").alias("text")
     )
@@ -89,10 +89,16 @@ def read_html(spark: SparkSession, path: str, **opts) -> DataFrame:
 
 
 def read_gzip(spark: SparkSession, path: str, **opts) -> DataFrame:
-    """Compressed text.  ``x.csv.gz`` and the like are read by their inner format."""
+    """Compressed text, one row per file or (``whole=False``) per line.
+
+    ``x.csv.gz`` and the like are read by their inner format.
+    """
     inner = os.path.splitext(path[: -len(".gz")])[1].lower() if path.endswith(".gz") else ""
-    reader = _GZIP_INNER.get(inner, read_text)
-    return reader(spark, path, **opts)
+    if inner in _GZIP_INNER:
+        return _GZIP_INNER[inner](spark, path, **opts)
+    if opts.pop("whole", True):
+        return files.read_gzip_text(spark, path)
+    return read_text(spark, path, whole=False, **opts)
 
 
 _GZIP_INNER: dict[str, Reader] = {
@@ -101,7 +107,6 @@ _GZIP_INNER: dict[str, Reader] = {
     ".json": read_json,
     ".jsonl": read_json_lines,
     ".xml": read_xml,
-    ".html": read_html,
 }
 
 READERS: dict[str, Reader] = {

@@ -1,8 +1,14 @@
 """Registered queries and their SQL counterparts, by topic."""
 
-from queries import cleaning, models, profiling, sqlsurface
+import sys
 
-TOPICS = (cleaning, profiling, sqlsurface, models)
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # before the topics' helpers are used
+
+from queries import cleaning, files, models, profiling, sqlsurface  # noqa: E402
+
+TOPICS = (cleaning, profiling, sqlsurface, models, files)
 
 
 def all_queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from millrace.operators import catalog, sqlq
@@ -51,7 +53,7 @@ from lineitem group by l_suppkey having count(distinct l_partkey) > 10""",
     "sql_window_rank": """
 select o_custkey, o_orderkey, rk, prev_price, next_price, running from (
   select o_custkey, o_orderkey,
-    row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rk,
+    cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as bigint) as rk,
     lag(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey) as prev_price,
     lead(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey) as next_price,
     round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey
@@ -59,7 +61,8 @@ select o_custkey, o_orderkey, rk, prev_price, next_price, running from (
   from orders) t
 where rk <= 3""",
     "sql_window_turns": """
-select conv_id, turn, role, dense_rank() over (partition by conv_id order by role) as role_rank,
+select conv_id, turn, role,
+  cast(dense_rank() over (partition by conv_id order by role) as bigint) as role_rank,
   count(*) over (partition by conv_id) as n_turns
 from conversations""",
     "sql_topk": """
@@ -85,7 +88,7 @@ where o_totalprice = (select max(i.o_totalprice) from orders i where i.o_custkey
 
 def _runner(sql: str):
     def run(spark, d):
-        register(spark, d)
+        register(spark, d, [t for t in TABLES if re.search(rf"\b{t}\b", sql)])
         return sqlq.run_select(spark, f"```sql\n{sql.strip()};\n```")
 
     return run
