@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import email
 import email.policy
-import gzip
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -84,22 +83,6 @@ def _text(data: bytes) -> str:
     return data.decode("utf-8", errors="ignore")
 
 
-def read_gzip_text(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, text)``, one row per compressed file (Spark's whole-text mode does not inflate)."""
-    arrow = pa.schema([("path", pa.string()), ("text", pa.string())])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                with _open(uri) as handle, gzip.open(handle) as plain:
-                    yield uri, _text(plain.read())
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _packed(rows(batches), arrow)
-
-    return list_files(spark, path).mapInArrow(load, "path string, text string")
-
-
 def _zip_members(handle) -> Iterator[tuple[str, bytes]]:
     with zipfile.ZipFile(handle) as archive:
         for info in archive.infolist():

@@ -94,11 +94,7 @@ def read_gzip(spark: SparkSession, path: str, **opts) -> DataFrame:
     ``x.csv.gz`` and the like are read by their inner format.
     """
     inner = os.path.splitext(path[: -len(".gz")])[1].lower() if path.endswith(".gz") else ""
-    if inner in _GZIP_INNER:
-        return _GZIP_INNER[inner](spark, path, **opts)
-    if opts.pop("whole", True):
-        return files.read_gzip_text(spark, path)
-    return read_text(spark, path, whole=False, **opts)
+    return _GZIP_INNER.get(inner, read_text)(spark, path, **opts)
 
 
 _GZIP_INNER: dict[str, Reader] = {

@@ -25,7 +25,7 @@ def _store(folder: str, name: str, data: bytes) -> None:
 
     system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
-    with system.open_output_stream(f"{base}/{name}") as out:
+    with system.open_output_stream(f"{base}/{name}", compression=None) as out:
         out.write(data)
 
 
