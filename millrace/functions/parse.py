@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import strip_space
+from millrace.functions.text import contains_any, strip_space
 
 # Fixed values.
 TRUE_TEXTS = ("true", "yes", "y", "1", "t")
@@ -41,7 +41,7 @@ def to_fraction(col: Column) -> Column:
 
 
 def has_currency(col: Column, symbols: str = CURRENCY_SYMBOLS) -> Column:
-    return col.rlike(f"[{re.escape(symbols)}]")
+    return contains_any(col, symbols)
 
 
 def to_amount(col: Column, symbols: str = CURRENCY_SYMBOLS) -> Column:
@@ -124,7 +124,7 @@ def date_candidate(col: Column) -> Column:
 
 
 def has_date_mark(col: Column) -> Column:
-    return col.rlike(r"[-/:.]")
+    return contains_any(col, "-/:.")
 
 
 def format_named(pattern: str) -> TimeFormat:

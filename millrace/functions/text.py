@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ NULL_TEXTS = ("", "na", "n/a", "null", "nan", "-", "--", "none", "Nil", "NIL", "
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _INVISIBLE = r"[\u200B-\u200D\uFEFF]"
+_INVISIBLE_CHARS = ("\u200b", "\u200c", "\u200d", "\ufeff")
 
 
 def strip_space(col: Column) -> Column:
@@ -21,9 +23,19 @@ def strip_space(col: Column) -> Column:
     return F.regexp_replace(col, _EDGE_SPACE, "")
 
 
+def contains_any(col: Column, parts: Iterable[str]) -> Column:
+    """True where one of the literal texts occurs.
+
+    Byte searches need no decoding of the value, which is most of what a regex test costs.
+    """
+    tests = [col.contains(p) for p in parts]
+    return reduce(Column.__or__, tests) if tests else F.lit(False)
+
+
 def drop_invisible(col: Column) -> Column:
-    """Remove zero-width characters and byte-order marks."""
-    return F.regexp_replace(col, _INVISIBLE, "")
+    """Remove zero-width characters and byte-order marks, where there are any."""
+    found = contains_any(col, _INVISIBLE_CHARS)
+    return F.when(found, F.regexp_replace(col, _INVISIBLE, "")).otherwise(col)
 
 
 def collapse_space(col: Column) -> Column:

@@ -104,19 +104,48 @@ class CleaningPlan:
         ]
         return [(n, lambda df, plan, f=f: f(plan, df)) for n, f in own] + self.steps
 
-    def transform(self, df: DataFrame, until: str | None = None, skip: tuple[str, ...] = ()):
-        """Apply the plan lazily.  ``until`` stops before that step (fitting uses it).
-
-        Rows are counted while they pass the points in ``OBSERVED``, for any query listener.
+    def transform(
+        self,
+        df: DataFrame,
+        start: str | None = None,
+        until: str | None = None,
+        skip: tuple[str, ...] = (),
+        trace: list[dict] | None = None,
+    ) -> DataFrame:
+        """Apply the plan lazily, by default all of it.
+
+        ``start`` and ``until`` bound the steps (fitting works its way through them); ``trace``
+        receives one report row per step.  Rows are counted while they pass the points in
+        ``OBSERVED``, for any query listener.
         """
         run = uuid.uuid4().hex[:8]
+        begun, rows_now = start is None, self.rows_in
         for name, step in self.registered():
+            begun = begun or name == start
             if name == until:
                 break
-            if name not in self.skipped and name not in skip:
+            if not begun or name in skip:
+                continue
+            before = len(df.columns) if trace is not None else 0
+            rows_before = rows_now
+            if name not in self.skipped:
                 df = step(df, self)
                 if name in OBSERVED:
                     df = df.observe(f"{name}-{run}", F.count(F.lit(1)).alias("rows"))
+                if name == "drop_empty_rows":
+                    rows_now = self.rows_filled
+                if name == "dedupe_rows" and self.config.dedupe:
+                    rows_now = None  # only known once the result has been computed
+            if trace is not None:
+                row = {
+                    "rows_before": rows_before,
+                    "cols_before": before,
+                    "rows_after": rows_now,
+                    "cols_after": len(df.columns),
+                    "skipped": name in self.skipped,
+                    "reason": self.skipped.get(name),
+                }
+                trace += [{"step": covered, **row} for covered in COVERED.get(name, (name,))]
         return df
 
     def _names(self, df: DataFrame) -> DataFrame:
@@ -264,43 +293,18 @@ class CleaningPlan:
 
     # ---- what was done ----
 
-    def trace(self, df: DataFrame) -> list[dict]:
-        """Per step: row and column counts.  Builds plans only, runs nothing.
-
-        The rows left by de-duplication are only known once the result has been computed; see
-        ``observed``.
-        """
-        out, count, known = [], self.rows_in, True
-        for name, step in self.registered():
-            before = len(df.columns)
-            row = {"step": name, "rows_before": count if known else None, "cols_before": before}
-            reason = self.skipped.get(name)
-            if reason is None:
-                df = step(df, self)
-            if name == "drop_empty_rows":
-                count = self.rows_filled
-            if name == "dedupe_rows" and self.config.dedupe:
-                known = False
-            row |= {
-                "rows_after": count if known else None,
-                "cols_after": len(df.columns),
-                "skipped": reason is not None,
-                "reason": reason,
-            }
-            out += [row | {"step": covered} for covered in COVERED.get(name, (name,))]
-        return out
-
-    def report(self, df: DataFrame, rows_out: int | None = None) -> DataFrame:
-        """The trace as a frame; ``rows_out`` fills in the rows left by de-duplication."""
-        trace = self.trace(df.sparkSession.createDataFrame([], df.schema))
-        for row in trace:
-            for side in ("rows_before", "rows_after"):
-                if row[side] is None:
-                    row[side] = rows_out
-        order = [f.strip().split(" ")[0] for f in REPORT_SCHEMA.split(",")]
-        return df.sparkSession.createDataFrame(
-            [tuple(r[k] for k in order) for r in trace], REPORT_SCHEMA
-        )
+    def report(
+        self, spark: SparkSession, trace: list[dict], rows_out: int | None = None
+    ) -> DataFrame:
+        """A trace as a frame; ``rows_out`` fills in the rows left by de-duplication."""
+        order = [part.split()[0] for part in REPORT_SCHEMA.split(",")]
+        rows_ = [
+            tuple(
+                rows_out if k.startswith("rows_") and row[k] is None else row[k] for k in order
+            )
+            for row in trace
+        ]
+        return spark.createDataFrame(rows_, REPORT_SCHEMA)
 
     # ---- storage ----
 

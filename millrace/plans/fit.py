@@ -54,10 +54,10 @@ def fit(
     )
     plan.skipped["set_category_dtype"] = NO_CATEGORY_TYPE
     found = _fit_columns(plan, df)
-    _fit_new_columns(plan, df, found)
-    _fit_numbers(plan, df)
-    _fit_text(plan, df)
-    _fit_levels(plan, df)
+    stage = _fit_new_columns(plan, df, found)
+    _fit_numbers(plan, stage)
+    _fit_text(plan, stage)
+    _fit_levels(plan, stage)
     return plan
 
 
@@ -69,16 +69,21 @@ def clean(
     """``(cleaned, report)``: fit, then transform the same table."""
     plan = fit(df, config, steps)
     _try_user_steps(plan, df)
-    return plan.transform(df), plan.report(df)
+    trace: list[dict] = []
+    cleaned = plan.transform(df, trace=trace)
+    return cleaned, plan.report(df.sparkSession, trace)
 
 
 def _try_user_steps(plan: CleaningPlan, df: DataFrame) -> None:
     """A user step that cannot be planned is skipped and reported, as a failing step always was."""
-    out = plan.transform(df, until=plan.steps[0][0] if plan.steps else None)
+    if not plan.steps:
+        return
+    out = plan.transform(df, until=plan.steps[0][0])
     for name, step in plan.steps:
         try:
-            out = step(out, plan)
-            out.columns  # noqa: B018 - forces analysis
+            done = step(out, plan)
+            done.columns  # noqa: B018 - forces analysis
+            out = done
         except Exception as error:  # noqa: BLE001 - any failure of foreign code
             plan.skipped[name] = str(error).splitlines()[0]
 
@@ -135,8 +140,13 @@ def _constant(df: DataFrame, found: dict[str, looks.Look]) -> list[str]:
     return [c for c in found if c in out]
 
 
-def _fit_new_columns(plan: CleaningPlan, df: DataFrame, found: dict[str, looks.Look]) -> None:
-    """JSON fields, compound parts and number companions, in step order."""
+def _fit_new_columns(
+    plan: CleaningPlan, df: DataFrame, found: dict[str, looks.Look]
+) -> DataFrame:
+    """JSON fields, compound parts and number companions, in step order.
+
+    Returns the frame before the numeric steps.
+    """
     cfg = plan.config
     changed = {c for c in cfg.categorical_synonyms if c in plan.kept}
     stage = plan.transform(df, until="json_column_expansion")
@@ -150,7 +160,7 @@ def _fit_new_columns(plan: CleaningPlan, df: DataFrame, found: dict[str, looks.L
                 leaf["name"] = name
             plan.json_fields[c] = leaves
 
-    stage = plan.transform(df, until="split_compound_columns")
+    stage = plan.transform(stage, "json_column_expansion", "split_compound_columns")
     texts = text_columns(stage)
     fresh = [c for c in texts if c not in found or c in changed]
     found = found | looks.look_at_shapes(stage, fresh, cfg)
@@ -159,7 +169,7 @@ def _fit_new_columns(plan: CleaningPlan, df: DataFrame, found: dict[str, looks.L
         if parts and not {f"{c}_part{i + 1}" for i in range(parts)} & set(stage.columns):
             plan.parts[c] = parts
 
-    stage = plan.transform(df, until="extract_numbers_from_text")
+    stage = plan.transform(stage, "split_compound_columns", "extract_numbers_from_text")
     texts = text_columns(stage)
     found = found | looks.look_at_shapes(stage, [c for c in texts if c not in found], cfg)
     plan.numbers = [
@@ -167,11 +177,11 @@ def _fit_new_columns(plan: CleaningPlan, df: DataFrame, found: dict[str, looks.L
         for c in texts
         if looks.holds_numbers(cfg, found[c]) and f"{c}_num" not in stage.columns
     ]
+    return plan.transform(stage, "extract_numbers_from_text", "limit_numeric")
 
 
-def _fit_numbers(plan: CleaningPlan, df: DataFrame) -> None:
+def _fit_numbers(plan: CleaningPlan, stage: DataFrame) -> None:
     cfg = plan.config
-    stage = plan.transform(df, until="limit_numeric")
     columns = number_columns(stage)
     if not columns or not plan.rows_filled:
         return
@@ -235,11 +245,11 @@ def _fit_moments(plan: CleaningPlan, stage: DataFrame, columns: list[str]) -> No
         plan.moments[c] = (mean, math.sqrt(var))
 
 
-def _fit_text(plan: CleaningPlan, df: DataFrame) -> None:
+def _fit_text(plan: CleaningPlan, stage: DataFrame) -> None:
+    """Fills for text columns, which the numeric steps leave alone."""
     cfg = plan.config
     if not cfg.impute_categorical or not plan.rows_filled:
         return
-    stage = plan.transform(df, until="impute_categorical")
     columns = text_columns(stage)
     if cfg.categorical_strategy == "mode":
         plan.fills = frequency.modes(stage, columns)
@@ -247,12 +257,12 @@ def _fit_text(plan: CleaningPlan, df: DataFrame) -> None:
         plan.fills = dict.fromkeys(columns, cfg.categorical_impute_value)
 
 
-def _fit_levels(plan: CleaningPlan, df: DataFrame) -> None:
+def _fit_levels(plan: CleaningPlan, stage: DataFrame) -> None:
     """Codes of the columns declared as categories, so that later batches get the same ones."""
     wanted = [c for c, kind in plan.config.enforce_schema.items() if kind == "category"]
     if not wanted:
         return
-    stage = plan.transform(df, until="enforce_schema", skip=("dedupe_rows",))
+    stage = plan.transform(stage, "limit_numeric", "enforce_schema", skip=("dedupe_rows",))
     for c in wanted:
         if c not in stage.columns:
             continue
@@ -262,6 +272,6 @@ def _fit_levels(plan: CleaningPlan, df: DataFrame) -> None:
             values = [r[0] for r in table.orderBy("code").select("value").collect()]
             plan.levels[c] = {"values": values, "bytes": size}
         else:
-            path = scratch_path(df.sparkSession, "levels")
+            path = scratch_path(stage.sparkSession, "levels")
             table.write.parquet(path)
             plan.levels[c] = {"path": path, "bytes": size}

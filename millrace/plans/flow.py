@@ -15,6 +15,7 @@ from millrace.operators.sqlq import SqlAgent
 from millrace.plans.cleaning import CleaningPlan
 from millrace.plans.config import CleanerConfig
 from millrace.plans.fit import fit
+from millrace.session import spread
 from millrace.sources.readers import read_any
 from millrace.sources.sinks import save_table, write_csv
 
@@ -54,12 +55,13 @@ def run_pipeline(
     The cleaned rows are computed once, while they are stored; the analysis reads the stored
     columnar table.  Rows are counted on the way, so the report needs no further job.
     """
-    raw = read_any(spark, path, fmt, **read_options)
+    raw = spread(read_any(spark, path, fmt, **read_options))
     plan = fit(raw, config)
     if not plan.rows_filled:
         raise ValueError("Parsed dataframe is empty")
     seen = Observation()
-    cleaned = plan.transform(raw).observe(seen, F.count(F.lit(1)).alias("rows"))
+    trace: list[dict] = []
+    cleaned = plan.transform(raw, trace=trace).observe(seen, F.count(F.lit(1)).alias("rows"))
     name = save_table(cleaned, table or table_name(path), table_path, known_filled=True)
     stored = spark.table(name)
     if csv_path:
@@ -68,7 +70,7 @@ def run_pipeline(
         "success",
         table=name,
         cleaned=stored,
-        report=plan.report(raw, rows_out=seen.get["rows"]),
+        report=plan.report(spark, trace, rows_out=seen.get["rows"]),
         analysis=analyze(stored, approx=plan.config.approx),
         plan=plan,
     )

@@ -50,11 +50,12 @@ def null_marks(cfg: CleanerConfig, col: Column) -> Column:
     return text.keep_ascii(out) if cfg.remove_non_ascii else out
 
 
-def _type_counts(cfg: CleanerConfig, v: Column, day: Column) -> dict[str, Column]:
+def _type_counts(cfg: CleanerConfig, v: Column, some: Column, day: Column) -> dict[str, Column]:
+    """``some`` is the value where it has a digit: all numeric readings need one."""
     out: dict[str, Column] = {}
     if cfg.coerce_numeric:
-        out["number_look"] = F.count_if(parse.digits_only(v))
-        out["number"] = F.count(parse.to_number(v))
+        out["number_look"] = F.count_if(parse.digits_only(some))
+        out["number"] = F.count(parse.to_number(some))
     if cfg.coerce_datetime:
         out["time_look"] = F.count_if(parse.has_date_mark(v))
         for i, fmt in enumerate(parse.TIME_FORMATS):
@@ -63,10 +64,10 @@ def _type_counts(cfg: CleanerConfig, v: Column, day: Column) -> dict[str, Column
             out["time_any"] = F.count(parse.to_time_mixed(day))
     if cfg.parse_percentages:
         out["percent_look"] = F.count_if(v.contains("%"))
-        out["percent"] = F.count(parse.to_fraction(v))
+        out["percent"] = F.count(parse.to_fraction(some))
     if cfg.parse_currency:
         out["amount_look"] = F.count_if(parse.has_currency(v, cfg.currency_symbols))
-        out["amount"] = F.count(parse.to_amount(v, cfg.currency_symbols))
+        out["amount"] = F.count(parse.to_amount(some, cfg.currency_symbols))
     if cfg.normalize_booleans:
         out["bool_look"] = F.count_if(parse.bool_like(v, cfg.true_set, cfg.false_set))
     if cfg.parse_json_columns:
@@ -76,17 +77,21 @@ def _type_counts(cfg: CleanerConfig, v: Column, day: Column) -> dict[str, Column
     return out
 
 
-def _shape_counts(cfg: CleanerConfig, v: Column) -> dict[str, Column]:
-    pattern = delimiter_pattern(cfg)
-    cut = F.size(F.split(F.when(v.rlike(pattern), v), pattern, cfg.max_splits_per_col + 1))
+def _shape_counts(cfg: CleanerConfig, v: Column, some: Column) -> dict[str, Column]:
+    divided = text.contains_any(v, cfg.split_delimiters)
+    pattern, limit = delimiter_pattern(cfg), cfg.max_splits_per_col + 1
     return {
-        "compound_look": F.count_if(v.rlike(pattern)),
-        "parts": F.max(cut),
+        "compound_look": F.count_if(divided),
+        "parts": F.max(F.size(F.split(F.when(divided, v), pattern, limit))),
         "length": F.sum(F.length(v)),
-        "digit_look": F.count_if(parse.has_digit(v)),
+        "digit_look": F.count(some),
     }
 
 
+def _with_digit(melted: DataFrame) -> DataFrame:
+    return melted.withColumn("some", F.when(parse.has_digit(F.col("v")), F.col("v")))
+
+
 def _collect(melted: DataFrame, cfg: CleanerConfig, aggs: dict[str, Column]) -> dict[int, T.Row]:
     rows = melted.groupBy(SLOT).agg(*(c.alias(k) for k, c in aggs.items())).collect()
     return {r[SLOT]: r for r in rows}
@@ -121,8 +126,8 @@ def look_at_table(df: DataFrame, cfg: CleanerConfig) -> tuple[int, dict[str, Loo
             }
         )
     melted = melt(df, parts).withColumn("v", null_marks(cfg, F.col("v")))
-    melted = melted.withColumn("day", parse.date_candidate(F.col("v")))
-    v = F.col("v")
+    melted = _with_digit(melted).withColumn("day", parse.date_candidate(F.col("some")))
+    v, some = F.col("v"), F.col("some")
     aggs = {
         "all_rows": F.count(F.lit(1)),
         "rows": F.count_if("filled"),
@@ -132,7 +137,7 @@ def look_at_table(df: DataFrame, cfg: CleanerConfig) -> tuple[int, dict[str, Loo
         "n": F.count("v"),
     }
     if strings:
-        aggs |= _type_counts(cfg, v, F.col("day")) | _shape_counts(cfg, v)
+        aggs |= _type_counts(cfg, v, some, F.col("day")) | _shape_counts(cfg, v, some)
     found = _collect(melted, cfg, aggs)
     looks, total = {}, 0
     for i, c in enumerate(columns):
@@ -151,8 +156,9 @@ def look_at_shapes(df: DataFrame, columns: Sequence[str], cfg: CleanerConfig) ->
     """Delimiter, part and digit counts of columns that only came into being on the way."""
     if not columns:
         return {}
-    melted = melt(df, [{"v": bare(c)} for c in columns])
-    aggs = {"rows": F.count(F.lit(1)), "n": F.count("v")} | _shape_counts(cfg, F.col("v"))
+    melted = _with_digit(melt(df, [{"v": bare(c)} for c in columns]))
+    aggs = {"rows": F.count(F.lit(1)), "n": F.count("v")}
+    aggs |= _shape_counts(cfg, F.col("v"), F.col("some"))
     found = _collect(melted, cfg, aggs)
     out = {}
     for i, c in enumerate(columns):

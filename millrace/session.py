@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -52,3 +52,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable without overriding the cluster's choice."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with very few splits over all cores.
+
+    One gzip file or one Parquet row group is one task, however large the cluster.  Text work per
+    row costs far more than one shuffle of such an input.  Scans with enough splits are returned
+    as they are, so nothing that is large because it has many splits is ever shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

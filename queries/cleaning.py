@@ -11,6 +11,7 @@ from millrace.operators.quantiles import exact_quantiles
 from millrace.plans.cleaning import clip_numeric, enforce_schema, positive_only, winsorize
 from millrace.plans.config import CleanerConfig
 from millrace.plans.fit import clean, fit
+from millrace.session import spread
 from queries.base import DIRTY_DUCK, DUP_DUCK, SPARSE_DUCK, dirty_orders, dup_events
 from queries.base import sparse_orders, table
 
@@ -36,6 +37,7 @@ def _bare_text(**options):
 
 
 def _fitted(df, **options):
+    df = spread(df)
     return fit(df, _bare_text(**options)).transform(df)
 
 
@@ -271,8 +273,7 @@ def rename_cast_reorder(spark, d):
 
 
 def clean_table(spark, d):
-    df = dirty_orders(spark, d)
-    cleaned, _ = clean(df)
+    cleaned, _ = clean(spread(dirty_orders(spark, d)))
     decimals = [f.name for f in cleaned.schema.fields if f.dataType.simpleString() == "double"]
     return cleaned.withColumns({c: F.round(c, 4) for c in decimals})
 

@@ -8,7 +8,7 @@ from millrace.functions.html import html_to_text
 from millrace.plans.config import CleanerConfig
 from millrace.plans.fit import fit
 from millrace.plans.flow import run_workflow
-from millrace.session import scratch_path
+from millrace.session import scratch_path, spread
 from millrace.sources.readers import read_any, read_catalog
 from millrace.sources.sinks import save_table, write_csv
 from millrace.streaming.landing import clean_stream, read_landing, write_landing
@@ -125,7 +125,7 @@ def read_mail(spark, d):
 
 
 def html_text(spark, d):
-    out = table(spark, d, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+    out = spread(table(spark, d, "pages")).select("page_id", html_to_text(F.col("html")).alias("text"))
     return out.select("page_id", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("digest"))
 
 
