@@ -21,13 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import frequency, lookup, names
-from millrace.operators.longform import (
-    SLOT,
-    melt,
-    nan_to_null,
-    number_columns,
-    text_columns,
-)
+from millrace.operators.longform import nan_to_null, number_columns, text_columns
+from millrace.operators.moments import moments
 from millrace.operators.names import bare
 from millrace.operators.quantiles import approx_quantiles, interpolate, order_statistics
 from millrace.plans import look as looks
@@ -223,26 +218,12 @@ def _fit_numbers(plan: CleaningPlan, stage: DataFrame) -> None:
 
 
 def _fit_moments(plan: CleaningPlan, stage: DataFrame, columns: list[str]) -> None:
-    """Mean and population deviation after imputation.
-
-    Imputed rows all hold the median, so their share enters in closed form.
-    """
-    melted = melt(stage, [{"x": plan.limited(stage, c).cast("double")} for c in columns])
-    rows = (
-        melted.groupBy(SLOT)
-        .agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
-        .collect()
-    )
-    for slot, n, mean, var in sorted(rows):
-        if not n:
-            continue
-        c = columns[slot]
-        if c in plan.medians and plan.rows_filled > n:
-            fill, m = plan.medians[c], plan.rows_filled - n
-            total = (n * mean + m * fill) / (n + m)
-            var = (n * (var + (mean - total) ** 2) + m * (fill - total) ** 2) / (n + m)
-            mean = total
-        plan.moments[c] = (mean, math.sqrt(var))
+    """Mean and population deviation after imputation; the imputed rows enter in closed form."""
+    found = moments(stage, [plan.limited(stage, c).cast("double") for c in columns], columns)
+    for c, m in found.items():
+        if m.n:
+            m = m.filled(plan.medians[c]) if c in plan.medians else m
+            plan.moments[c] = (m.mean, m.sd)
 
 
 def _fit_text(plan: CleaningPlan, stage: DataFrame) -> None:
