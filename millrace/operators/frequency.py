@@ -116,14 +116,38 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     frames = []
     for names, counts in value_counts(df, columns):
         best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        shown = F.lit(None).cast("string")
-        for i, c in enumerate(names):
-            text = _shown(field(df, c).dataType, F.col("value"))
-            shown = F.when(F.col(SLOT) == i, text).otherwise(shown)
+        shown = _shown_by_slot(df, names, F.col("value")).alias("value")
+        frames.append(named(best.select(SLOT, shown, "n", F.col("rank").cast("long")), names))
+    return _union(frames)
+
+
+def _shown_by_slot(df: DataFrame, names: Sequence[str], key: Column) -> Column:
+    shown = F.lit(None).cast("string")
+    for i, c in enumerate(names):
+        shown = F.when(F.col(SLOT) == i, _shown(field(df, c).dataType, key)).otherwise(shown)
+    return shown
+
+
+def value_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column_name, count, unique, top, freq)`` from one table of value counts per type family.
+
+    Columns without any value have a row too.
+    """
+    frames = [df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")]
+    for names, counts in value_counts(df, columns):
+        best = F.min(F.struct((-F.col("n")).alias("minus"), F.col("value"))).alias("best")
+        found = counts.groupBy(SLOT).agg(
+            F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), best
+        )
+        top = _shown_by_slot(df, names, F.col("best.value")).alias("top")
         frames.append(
-            named(best.select(SLOT, shown.alias("value"), "n", F.col("rank").cast("long")), names)
+            named(found.select(SLOT, "count", "unique", top, (-F.col("best.minus")).alias("freq")), names)
         )
-    return _union(frames)
+    out = frames[0].join(_union(frames[1:]), "column_name", "left")
+    none = F.lit(0)
+    return out.withColumns(
+        {"count": F.coalesce("count", none), "unique": F.coalesce("unique", none)}
+    )
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:

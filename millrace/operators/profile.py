@@ -20,7 +20,7 @@ from millrace.operators.longform import (
     number_columns,
     text_columns,
 )
-from millrace.operators.names import bare
+from millrace.operators.moments import moments
 from millrace.operators.quantiles import approx_quantiles, exact_quantiles
 
 Z_LIMIT = 3.0  # fixed value: |z| above it is an outlier
@@ -87,21 +87,38 @@ def high_cardinality_columns(
     )
 
 
-def number_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column_name, count, mean, std, min, max)`` of the numeric columns; sample deviation."""
-    chosen = number_columns(df, with_bool=True) if columns is None else _checked(df, columns)
+def _summaries(df: DataFrame, columns: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """Row and NULL counts of all columns and the moments of the numeric ones, in one pass."""
+    none = F.lit(None).cast("double")
+    parts = [
+        {
+            "there": non_null(df, c).isNotNull(),
+            "x": as_double(df, c) if c in numbers else none,
+        }
+        for c in columns
+    ]
     x = F.col("x")
-    stats = (
-        melt_numbers(df, chosen)
+    return (
+        melt(df, parts)
         .groupBy(SLOT)
         .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(~F.col("there")).alias("n_null"),
             F.count(x).alias("count"),
             F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"),
+            F.stddev_pop(x).alias("sd_pop"),
             F.min(x).alias("min"),
             F.max(x).alias("max"),
         )
+        # The sample deviation follows from the other; it is undefined for one value.
+        .withColumn("std", F.col("sd_pop") * F.sqrt(F.try_divide(F.col("count"), F.col("count") - 1)))
     )
+
+
+def number_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(column_name, count, mean, std, min, max)`` of the numeric columns; sample deviation."""
+    chosen = number_columns(df, with_bool=True) if columns is None else _checked(df, columns)
+    stats = _summaries(df, chosen, chosen).select(SLOT, "count", "mean", "std", "min", "max")
     return named(stats, chosen)
 
 
@@ -113,16 +130,14 @@ def outlier_counts(
     The first pass returns mean and deviation per column, the second counts.
     """
     chosen = number_columns(df) if columns is None else _checked(df, columns)
-    moments = {
-        r[SLOT]: (r["m"], r["s"])
-        for r in melt_numbers(df, chosen)
-        .groupBy(SLOT)
-        .agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-        .collect()
-    }
+    found = moments(df, [as_double(df, c) for c in chosen], chosen)
+    return _count_outliers(df, {c: (m.mean, m.sd) for c, m in found.items()}, limit)
+
+
+def _count_outliers(df: DataFrame, found: dict[str, tuple], limit: float = Z_LIMIT) -> DataFrame:
+    chosen = list(found)
     parts = []
-    for i, c in enumerate(chosen):
-        mean, sd = moments.get(i, (None, None))
+    for c, (mean, sd) in found.items():
         z = F.abs((as_double(df, c) - F.lit(mean)) / F.lit(sd)) if sd else F.lit(0.0)
         parts.append({"far": z > limit})
     counted = melt(df, parts).groupBy(SLOT).agg(F.count_if("far").alias("outlier_count"))
@@ -134,23 +149,38 @@ def profile_columns(
 ) -> DataFrame:
     """One row per column: type, null and distinct percentages, numeric summary, outliers.
 
-    The small per-column results are joined by name; the table itself is only aggregated.
+    Three passes: one fused summary (whose few numbers the outlier count needs), the distinct
+    counts and the outlier count.  Only their one row per column is joined.
     """
     chosen = _checked(df, columns)
     numbers = [c for c in chosen if c in number_columns(df, with_bool=True)]
-    base = null_summary(df, chosen)
-    distinct = frequency.distinct_counts(df, chosen, approx_distinct)
-    out = base.join(distinct, "column_name", "left")
-    if numbers:
-        out = out.join(
-            number_summary(df, numbers).drop("count"), "column_name", "left"
-        ).join(outlier_counts(df, numbers), "column_name", "left")
+    spark = df.sparkSession
+    rows = {r[SLOT]: r for r in _summaries(df, chosen, numbers).collect()}
+    base = spark.createDataFrame(
+        [
+            (
+                c,
+                field(df, c).dataType.simpleString(),
+                *(rows[i][k] for k in ("n_rows", "n_null", "mean", "std", "min", "max")),
+            )
+            for i, c in enumerate(chosen)
+            if i in rows
+        ],
+        "column_name string, type string, n_rows bigint, n_null bigint, mean double, std double, "
+        "min double, max double",
+    )
+    out = base.join(
+        frequency.distinct_counts(df, chosen, approx_distinct), "column_name", "left"
+    )
+    found = {
+        c: (rows[i]["mean"], rows[i]["sd_pop"])
+        for i, c in enumerate(chosen)
+        if c in numbers and i in rows
+    }
+    if found:
+        out = out.join(_count_outliers(df, found), "column_name", "left")
     else:
-        out = out.select(
-            "*",
-            *(F.lit(None).cast("double").alias(n) for n in ("mean", "std", "min", "max")),
-            F.lit(None).cast("bigint").alias("outlier_count"),
-        )
+        out = out.withColumn("outlier_count", F.lit(None).cast("bigint"))
     valid = F.col("n_rows") - F.col("n_null")
     return out.select(
         "column_name",
@@ -200,20 +230,13 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
             )
         )
     if others:
-        counts = null_summary(df, others).select(
-            "column_name", (F.col("n_rows") - F.col("n_null")).alias("count")
-        )
-        # One table of value counts answers both: its rows are the distinct values.
-        unique = frequency.distinct_counts(df, others)
-        best = frequency.top_values(df, others, 1)
-        joined = counts.join(unique, "column_name", "left").join(best, "column_name", "left")
         frames.append(
-            joined.select(
+            frequency.value_summary(df, others).select(
                 "column_name",
                 "count",
-                F.coalesce("n_distinct", F.lit(0)).alias("unique"),
-                F.col("value").alias("top"),
-                F.col("n").alias("freq"),
+                "unique",
+                "top",
+                "freq",
                 *(
                     none("double").alias(n)
                     for n in ("mean", "std", "min", "p25", "p50", "p75", "max")

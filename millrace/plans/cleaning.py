@@ -9,7 +9,6 @@ from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions import parse, text
 from millrace.operators import lookup, names, rows
@@ -384,5 +383,4 @@ def read_levels(spark: SparkSession, fitted: dict) -> tuple[DataFrame, int]:
     if "path" in fitted:
         return spark.read.parquet(fitted["path"]), fitted["bytes"]
     rows_ = list(zip(fitted["values"], range(len(fitted["values"]))))
-    schema = T.StructType().add("value", "string").add("code", "bigint")
-    return spark.createDataFrame(rows_, schema), fitted["bytes"]
+    return spark.createDataFrame(rows_, "value string, code bigint"), fitted["bytes"]

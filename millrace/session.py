@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_made: dict[str, str] = {}  # application → folder, only where the session names none
 
 
 def local_session(cpus: str = "*", app: str = "millrace", **conf: str) -> SparkSession:
@@ -38,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if configured:
         return configured.rstrip("/")
-    made = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = tempfile.mkdtemp(prefix="millrace-")
+    return _made[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
