@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,12 +50,27 @@ def unescape_common(col: Column) -> Column:
 
 
 def html_to_text(col: Column, all_entities: bool = True) -> Column:
-    """Text of a page, pieces joined without separators.
+    """Text of a page, pieces joined without separators, as one expression.
 
-    Common entities are replaced in the JVM.  Only rows that hold any other entity are handed
-    to the Arrow helper, which knows the complete table; every other row sends it a NULL.
+    For whole tables ``add_html_text`` is the better choice: it strips the markup only once.
     """
-    text = strip_markup(col)
+    return _resolved(strip_markup(col), all_entities)
+
+
+def add_html_text(
+    df: DataFrame, column: str, into: str = "text", all_entities: bool = True
+) -> DataFrame:
+    """Add the text of a page column.
+
+    Stripping is a step of its own, because both ways of resolving entities read its result.
+    """
+    stripped = df.withColumn(into, strip_markup(df[column]))
+    return stripped.withColumn(into, _resolved(stripped[into], all_entities))
+
+
+def _resolved(text: Column, all_entities: bool) -> Column:
+    """Common entities are replaced in the JVM.  Only rows that hold any other entity are handed
+    to the Arrow helper, which knows the complete table; every other row sends it a NULL."""
     plain = unescape_common(text)
     if not all_entities:
         return plain

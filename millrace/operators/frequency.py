@@ -122,10 +122,15 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
 
 
 def _shown_by_slot(df: DataFrame, names: Sequence[str], key: Column) -> Column:
-    shown = F.lit(None).cast("string")
+    kinds: dict[T.DataType, list[int]] = {}
     for i, c in enumerate(names):
-        shown = F.when(F.col(SLOT) == i, _shown(field(df, c).dataType, key)).otherwise(shown)
-    return shown
+        kinds.setdefault(field(df, c).dataType, []).append(i)
+    if len(kinds) == 1:
+        return _shown(next(iter(kinds)), key)
+    cases = F
+    for kind, slots in kinds.items():
+        cases = cases.when(F.col(SLOT).isin(*slots), _shown(kind, key))
+    return cases
 
 
 def value_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,17 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.longform import non_null
 from millrace.operators.names import bare
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     """Drop rows in which every column is NULL (or NaN)."""
-    filled = [non_null(df, c).isNotNull() for c in df.columns]
-    keep = filled[0]
-    for test in filled[1:]:
-        keep = keep | test
-    return df.where(keep)
+    return df.na.drop("all")
 
 
 def dedupe_rows(

@@ -16,6 +16,9 @@ from millrace.operators.names import bare
 from millrace.plans.config import CleanerConfig
 
 
+FILLED = "_row_is_filled"
+
+
 def delimiter_pattern(cfg: CleanerConfig) -> str:
     return "|".join(re.escape(d) for d in cfg.split_delimiters)
 
@@ -111,15 +114,17 @@ def look_at_table(df: DataFrame, cfg: CleanerConfig) -> tuple[int, dict[str, Loo
     """
     columns = df.columns
     strings = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    filled = F.lit(False)
-    for c in columns:
-        filled = filled | non_null(df, c).isNotNull()
+    if not columns:
+        return 0, {}
+    # One flag per row, not one per row and column.
+    values = [F.when(non_null(df, c).isNotNull(), F.lit(True)) for c in columns]
+    df = df.withColumn(FILLED, F.coalesce(*values, F.lit(False)))
     parts = []
     for c in columns:
         col = non_null(df, c)
         parts.append(
             {
-                "filled": filled,
+                "filled": F.col(FILLED),
                 "present": col.isNotNull(),
                 "h": F.when(col.isNotNull(), F.xxhash64(comparable(df, c))),
                 "v": tidy(cfg, col) if c in strings else F.lit(None).cast("string"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.html import add_html_text
 from millrace.sources import files
 
 Reader = Callable[..., DataFrame]
@@ -83,9 +84,7 @@ def read_text(spark: SparkSession, path: str, whole: bool = True, **opts) -> Dat
 
 def read_html(spark: SparkSession, path: str, **opts) -> DataFrame:
     """``(path, text)`` with the markup removed."""
-    from millrace.functions.html import html_to_text
-
-    return read_text(spark, path, **opts).withColumn("text", html_to_text(F.col("text")))
+    return add_html_text(read_text(spark, path, **opts), "text")
 
 
 def read_gzip(spark: SparkSession, path: str, **opts) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.html import html_to_text
+from millrace.functions.html import add_html_text
 from millrace.plans.config import CleanerConfig
 from millrace.plans.fit import fit
 from millrace.plans.flow import run_workflow
@@ -125,7 +125,7 @@ def read_mail(spark, d):
 
 
 def html_text(spark, d):
-    out = spread(table(spark, d, "pages")).select("page_id", html_to_text(F.col("html")).alias("text"))
+    out = add_html_text(spread(table(spark, d, "pages").select("page_id", "html")), "html")
     return out.select("page_id", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("digest"))
 
 
