@@ -16,7 +16,7 @@ from millrace.operators.longform import as_double, nan_to_null, number_columns,
 from millrace.operators.names import bare
 from millrace.plans.config import SCHEMA_TYPES, CleanerConfig
 from millrace.plans.json_fields import parsed
-from millrace.plans.look import Reading, delimiter_pattern, null_marks, tidy
+from millrace.plans.look import FILLED, Reading, delimiter_pattern, null_marks, tidy
 
 Step = Callable[[DataFrame, "CleaningPlan"], DataFrame]
 
@@ -164,7 +164,20 @@ class CleaningPlan:
         return nan_to_null(df.withColumns(casts) if casts else df)
 
     def _empty_rows(self, df: DataFrame) -> DataFrame:
-        return rows.drop_empty_rows(df)
+        """Drop rows without any value.
+
+        The test is one flag, counted before it is filtered on.  The count keeps Catalyst from
+        pushing the filter below the renamed columns: it would then derive a constraint for every
+        combination of old and new names, twice as many with each column.
+        """
+        values = [F.when(bare(c).isNotNull(), F.lit(True)) for c in df.columns]
+        flagged = df.withColumn(FILLED, F.coalesce(*values, F.lit(False)))
+        counted = flagged.observe(
+            f"read-{uuid.uuid4().hex[:8]}",
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(FILLED).alias("filled"),
+        )
+        return counted.where(F.col(FILLED)).drop(FILLED)
 
     def _constant_columns(self, df: DataFrame) -> DataFrame:
         return df.drop(*map(bare, self.constant))

@@ -205,3 +205,13 @@ def test_wrong_options(frame):
         enforce_schema(df, {"a": "money"})
     with pytest.raises(ValueError, match="missing"):
         fit(df).transform(df.withColumnRenamed("a", "z"))
+
+
+def test_many_renamed_columns(spark):
+    """Planning time must not grow exponentially with the number of columns."""
+    numbers = [(F.rand(i) * 100).alias(f"N {i}") for i in range(40)]
+    texts = [F.concat(F.lit("v "), F.col("id") % (i + 2)).alias(f"S {i}") for i in range(10)]
+    df = spark.range(300).select("id", *numbers, *texts)
+    plan = fit(df)
+    out = plan.transform(df)
+    assert out.count() == 300 and len(plan.bounds) == 51
