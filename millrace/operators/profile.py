@@ -277,27 +277,25 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
                 settled += [(x, chosen[j], value)] + ([(chosen[j], x, value)] if i != j else [])
             else:
                 open_pairs.append((i, j))
-    out = spark.createDataFrame(settled, "x string, y string, corr double")
     for start in range(0, len(open_pairs), PAIRS_PER_JOB):
         batch = open_pairs[start : start + PAIRS_PER_JOB]
-        out = out.unionByName(_pair_correlations(df, chosen, stats, batch))
-    return out
+        for (i, j), value in zip(batch, _pair_correlations(df, chosen, stats, batch)):
+            settled += [(chosen[i], chosen[j], value), (chosen[j], chosen[i], value)]
+    return spark.createDataFrame(settled, "x string, y string, corr double")
 
 
-def _pair_correlations(df, chosen, stats, pairs) -> DataFrame:
+def _pair_correlations(df, chosen, stats, pairs) -> list[float]:
+    """One scan of the columns in ``pairs``; a few sums per pair come back."""
     used = sorted({k for pair in pairs for k in pair})
     centred = df.select(
         *((as_double(df, chosen[k]) - F.lit(stats[k]["mean"])).alias(f"v{k}") for k in used)
     )
-    aggs, results = [], []
+    full = [all(stats[c]["n"] == stats[c]["rows"] for c in pair) for pair in pairs]
+    aggs = []
     for k, (i, j) in enumerate(pairs):
         a, b = F.col(f"v{i}"), F.col(f"v{j}")
-        full = all(stats[c]["n"] == stats[c]["rows"] for c in (i, j))
         aggs.append(F.sum(a * b).alias(f"ab{k}"))
-        if full:
-            scale = stats[i]["n"] * stats[i]["sd"] * stats[j]["sd"]
-            value = F.try_divide(F.col(f"ab{k}"), F.lit(scale))
-        else:
+        if not full[k]:
             only_a, only_b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
             aggs += [
                 F.count(a * b).alias(f"n{k}"),
@@ -306,15 +304,16 @@ def _pair_correlations(df, chosen, stats, pairs) -> DataFrame:
                 F.stddev_pop(only_a).alias(f"sa{k}"),
                 F.stddev_pop(only_b).alias(f"sb{k}"),
             ]
-            n = F.col(f"n{k}")
-            cov = F.try_divide(F.col(f"ab{k}"), n) - F.col(f"ma{k}") * F.col(f"mb{k}")
-            value = F.try_divide(cov, F.col(f"sa{k}") * F.col(f"sb{k}"))
-        corr = F.coalesce(value, F.lit(0.0)).alias("corr")
-        for x, y in ((i, j), (j, i)):
-            results.append(
-                F.struct(F.lit(chosen[x]).alias("x"), F.lit(chosen[y]).alias("y"), corr)
-            )
-    return centred.agg(*aggs).select(F.inline(F.array(*results)))
+    row = centred.agg(*aggs).first()
+    out = []
+    for k, (i, j) in enumerate(pairs):
+        if full[k]:
+            cov, scale = row[f"ab{k}"], stats[i]["n"] * stats[i]["sd"] * stats[j]["sd"]
+        else:
+            n, scale = row[f"n{k}"], (row[f"sa{k}"] or 0.0) * (row[f"sb{k}"] or 0.0)
+            cov = row[f"ab{k}"] / n - row[f"ma{k}"] * row[f"mb{k}"] if n else 0.0
+        out.append(cov / scale if scale else 0.0)
+    return out
 
 
 def data_bytes(df: DataFrame) -> DataFrame:
