@@ -61,7 +61,7 @@ def test_imputed_and_unique(spark):
         assert out.where(F.col(c).isNull()).count() == 0
 
 
-def test_guard_and_reference_mode_for_dates(frame):
+def test_guarded_and_trusting_mode_for_dates(frame):
     df = frame("k int, p string", *[(i, f"${i}.50") for i in range(20)])
     guarded = fit(df, CleanerConfig(**QUIET))
     assert guarded.readings["p"].kind == "amount"
@@ -70,7 +70,7 @@ def test_guard_and_reference_mode_for_dates(frame):
     assert trusting.transform(df).where("p is not null").count() == 0
 
 
-def test_guard_and_reference_mode_for_versions(frame):
+def test_guarded_and_trusting_mode_for_versions(frame):
     df = frame("k int, v string", *[(i, f"1.{i}.3") for i in range(20)])
     assert "v" not in fit(df, CleanerConfig(**QUIET)).readings
     assert fit(df, CleanerConfig(min_parse_ratio=0, **QUIET)).readings["v"].kind == "number"
