@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe
+from millrace.llm import bpe, decontaminate, ppm
 
-QUERIES = {"op3_bpe": bpe.op3_bpe}
+QUERIES = {
+    "op3_bpe": bpe.op3_bpe,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op8_language": ppm.op8_language,
+}
 ORACLES: dict[str, str] = {}
