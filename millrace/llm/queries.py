@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, decontaminate, line_dedup, ppm
+from millrace.llm import bpe, decontaminate, line_dedup, ppm, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op3_bpe": bpe.op3_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_language": ppm.op8_language,
 }
-ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
