@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, decontaminate, line_dedup, ppm, warc
+from millrace.llm import bpe, decontaminate, line_dedup, ppm, quality, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_warc": warc.op2_warc,
     "op3_bpe": bpe.op3_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
