@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, decontaminate, line_dedup, ppm, quality, warc
+from millrace.llm import bpe, decontaminate, hyperminhash, line_dedup, ppm, quality, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_language": ppm.op8_language,
+    "op10_near_dedup": hyperminhash.op10_near_dedup,
 }
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
