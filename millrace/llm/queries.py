@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, decontaminate, hyperminhash, line_dedup, ppm, quality, warc
+from millrace.llm import bpe, decontaminate, html_crf, hyperminhash, line_dedup, ppm, quality, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_warc": warc.op2_warc,
     "op3_bpe": bpe.op3_bpe,
+    "op4_html": html_crf.op4_html,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_language": ppm.op8_language,
