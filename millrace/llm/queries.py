@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, decontaminate, html_crf, hyperminhash, line_dedup, ppm, quality, warc
+from millrace.llm import bloom_lm, bpe, decontaminate, html_crf, hyperminhash, line_dedup, ppm, quality, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_html": html_crf.op4_html,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_lm_score": bloom_lm.op6_lm_score,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_language": ppm.op8_language,
     "op10_near_dedup": hyperminhash.op10_near_dedup,
