@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bloom_lm, bpe, decontaminate, html_crf, hyperminhash, line_dedup, ppm, quality, warc
+from millrace.llm import bloom_lm, bpe, decontaminate, html_crf, hyperminhash, line_dedup, ppm, quality, suffix_index, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_lm_score": bloom_lm.op6_lm_score,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_language": ppm.op8_language,
+    "op9_suffix_dedup": suffix_index.op9_suffix_dedup,
     "op10_near_dedup": hyperminhash.op10_near_dedup,
 }
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
