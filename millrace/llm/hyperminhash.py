@@ -12,11 +12,11 @@ estimated from the share of equal registers, corrected for registers that are eq
 chance; only pairs six standard errors below the limit are dropped there (1e-9).  Links are then
 confirmed on the full sets.
 
-Groups of any size stay linear.  Equal sets collapse to their smallest document first.  In each bucket
-only a probe is compared with all others: first the smallest member, then, while a bucket still spans
-several components, up to ``PROBES`` members outside its largest one.  A probe leaves the bucket when it
-has been compared; pairs already in one component need no comparison.  The loop ends when no bucket
-spans two components, so every link between candidates is found or implied.
+Groups of any size stay manageable.  Equal sets collapse to their smallest document first.  In each
+bucket the smallest member is compared with all others, which joins most groups.  Where a bucket still
+spans several components, the members outside its largest one are compared with all that meet around
+that component, in a grid of cells of bounded size and without pairs as rows.  Then every
+pair of candidates has been compared or is in one component already.
 
 All state is written to the shared folder between steps; nothing but counts reaches the driver.
 
@@ -35,14 +35,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm.base import WORDS, ascii_lower, slices, stored, table
+from millrace.llm.suffix_index import Bloom
 
 SHINGLE, PERCENT = 4, 80
 ROWS, BANDS, MANTISSA = 6, 48, 10
 BUCKETS = ROWS * BANDS
-PROBES = 16
+CELL = 256  # sets on each side of a comparison between components
+FILTER_BYTES, BLOOM_BITS = 48 << 20, 12
 CHANCE = 2.0**-MANTISSA / 3  # two unrelated registers agree: in the zeros a third of the time, and in the mantissa
 MARGIN = 6.0
 KNOWN_WORDS = 400_000
@@ -137,8 +138,13 @@ def hopeless(a: np.ndarray, b: np.ndarray, filled: int, percent: int) -> bool:
     return estimate(a, b) < p - MARGIN * (p * (1 - p) / max(1, filled)) ** 0.5
 
 
+def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, registers, filled, bands."""
+    """doc_id, n_shingles, digest of the set, registers, filled."""
+    names = ["doc_id", "n_shingles", "digest", "registers", "filled"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
@@ -147,37 +153,67 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame
                 s = shingle_set(t, width)
                 if len(s):
                     regs, filled = registers(s)
-                    digest = xxhash.xxh3_128_digest(s.tobytes())
-                    rows.append((len(s), digest, regs.tobytes(), filled, band_keys(regs)))
+                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), regs.tobytes(), filled))
                 else:
-                    rows.append((0, None, None, 0, None))
-            types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+                    rows.append((0, None, None, 0))
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.int32())
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *made], ["doc_id", *NAMES])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *made], names)
+
+    schema = "doc_id long, n_shingles long, digest binary, registers binary, filled int"
+    return _source(docs, doc_id, text).mapInArrow(work, schema)
+
+
+def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, key) for each band."""
+    for batch in batches:
+        keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch.column("registers").to_pylist()]
+        if keys:
+            reps = np.repeat(batch.column("rep").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(keys))], ["rep", "key"])
 
-    NAMES = ["n_shingles", "digest", "registers", "filled", "bands"]
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, registers binary, filled int, bands array<long>"
-    return source.mapInArrow(work, schema)
+
+def _row_keys(ids: list[int], digests: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True) + d) for i, d in zip(ids, digests, strict=True)], np.uint64)
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) of the documents in ``wanted`` (rep, digest)."""
+    """(rep, shingles) of the rows in ``wanted`` (rep, digest), found by a broadcast Bloom filter.
+
+    The few rows that the filter lets through wrongly are sets nobody asks for.  Beyond ``FILTER_BYTES``
+    the ids are joined instead.
+    """
+    size = wanted.count() * BLOOM_BITS
+    source = _source(docs, doc_id, text).where("doc_id is not null")
+    if size > FILTER_BYTES * 8:
+        source, bloom = source.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), None
+    else:
+        bloom = _bloom_of(wanted, max(1024, -(-size // 64) * 64))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
-            found = [shingle_set(t, width).tobytes() for t in piece.column("text").to_pylist()]
-            digests = [xxhash.xxh3_128_digest(f) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(digests, pa.binary()), pa.array(found, pa.binary())], ["doc_id", "digest", "shingles"]
-            )
+            sets = [shingle_set(t, width).tobytes() for t in piece.column("text").to_pylist()]
+            ids = piece.column("doc_id")
+            keep = [len(s) > 0 for s in sets]
+            if bloom is not None:
+                found = bloom.value.has(_row_keys(ids.to_pylist(), [xxhash.xxh3_128_digest(s) for s in sets]))
+                keep = [k and bool(f) for k, f in zip(keep, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], ["rep", "shingles"]).filter(pa.array(keep, pa.bool_()))
+
+    return source.mapInArrow(work, "rep long, shingles binary")
 
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    near = source.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    made = near.mapInArrow(work, "doc_id long, digest binary, shingles binary")
-    # an id on several rows with different texts: only the set that stands for its class
-    same = (made.doc_id == wanted.rep) & (made.digest == wanted.digest)
-    return made.join(wanted, same, "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), "digest", "shingles")
+
+def _bloom_of(wanted: DataFrame, size: int):
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = Bloom(size)
+        for batch in batches:
+            bloom.add(_row_keys(batch.column("rep").to_pylist(), batch.column("digest").to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([bloom.bits.tobytes()], pa.binary())], ["bits"])
+
+    total = Bloom(size)
+    for r in wanted.coalesce(8).mapInArrow(work, "bits binary").toLocalIterator():
+        total.bits |= np.frombuffer(bytes(r.bits), np.uint8)
+    return wanted.sparkSession.sparkContext.broadcast(total)
 
 
 def _promising(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -213,73 +249,89 @@ def components(links: DataFrame, label: str = "label") -> DataFrame:
         now = after.select("node", label)
 
 
+def _crossed(rows: pa.Table, percent: int) -> pa.Table:
+    """Compare the queries of one cell with all its sets: a link per query and part, the closest one."""
+    is_query = rows.column("query").to_numpy(zero_copy_only=False)
+    reps, parts = rows.column("rep").to_numpy(), rows.column("part").to_numpy()
+    sets = [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
+    asked, others = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+    if not len(asked):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    where = np.repeat(np.arange(len(asked)), [len(sets[i]) for i in asked])
+    all_of = np.concatenate([sets[i] for i in asked])
+    order = np.argsort(all_of, kind="stable")
+    all_of, where = all_of[order], where[order]
+    sizes = np.array([len(sets[i]) for i in asked])
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for m in others:
+        s = sets[m]
+        low, high = np.searchsorted(all_of, s, "left"), np.searchsorted(all_of, s, "right")
+        n = high - low
+        hits = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        both = np.bincount(where[hits], minlength=len(asked))
+        union = sizes + len(s) - both
+        for i in np.flatnonzero((100 * both >= percent * union) & (parts[asked] != parts[m])).tolist():
+            key, close = (int(reps[asked[i]]), int(parts[m])), both[i] / union[i]
+            if close > best.get(key, (0.0, 0))[0]:
+                best[key] = (close, int(reps[m]))
+    pairs = [(min(u, m), max(u, m)) for (u, _), (_, m) in best.items()]
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
 class NearDuplicates:
     """The steps of one run over ``docs``."""
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT):
         self.docs, self.doc_id, self.text, self.width, self.percent = docs, doc_id, text, width, percent
-        self.signed = stored(signatures(docs, doc_id, text, width), "signatures")
-
-    def classes(self) -> DataFrame:
-        """(doc_id, n_shingles, rep): documents with equal sets have one representative."""
-        some = self.signed.where("digest is not null and doc_id is not null")
-        first = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-        return stored(some.select("doc_id", "n_shingles", "digest").join(first, "digest"), "classes")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id per row."""
-        classes = self.classes()
-        reps = classes.where("doc_id = rep").select("rep", "digest").distinct()
-        own = self.signed.join(reps, (self.signed.doc_id == reps.rep) & (self.signed.digest == reps.digest), "left_semi")
-        own = stored(own.dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "rep"), "representatives")
-        keyed = own.select(F.explode("bands").alias("key"), "rep").distinct()
-        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        signed = stored(signatures(self.docs, self.doc_id, self.text, self.width), "signatures")
+        some = signed.where("digest is not null and doc_id is not null")
+        first = F.min_by(F.struct(F.col("doc_id").alias("rep"), "n_shingles", "registers", "filled"), "doc_id").alias("first")
+        own = stored(some.groupBy("digest").agg(first).select("digest", "first.*"), "representatives")
+        keyed = own.select("rep", "registers").mapInArrow(_bands, "rep long, key long")
+        shared = keyed.groupBy("key").agg(F.min("rep").alias("probe"), F.max("rep").alias("last")).where("probe < last").select("key", "probe")
         members = stored(keyed.join(shared, "key"), "members")
-        wanted = own.join(members.select("rep").distinct(), "rep", "left_semi")
-        sets = stored(_sets(self.docs, self.doc_id, self.text, self.width, wanted.select("rep", "digest")), "sets")
-        labels = self._linked(own, members, sets)
+        wanted = own.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "digest")
+        sets = stored(_sets(self.docs, self.doc_id, self.text, self.width, stored(wanted, "wanted")), "sets")
+        pairs = members.where("rep <> probe").select(F.col("probe").alias("a"), F.col("rep").alias("b")).distinct()
+        links = stored(self._verified(pairs, own, sets), "links")
+        labels = components(links)
+        rest = stored(self._across(members, labels, sets), "links")
+        if not rest.isEmpty():
+            labels = components(links.unionByName(rest))
+        classes = some.select("doc_id", "n_shingles", "digest").join(own.select("digest", "rep"), "digest")
         named = classes.join(labels, classes.rep == labels.node, "left").select(
             "doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id")
         )
-        # rows without a set, and one row per input row again
-        alone = self.signed.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        alone = signed.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return named.unionByName(alone)
 
-    def _linked(self, own: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """(node, label) of all representatives that have a link."""
-        spark = members.sparkSession
-        empty = spark.createDataFrame([], "a long, b long")
-        links, labels, tested = empty, spark.createDataFrame([], "node long, label long"), empty
-        first = True
-        while True:
-            if first:
-                probes = members.groupBy("key").agg(F.min("rep").alias("probe"))
-            else:
-                placed = members.join(labels, members.rep == labels.node, "left").select("key", "rep", F.coalesce("label", "rep").alias("part"))
-                per = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-                spans = per.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
-                active = stored(placed.join(spans.where("parts > 1"), "key").select("key", "rep", "part", "main"), "active")
-                if active.isEmpty():
-                    return labels
-                order = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
-                probes = active.where("part <> main").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PROBES)
-                probes = probes.select("key", F.col("rep").alias("probe"), F.col("part").alias("own"))
-                members = active.select("key", "rep", "part")
-            probes = stored(probes, "probes")
-            other = members.join(probes, "key").where("rep <> probe")
-            if not first:
-                other = other.where("part <> own")
-            pairs = other.select(F.least("rep", "probe").alias("a"), F.greatest("rep", "probe").alias("b")).distinct()
-            if not first:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "pairs")
-            found = stored(self._verified(pairs, own, sets), "links")
-            tested = pairs if first else tested.unionByName(pairs)
-            links = found if first else links.unionByName(found)
-            labels = components(links)
-            gone = probes.select("key", F.col("probe").alias("rep"))
-            members = stored(members.select("key", "rep").join(gone, ["key", "rep"], "left_anti"), "members")
-            first = False
+    def _across(self, members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between the components that still meet in a bucket.
+
+        Around the largest component of a bucket, the members of its other components are compared
+        with everything that meets there.  Both sides are cut into chunks; a cell of the grid
+        holds CELL sets a side at most, whatever the size of the group.
+        """
+        placed = members.join(labels, members.rep == labels.node, "left").select("key", "rep", F.coalesce("label", "rep").alias("part"))
+        per = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+        spans = per.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        met = placed.join(spans.where("parts > 1"), "key").groupBy("main", "rep", "part").agg(F.max(F.col("part") != F.col("main")).alias("other"))
+        met = stored(met, "meetings")
+        chunks = met.groupBy("main").agg(
+            F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("wide"), F.ceil(F.sum(F.col("other").cast("int")) / CELL).cast("int").alias("high")
+        )
+        sized = met.join(chunks, "main")
+        column, line = F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("high")).cast("int")
+        across = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        targets = sized.select("main", "rep", "part", F.lit(False).alias("query"), column.alias("x"), across("high").alias("y"))
+        queries = sized.where("other").select("main", "rep", "part", F.lit(True).alias("query"), across("wide").alias("x"), line.alias("y"))
+        filled = targets.unionByName(queries).join(sets, "rep")
+        percent = self.percent
+        found = filled.groupBy("main", "x", "y").applyInArrow(lambda rows: _crossed(rows, percent), "a long, b long")
+        return found.distinct()
 
     def _verified(self, pairs: DataFrame, own: DataFrame, sets: DataFrame) -> DataFrame:
         percent = self.percent
