@@ -271,13 +271,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """What the registered query returns of the round trip."""
+def digests(docs: DataFrame, path: str, *more: str) -> DataFrame:
+    """What the registered query returns of the round trip, and ``more`` of its columns."""
     return round_trip(docs, path).select(
         "doc_id",
         (F.length("ids_le") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids_le", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )
 
 
