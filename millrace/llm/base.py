@@ -36,8 +36,8 @@ def fold_of(column: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % folds
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that one piece holds about SLICE_BYTES of text at most.
+def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that one piece holds about ``most`` bytes of text at most.
 
     A single longer text is a piece of its own.
     """
@@ -47,7 +47,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
         start, total = 0, 0
         for i, n in enumerate(sizes):
-            if total + n > SLICE_BYTES and i > start:
+            if total + n > most and i > start:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n
