@@ -1,6 +1,6 @@
 """Reversible line deduplication: sharded cuckoo filters over exact reference tables.
 
-``LineIndex`` keeps, in a folder all executors share, one version per change:
+``LineIndex`` keeps, in a folder all executors share, one version per change (older ones stay usable):
 
 * ``refs``    one row per line key and document that holds it (128-bit digests, no text),
 * ``counts``  per key the exact number of references and the smallest and largest document,
@@ -26,6 +26,7 @@ document without id holds no references and keeps its lines; an empty table give
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -151,11 +152,11 @@ def _shared(counts: DataFrame) -> DataFrame:
 class LineIndex:
     """One version of the index; every change writes the next one and returns it."""
 
-    def __init__(self, spark: SparkSession, path: str, version: int, shards: int):
-        self.spark, self.path, self.version, self.shards = spark, path, version, shards
+    def __init__(self, spark: SparkSession, path: str, shards: int):
+        self.spark, self.path, self.shards, self.version = spark, path, shards, uuid.uuid4().hex
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{self.version}/{name}")
 
     @property
     def refs(self) -> DataFrame:
@@ -176,29 +177,29 @@ class LineIndex:
     def build(cls, docs: DataFrame, path: str | None = None, **columns: str) -> LineIndex:
         """Version 0 from a first batch."""
         spark = docs.sparkSession
-        index = cls(spark, path or scratch_path(spark, "line-index"), 0, 1)
-        index._write(0, "refs", references(docs, **columns))
-        index._write(0, "counts", _counts(index.refs))
+        index = cls(spark, path or scratch_path(spark, "line-index"), 1)
+        index._write("refs", references(docs, **columns))
+        index._write("counts", _counts(index.refs))
         index.shards = max(1, -(-index.shared().count() // SHARD_KEYS))
-        index._write(0, "filters", index._filters(index.shared().select("hi", "lo", F.lit(1).alias("change")), None))
+        index._write("filters", index._filters(index.shared().select("hi", "lo", F.lit(1).alias("change")), None))
         return index
 
     def insert(self, docs: DataFrame, **columns: str) -> LineIndex:
-        after = LineIndex(self.spark, self.path, self.version + 1, self.shards)
+        after = LineIndex(self.spark, self.path, self.shards)
         new = references(docs, **columns)
-        self._write(after.version, "refs", self.refs.unionByName(new))
+        after._write("refs", self.refs.unionByName(new))
         own = _counts(new)
-        self._write(after.version, "counts", _summed(self.counts.unionByName(own)))
+        after._write("counts", _summed(self.counts.unionByName(own)))
         return self._moved(after)
 
     def delete(self, ids: DataFrame, doc_id: str = "doc_id") -> LineIndex:
         """Without the documents of ``ids``; their lines count no longer."""
-        after = LineIndex(self.spark, self.path, self.version + 1, self.shards)
+        after = LineIndex(self.spark, self.path, self.shards)
         gone = ids.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id")).distinct()
         touched = self.refs.join(gone, "doc_id", "left_semi").select("hi", "lo").distinct()
-        self._write(after.version, "refs", self.refs.join(gone, "doc_id", "left_anti").select("hi", "lo", "doc_id"))
+        after._write("refs", self.refs.join(gone, "doc_id", "left_anti").select("hi", "lo", "doc_id"))
         again = _counts(after.refs.join(touched, ["hi", "lo"], "left_semi"))
-        self._write(after.version, "counts", self.counts.join(touched, ["hi", "lo"], "left_anti").unionByName(again))
+        after._write("counts", self.counts.join(touched, ["hi", "lo"], "left_anti").unionByName(again))
         return self._moved(after)
 
     def _moved(self, after: LineIndex) -> LineIndex:
@@ -208,21 +209,21 @@ class LineIndex:
             old.join(new, ["hi", "lo"], "left_anti").withColumn("change", F.lit(-1))
         )
         filters = self._filters(change, self.filters)
-        self._write(after.version, "filters", filters)
+        after._write("filters", filters)
         full = after.filters.where("cells is null").select("shard")
         if full.isEmpty():
             return after
         return after._rebuilt()
 
     def _rebuilt(self) -> LineIndex:
-        after = LineIndex(self.spark, self.path, self.version + 1, max(1, -(-self.shared().count() // SHARD_KEYS)))
+        after = LineIndex(self.spark, self.path, max(1, -(-self.shared().count() // SHARD_KEYS)))
         for name in ("refs", "counts"):
-            self._write(after.version, name, self._read(name))
-        after._write(after.version, "filters", after._filters(after.shared().select("hi", "lo", F.lit(1).alias("change")), None))
+            after._write(name, self._read(name))
+        after._write("filters", after._filters(after.shared().select("hi", "lo", F.lit(1).alias("change")), None))
         return after
 
-    def _write(self, version: int, name: str, df: DataFrame) -> None:
-        df.write.parquet(f"{self.path}/v{version}/{name}")
+    def _write(self, name: str, df: DataFrame) -> None:
+        df.write.parquet(f"{self.path}/{self.version}/{name}")
 
     def _filters(self, change: DataFrame, before: DataFrame | None) -> DataFrame:
         """(shard, cells); NULL cells where an existing filter has no room left."""
@@ -284,6 +285,8 @@ class LineIndex:
         ``refs`` may hold the documents' references if they are stored already.
         """
         drops = self.drops(references(docs, doc_id, text) if refs is None else refs)
+        made_here = ("n_lines", "n_dropped", "kept_sha256")  # columns of these names are replaced
+        docs = docs.drop(*(c for c in docs.columns if c.lower() in made_here))
         names = docs.columns
         frame = docs.select(*(f"`{c}`" for c in names), F.col(f"`{doc_id}`").cast("long").alias("__id"))
         frame = frame.join(drops, F.col("__id") == F.col("__doc"), "left").drop("__id", "__doc")

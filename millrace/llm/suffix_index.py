@@ -29,6 +29,7 @@ document; a document without id loses nothing and counts for nothing; an empty t
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -83,6 +84,14 @@ def sliding(x: np.ndarray, n: int, best) -> np.ndarray:
     return best(x[: len(x) - (n - k)], x[n - k :]) if k < n else x
 
 
+def stretches(values: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal neighbours."""
+    if not len(values):
+        return []
+    cuts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return [*zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)], strict=True)]
+
+
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and gram hashes of the anchors of the texts that end at ``ends``."""
     if len(data) < LENGTH:
@@ -137,8 +146,7 @@ def around(text: bytes, place: int) -> bytes:
 def contexts(texts: dict[int, bytes], docs: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Hash of what surrounds each anchor, and of how far the text reaches on either side."""
     out = np.zeros(len(docs), np.uint64)
-    cuts = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1)) if len(docs) else np.zeros(0, np.int64)
-    for a, b in zip(cuts, np.append(cuts[1:], len(docs)), strict=True):
+    for a, b in stretches(docs):
         text, p = texts[int(docs[a])], places[a:b]
         low, high = int(p.min()), int(p.max()) + GRAM + REACH
         near = bytes(max(0, REACH - low)) + text[max(0, low - REACH) : high] + bytes(max(0, high - len(text)) + 8)
@@ -271,9 +279,9 @@ def runs(docs: DataFrame, shards: int) -> DataFrame:
             gram, context = (h >> np.uint64(32)).astype(np.uint32), context.astype(np.uint32)
             order = np.lexsort((place, doc, context, gram, shard))
             shard, columns = shard[order], {"gram": gram[order], "context": context[order], "doc": doc[order], "place": place[order]}
-            cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-            blobs = [pack({k: v[a:b] for k, v in columns.items()}) for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["shard", "run"])
+            spans = stretches(shard)
+            blobs = [pack({k: v[a:b] for k, v in columns.items()}) for a, b in spans]
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a, _ in spans], pa.int32()), pa.array(blobs, pa.binary())], ["shard", "run"])
 
     return docs.mapInArrow(work, "shard int, run binary")
 
@@ -301,29 +309,30 @@ def _merge(rows: pa.Table, shard: int) -> pa.Table:
 class SuffixIndex:
     """The levels of all shards, stored below the shared folder, and what the last scan found."""
 
-    def __init__(self, spark: SparkSession, path: str, shards: int, version: int = 0):
-        self.spark, self.path, self.shards, self.version = spark, path, shards, version
+    def __init__(self, spark: SparkSession, path: str, shards: int):
+        self.spark, self.path, self.shards, self.version = spark, path, shards, None
 
     @property
     def state(self) -> DataFrame:
-        return self.spark.read.schema(LEVELS).parquet(f"{self.path}/v{self.version}")
+        return self.spark.read.schema(LEVELS).parquet(f"{self.path}/{self.version}")
 
     @classmethod
     def build(cls, docs: DataFrame, path: str | None = None) -> SuffixIndex:
         """From a first batch with the columns doc_id (long) and text."""
         spark = docs.sparkSession
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        index = cls(spark, path or scratch_path(spark, "suffix-index"), max(8, -(-size // SHARD_BYTES)), -1)
+        index = cls(spark, path or scratch_path(spark, "suffix-index"), max(8, -(-size // SHARD_BYTES)))
         return index.insert(docs)
 
     def insert(self, docs: DataFrame) -> SuffixIndex:
         """The index with a further batch."""
-        after = SuffixIndex(self.spark, self.path, self.shards, self.version + 1)
+        after = SuffixIndex(self.spark, self.path, self.shards)
+        after.version = uuid.uuid4().hex
         rows = runs(docs, self.shards).select("shard", F.lit("run").alias("kind"), "run")
-        if self.version >= 0:
+        if self.version:
             rows = rows.unionByName(self.state.where("kind = 'level'").select("shard", "kind", "run"))
         made = rows.groupBy("shard").applyInArrow(lambda key, part: _merge(part, key[0].as_py()), LEVELS)
-        made.write.parquet(f"{self.path}/v{after.version}")
+        made.write.parquet(f"{self.path}/{after.version}")
         return after
 
     def ranges(self, docs: DataFrame) -> DataFrame:
@@ -400,9 +409,8 @@ def _sought(docs: DataFrame, bloom, shards: int) -> DataFrame:
             shard = (h % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             rows, doc, place, shard = rows[order], doc[order], place[order], shard[order]
-            cuts = np.flatnonzero(np.diff(shard, prepend=-1))
             out = []
-            for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
+            for a, b in stretches(shard):
                 near = [around(texts[i][1], p) for i, p in zip(rows[a:b].tolist(), place[a:b].tolist(), strict=True)]
                 sizes = np.array([*map(len, near)], np.uint8).tobytes()
                 out.append((int(shard[a]), pack({"doc": doc[a:b]}), pack({"place": place[a:b]}), sizes, zstandard.ZstdCompressor(level=1).compress(b"".join(near))))
@@ -424,11 +432,10 @@ def _dealt(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int)
     bucket = (mixed(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, docs, starts, ends = bucket[order], docs[order], starts[order], ends[order]
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    spans = [*zip(cuts, np.append(cuts[1:], len(bucket)), strict=True)]
+    spans = stretches(bucket)
     if spans:
         columns = [
-            pa.array(bucket[cuts], pa.int32()),
+            pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
             pa.array([pack({"doc": docs[a:b]}) for a, b in spans], pa.binary()),
             pa.array([pack({"place": starts[a:b]}) for a, b in spans], pa.binary()),
             pa.array([pack({"place": ends[a:b]}) for a, b in spans], pa.binary()),
