@@ -25,9 +25,10 @@ COMMON_ENTITIES = (
     ("&amp;", "&"),
 )
 
-_TAG = r"</?[A-Za-z][^>]*>"
+# a ``>`` inside a quoted attribute does not end its tag; a tag whose quote never closes ends at its ``>``
+_TAG = r"</?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[A-Za-z][^>]*>"
 _DECLARATION = r"<![^>]*>|<\?[^>]*>"
-_COMMENT = r"(?s)<!--.*?-->"
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"  # one left open reaches to the end
 
 
 def _unescape(values: pd.Series) -> pd.Series:
@@ -38,7 +39,8 @@ def strip_markup(col: Column) -> Column:
     """Drop comments, silent elements, declarations and tags; keep all other text as it is."""
     out = F.regexp_replace(col, _COMMENT, "")
     for name in SILENT_ELEMENTS:
-        out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
+        opening = rf"<{name}\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+        out = F.regexp_replace(out, rf"(?is){opening}.*?</{name}\s*>", "")
     return F.regexp_replace(out, f"{_DECLARATION}|{_TAG}", "")
 
 

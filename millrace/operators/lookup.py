@@ -12,6 +12,7 @@ from millrace.session import ensure_checkpoint_dir
 
 LITERAL_ENTRIES = 64  # a map literal is searched entry by entry for each row
 BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_BYTES = 50  # what a broadcast row costs besides its values
 
 
 def apply_synonyms(df: DataFrame, column: str, mapping: Mapping[str, str]) -> DataFrame:
@@ -24,18 +25,21 @@ def apply_synonyms(df: DataFrame, column: str, mapping: Mapping[str, str]) -> Da
         found = F.try_element_at(F.create_map(*pairs), value)
         return df.withColumn(column, F.coalesce(found, value))
     table = df.sparkSession.createDataFrame(list(mapping.items()), "_from string, _to string")
-    size = sum(len(k.encode()) + len(v.encode()) for k, v in mapping.items())
+    size = sum(len(k.encode()) + len(v.encode()) + ROW_BYTES for k, v in mapping.items())
     return _replaced(df, column, table, size)
 
 
 def apply_synonym_table(
     df: DataFrame, column: str, table: DataFrame, source: str, target: str
 ) -> DataFrame:
-    """The same with the mapping held in a table of any size (unique on lower-cased source)."""
+    """The same with the mapping held in a table of any size.
+
+    Keys that agree in lower case are one key; it takes the smallest of their targets.
+    """
     slim = table.select(F.lower(bare(source)).alias("_from"), bare(target).alias("_to"))
-    size = slim.agg(
-        F.coalesce(F.sum(F.octet_length("_from") + F.octet_length("_to")), F.lit(0))
-    ).first()[0]
+    slim = slim.where("_from is not null").groupBy("_from").agg(F.min("_to").alias("_to"))
+    weight = F.octet_length("_from") + F.coalesce(F.octet_length("_to"), F.lit(0)) + ROW_BYTES
+    size = slim.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     return _replaced(df, column, slim, size)
 
 
@@ -80,7 +84,8 @@ def number_sorted(values: DataFrame, column: str, name: str) -> tuple[DataFrame,
         .orderBy("_part")
         .collect()
     )
-    rows, size = sum(r["n"] for r in sizes), sum(r["bytes"] or 0 for r in sizes)
+    rows = sum(r["n"] for r in sizes)
+    size = rows * ROW_BYTES + sum(r["bytes"] or 0 for r in sizes)
     starts = [0] * (1 + max((r["_part"] for r in sizes), default=0))
     seen = 0
     for r in sizes:
@@ -98,12 +103,22 @@ def level_table(df: DataFrame, column: str) -> tuple[DataFrame, int, int]:
     return number_sorted(values, "value", "code")
 
 
-def join_codes(df: DataFrame, column: str, levels: DataFrame, size: int, into: str) -> DataFrame:
-    """Add a column's codes; values outside the level table get NULL."""
+def join_codes(
+    df: DataFrame,
+    column: str,
+    levels: DataFrame,
+    size: int,
+    into: str,
+    unseen: int | None = None,
+) -> DataFrame:
+    """Add a column's codes; values outside the level table get ``unseen``."""
     side = sized_broadcast(levels.select(F.col("value").alias("_v"), F.col("code").alias("_c")), size)
     names = [c for c in df.columns if c != into]
     joined = df.join(side, bare(column) == F.col("_v"), "left")
-    return joined.select(*(bare(c) for c in names), F.col("_c").alias(into))
+    code = F.col("_c")
+    if unseen is not None:
+        code = F.coalesce(code, F.when(bare(column).isNotNull(), F.lit(unseen).cast("long")))
+    return joined.select(*(bare(c) for c in names), code.alias(into))
 
 
 def dictionary_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_code") -> DataFrame:

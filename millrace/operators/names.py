@@ -18,14 +18,14 @@ def bare(name: str):
 
 
 def unique_names(names: Iterable[str], taken: Iterable[str] = ()) -> list[str]:
-    """Suffix repeated names with ``_2``, ``_3`` … so that each is used once."""
-    used = set(taken)
+    """Suffix repeated names with ``_2``, ``_3`` … so that each is used once, whatever its case."""
+    used = {t.lower() for t in taken}
     out = []
     for name in names:
         candidate, n = name, 2
-        while candidate in used:
+        while candidate.lower() in used:
             candidate, n = f"{name}_{n}", n + 1
-        used.add(candidate)
+        used.add(candidate.lower())
         out.append(candidate)
     return out
 

@@ -15,7 +15,7 @@ from millrace.operators import lookup, names, rows
 from millrace.operators.longform import as_double, nan_to_null, number_columns, text_columns
 from millrace.operators.names import bare
 from millrace.plans.config import SCHEMA_TYPES, CleanerConfig
-from millrace.plans.json_fields import parsed
+from millrace.plans.json_fields import parsed, rest
 from millrace.plans.look import FILLED, Reading, delimiter_pattern, null_marks, tidy
 
 Step = Callable[[DataFrame, "CleaningPlan"], DataFrame]
@@ -64,6 +64,7 @@ class CleaningPlan:
     readings: dict[str, Reading] = field(default_factory=dict)
     json_columns: list[str] = field(default_factory=list)
     json_fields: dict[str, list[dict]] = field(default_factory=dict)
+    json_rest: dict[str, str] = field(default_factory=dict)  # column → column of what no leaf holds
     parts: dict[str, int] = field(default_factory=dict)
     numbers: list[str] = field(default_factory=list)
     bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
@@ -72,6 +73,7 @@ class CleaningPlan:
     moments: dict[str, tuple[float, float]] = field(default_factory=dict)
     levels: dict[str, dict] = field(default_factory=dict)
     skipped: dict[str, str] = field(default_factory=dict)
+    skipped_columns: dict[str, str] = field(default_factory=dict)  # column → step and reason
     rows_in: int = 0
     rows_filled: int = 0
     steps: list[tuple[str, Step]] = field(default_factory=list)  # the user's own, not serialised
@@ -144,6 +146,8 @@ class CleaningPlan:
                     "skipped": name in self.skipped,
                     "reason": self.skipped.get(name),
                 }
+                if name == "json_column_expansion" and self.skipped_columns:
+                    row["reason"] = "; ".join(f"{c}: {w}" for c, w in self.skipped_columns.items())
                 trace += [{"step": covered, **row} for covered in COVERED.get(name, (name,))]
         return df
 
@@ -214,22 +218,25 @@ class CleaningPlan:
     def _json(self, df: DataFrame) -> DataFrame:
         if not self.json_fields:
             return df
-        # Parsed once per row into a variant; the leaves are then read from it.
+        # Parsed once per row into a variant; the leaves are then read from it.  What they cannot
+        # hold stays, as the whole document, in a column of its own.
         out = [bare(c) for c in df.columns if c not in self.json_fields]
-        df = _with(df, {c: parsed(df, c) for c in self.json_fields})
+        docs = dict(zip(self.json_fields, names.unique_names(["_doc"] * len(self.json_fields), df.columns)))
+        df = _with(df, {d: parsed(df, c) for c, d in docs.items()})
         for column, leaves in self.json_fields.items():
+            doc = bare(docs[column])
             out += [
-                F.try_variant_get(bare(column), leaf["path"], leaf["type"]).alias(leaf["name"])
+                F.try_variant_get(doc, leaf["path"], leaf["type"]).alias(leaf["name"])
                 for leaf in leaves
             ]
+            out.append(rest(bare(column), doc, leaves).alias(self.json_rest[column]))
         return df.select(*out)
 
     def _split(self, df: DataFrame) -> DataFrame:
         if not self.parts:
             return df
-        limit = self.config.max_splits_per_col + 1
-        pattern = delimiter_pattern(self.config)
-        df = _with(df, {c: F.split(bare(c), pattern, limit) for c in self.parts})
+        pattern = delimiter_pattern(self.config)  # the last part keeps whatever follows
+        df = _with(df, {c: F.split(bare(c), pattern, n) for c, n in self.parts.items()})
         out = [bare(c) for c in df.columns if c not in self.parts]
         for column, count in self.parts.items():
             out += [F.get(bare(column), i).alias(f"{column}_part{i + 1}") for i in range(count)]
@@ -367,7 +374,8 @@ def enforce_schema(
 ) -> DataFrame:
     """Cast columns to the wanted types; values that do not fit become NULL.
 
-    ``category`` replaces the values by their dictionary codes, fitted levels first.
+    ``category`` replaces the values by their dictionary codes; all values that were not there when
+    the plan was fitted share the next code.
     """
     for column, kind in wanted.items():
         if kind not in SCHEMA_TYPES:
@@ -383,17 +391,18 @@ def enforce_schema(
     for column in (c for c, k in present.items() if k == "category"):
         fitted = (levels or {}).get(column)
         if fitted is None:
-            table, _, size = lookup.level_table(df, column)
+            table, count, size = lookup.level_table(df, column)
         else:
-            table, size = read_levels(df.sparkSession, fitted)
+            table, count, size = read_levels(df.sparkSession, fitted)
         order = df.columns
-        df = lookup.join_codes(df, column, table, size, "_code").drop(column)
+        df = lookup.join_codes(df, column, table, size, "_code", unseen=count).drop(column)
         df = df.withColumnRenamed("_code", column).select(*(bare(c) for c in order))
     return df
 
 
-def read_levels(spark: SparkSession, fitted: dict) -> tuple[DataFrame, int]:
+def read_levels(spark: SparkSession, fitted: dict) -> tuple[DataFrame, int, int]:
+    """The level table, its rows and its bytes."""
     if "path" in fitted:
-        return spark.read.parquet(fitted["path"]), fitted["bytes"]
+        return spark.read.parquet(fitted["path"]), fitted["rows"], fitted["bytes"]
     rows_ = list(zip(fitted["values"], range(len(fitted["values"]))))
-    return spark.createDataFrame(rows_, "value string, code bigint"), fitted["bytes"]
+    return spark.createDataFrame(rows_, "value string, code bigint"), len(rows_), fitted["bytes"]

@@ -148,29 +148,38 @@ def _fit_new_columns(
     for c in plan.json_columns:
         if c not in stage.columns:
             continue
-        leaves = find_fields(stage, c, cfg.json_max_expand_cols)
+        try:
+            leaves = find_fields(stage, c, cfg.json_max_expand_cols)
+        except Exception as error:  # noqa: BLE001 - one bad column must not end the whole fit
+            plan.skipped_columns[c] = f"json_column_expansion: {str(error).splitlines()[0]}"
+            leaves = None
         if leaves:
             taken = [n for n in stage.columns if n != c]
             for leaf, name in zip(leaves, names.unique_names((x["name"] for x in leaves), taken)):
                 leaf["name"] = name
             plan.json_fields[c] = leaves
+            others = [*taken, *(x["name"] for x in leaves)]
+            plan.json_rest[c] = names.unique_names([f"{c}__rest"], others)[0]
 
     stage = plan.transform(stage, "json_column_expansion", "split_compound_columns")
-    texts = text_columns(stage)
+    rests = {*plan.json_rest.values()}
+    texts = [c for c in text_columns(stage) if c not in rests]
     fresh = [c for c in texts if c not in found or c in changed]
     found = found | looks.look_at_shapes(stage, fresh, cfg)
     for c in texts:
         parts = looks.part_count(cfg, found[c])
-        if parts and not {f"{c}_part{i + 1}" for i in range(parts)} & set(stage.columns):
+        taken = {n.lower() for n in stage.columns}
+        if parts and not {f"{c}_part{i + 1}".lower() for i in range(parts)} & taken:
             plan.parts[c] = parts
 
     stage = plan.transform(stage, "split_compound_columns", "extract_numbers_from_text")
-    texts = text_columns(stage)
+    texts = [c for c in text_columns(stage) if c not in rests]
     found = found | looks.look_at_shapes(stage, [c for c in texts if c not in found], cfg)
     plan.numbers = [
         c
         for c in texts
-        if looks.holds_numbers(cfg, found[c]) and f"{c}_num" not in stage.columns
+        if looks.holds_numbers(cfg, found[c])
+        and f"{c}_num".lower() not in {n.lower() for n in stage.columns}
     ]
     return plan.transform(stage, "extract_numbers_from_text", "limit_numeric")
 
@@ -231,7 +240,8 @@ def _fit_text(plan: CleaningPlan, stage: DataFrame) -> None:
     cfg = plan.config
     if not cfg.impute_categorical or not plan.rows_filled:
         return
-    columns = text_columns(stage)
+    rests = {*plan.json_rest.values()}
+    columns = [c for c in text_columns(stage) if c not in rests]
     if cfg.categorical_strategy == "mode":
         plan.fills = frequency.modes(stage, columns)
     else:
@@ -255,4 +265,4 @@ def _fit_levels(plan: CleaningPlan, stage: DataFrame) -> None:
         else:
             path = scratch_path(stage.sparkSession, "levels")
             table.write.parquet(path)
-            plan.levels[c] = {"path": path, "bytes": size}
+            plan.levels[c] = {"path": path, "rows": rows, "bytes": size}

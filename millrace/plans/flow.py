@@ -58,7 +58,7 @@ def run_pipeline(
     raw = spread(read_any(spark, path, fmt, **read_options))
     plan = fit(raw, config)
     if not plan.rows_filled:
-        raise ValueError("Parsed dataframe is empty")
+        raise ValueError("no rows were read")
     seen = Observation()
     trace: list[dict] = []
     cleaned = plan.transform(raw, trace=trace).observe(seen, F.count(F.lit(1)).alias("rows"))

@@ -37,6 +37,31 @@ def _leaf_type(kinds: set[str]) -> str:
     return "string"
 
 
+def rest(text: Column, doc: Column, leaves: list[dict]) -> Column:
+    """The whole text where the leaves do not hold all of it, otherwise NULL.
+
+    That is text that is no JSON object, and objects with a key that no leaf comes from, with an
+    object or a plain value where the other was expected, or with a value that its leaf's type
+    cannot take.
+    """
+    known: dict[tuple[str, ...], set[str]] = {(): set()}
+    for leaf in leaves:
+        for i, key in enumerate(leaf["keys"]):
+            known.setdefault(tuple(leaf["keys"][:i]), set()).add(key)
+    lost = doc.isNull()
+    for path, keys in known.items():
+        node = F.try_variant_get(doc, _path(path), "variant")
+        own = F.json_object_keys(F.to_json(node))
+        there = node.isNotNull() & (~F.is_variant_null(node) | F.lit(not path))
+        more = F.size(F.array_except(own, F.array(*map(F.lit, sorted(keys))))) > 0
+        lost = lost | (there & (own.isNull() | more))
+    for leaf in leaves:
+        value = F.try_variant_get(doc, leaf["path"], "variant")
+        typed = F.try_variant_get(doc, leaf["path"], leaf["type"])
+        lost = lost | (value.isNotNull() & ~F.is_variant_null(value) & typed.isNull())
+    return F.when(text.isNotNull() & F.coalesce(lost, F.lit(True)), text)
+
+
 def find_fields(df: DataFrame, column: str, cap: int) -> list[dict] | None:
     """Leaves ``{path, name, type}`` of the objects in a column, or None if they exceed ``cap``.
 
@@ -72,7 +97,7 @@ def find_fields(df: DataFrame, column: str, cap: int) -> list[dict] | None:
         for parent, key, kind_name in triples:
             keys = (*level[parent], key)
             if _path(keys) is None:
-                continue
+                continue  # stays in the rest column
             if kind_name == "OBJECT":
                 deeper[keys] = None
             else:
@@ -86,6 +111,7 @@ def find_fields(df: DataFrame, column: str, cap: int) -> list[dict] | None:
         fields.append(
             {
                 "path": _path(keys),
+                "keys": list(keys),
                 "name": f"{column}__" + ".".join(keys),
                 "type": _leaf_type(kinds),
             }

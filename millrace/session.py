@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SMALL_BYTES = 1 << 30
+SPLIT_BYTES = 512 << 20
 _made: dict[str, str] = {}  # application → folder, only where the session names none
 
 
@@ -31,14 +33,16 @@ def local_session(cpus: str = "*", app: str = "millrace", **conf: str) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, a laptop) is a temporary folder made.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and all work is
+    local (tests, a laptop) is a temporary folder made.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_KEY, None
     )
     if configured:
         return configured.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = tempfile.mkdtemp(prefix="millrace-")
@@ -60,8 +64,15 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan with very few splits over all cores.
 
     One gzip file or one Parquet row group is one task, however large the cluster.  Text work per
-    row costs far more than one shuffle of such an input.  Scans with enough splits are returned
-    as they are, so nothing that is large because it has many splits is ever shuffled here.
+    row costs far more than one shuffle of such an input.  What counts is the estimated size of a
+    split: beyond ``SPLIT_BYTES`` it could not be split by Spark; and inputs of at most
+    ``SMALL_BYTES`` in all cost next to nothing to deal out.  Everything else stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_BYTES and size < SPLIT_BYTES * cores:
+        return df
+    splits = max(1, df.rdd.getNumPartitions())
+    if size <= SMALL_BYTES:
+        return df.repartition(cores) if splits * 2 <= cores else df
+    return df.repartition(max(cores, size // SPLIT_BYTES)) if size / splits > SPLIT_BYTES else df

@@ -40,23 +40,45 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_feather(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow files, streamed batch by batch; the schema is that of the first file listed."""
+    """Arrow files, streamed batch by batch; the schema is the union of all files' schemas.
+
+    The schemas are read by tasks, and only the different ones reach the driver.  A column that a
+    file lacks is NULL there.
+    """
     files = list_files(spark, path)
-    first = files.first()
-    if first is None:
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {}
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                with _open(uri) as handle:
+                    own = pa.ipc.open_file(handle).schema.remove_metadata().serialize().to_pybytes()
+                found[own] = min(uri, found.get(own, uri))
+        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.binary()), pa.array([*found.values()], pa.string())], ["head", "uri"])
+
+    seen = files.mapInArrow(headers, "head binary, uri string").groupBy("head").agg({"uri": "min"}).collect()
+    if not seen:
         raise ValueError(f"no files at {path}")
-    with _open(first["path"]) as handle:
-        arrow_schema = pa.ipc.open_file(handle).schema.remove_metadata()
+    heads = [bytes(r["head"]) for r in sorted(seen, key=lambda r: r[1])]
+    arrow_schema = pa.unify_schemas(
+        [pa.ipc.read_schema(pa.py_buffer(h)) for h in heads], promote_options="permissive"
+    )
     schema = from_arrow_schema(arrow_schema, prefer_timestamp_ntz=True)
 
+    def filled(part: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [
+            part.column(f.name).cast(f.type) if f.name in part.schema.names else pa.nulls(part.num_rows, f.type)
+            for f in arrow_schema
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
+
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 with _open(uri) as handle:
                     reader = pa.ipc.open_file(handle)
                     for i in range(reader.num_record_batches):
-                        part = reader.get_batch(i)
-                        yield part.select(arrow_schema.names).cast(arrow_schema)
+                        yield filled(reader.get_batch(i))
 
     return files.mapInArrow(load, schema)
 

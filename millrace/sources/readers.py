@@ -17,18 +17,37 @@ Reader = Callable[..., DataFrame]
 
 
 def read_csv(
-    spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None, **opts
+    spark: SparkSession,
+    path: str,
+    sep: str = ",",
+    schema: T.StructType | str | None = None,
+    keep_damaged: str | None = None,
+    **opts,
 ) -> DataFrame:
-    """Delimited text with a header.  Give a schema for large inputs: inferring reads them twice."""
+    """Delimited text with a header.  Give a schema for large inputs: inferring reads them twice.
+
+    A line with too many or too few fields, or with a quote left open, raises an error: nothing is
+    shortened silently.  Values with line breaks need ``multiLine=True``, which reads each file in
+    one task.  ``keep_damaged`` names a column that receives damaged lines whole instead.
+    """
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
+        .option("columnPruning", False)  # else unread columns hide surplus fields
+        .option("mode", "FAILFAST" if keep_damaged is None else "PERMISSIVE")
         .options(**opts)
     )
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path)
+    if schema is None:
+        schema = reader.option("mode", "PERMISSIVE").option("inferSchema", True).csv(path).schema
+        reader = reader.option("mode", "FAILFAST" if keep_damaged is None else "PERMISSIVE").options(**opts)
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if keep_damaged is not None:
+        schema = T.StructType([*schema.fields, T.StructField(keep_damaged, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", keep_damaged)
+    return reader.schema(schema).csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str, **opts) -> DataFrame:
@@ -127,9 +146,12 @@ READERS: dict[str, Reader] = {
 }
 
 # Formats whose contents only a per-file desktop or media library can read.
-NOT_READ = (
-    ".xlsx .xls .ods .pdf .docx .doc .pptx .ppt .yaml .yml .wav .mp3 .mp4 .sqlite .db"
-).split()
+# fmt: off
+NOT_READ = (  # fixed values
+    ".xlsx", ".xls", ".ods", ".pdf", ".docx", ".doc", ".pptx", ".ppt", ".yaml", ".yml", ".wav", ".mp3", ".mp4",
+    ".sqlite", ".db",
+)
+# fmt: on
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None, **opts) -> DataFrame:

@@ -42,7 +42,10 @@ def cleaned_name(source: str) -> str:
 def write_csv(df: DataFrame, path: str, header: bool = True) -> str:
     """A folder of CSV part files, written in parallel.
 
-    Quotes are doubled rather than escaped by a backslash, so that any text survives re-reading.
+    Quotes are doubled rather than escaped by a backslash and blanks at the ends of values stay, so
+    that any text survives re-reading.
     """
-    df.write.mode("overwrite").option("header", header).option("escape", '"').csv(path)
+    writer = df.write.mode("overwrite").option("header", header).option("escape", '"')
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    writer.options(**blanks).csv(path)
     return path

@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.names import bare
 from millrace.plans.cleaning import CleaningPlan
-from millrace.session import scratch_path
 
 
 def source_schema(plan: CleaningPlan) -> str:
@@ -51,9 +50,10 @@ def write_landing(
 ) -> StreamingQuery:
     """Append to a parquet folder; ``once`` processes what is there and ends.
 
-    The checkpoint makes a restarted query continue where it was, without copies.
+    The checkpoint makes a restarted query continue where it was, without copies; unless named it
+    lies beside the output.
     """
-    place = checkpoint or scratch_path(cleaned.sparkSession, "stream-checkpoint")
+    place = checkpoint or path.rstrip("/") + "_checkpoint"
     writer = cleaned.writeStream.format("parquet").option("checkpointLocation", place)
     if once:
         writer = writer.trigger(availableNow=True)

@@ -188,6 +188,47 @@ def json_expand_nested(spark, d):
     )
 
 
+def json_expand_case(spark, d):
+    """Keys that differ in case only, and one with both kinds of quotes."""
+    df = table(spark, d, "events").selectExpr(
+        "event_id",
+        "concat('{\"ID\": ', user_id, ', \"id\": ', event_id, case when event_id % 4 = 0 then "
+        "', \"it''s \\\\\"so\\\\\"\": 1' else '' end, '}') as doc",
+    )
+    out = _fitted(df, split_delimiters=("|",))
+    return out.select("event_id", "doc__ID", "doc__id_2", F.col("doc__rest").isNotNull().alias("has_rest"))
+
+
+def json_expand_mixed(spark, d):
+    """A column of objects with arrays and broken documents in between: those are kept whole."""
+    df = table(spark, d, "events").selectExpr(
+        "event_id", "case when event_id % 10 = 0 then '[0, 9]' when event_id % 10 = 1 then '{broken}' else props end as doc"
+    )
+    return _fitted(df, split_delimiters=("|",))
+
+
+def transform_later_batch(spark, d):
+    """A plan fitted on two parts, two JSON keys and three levels, applied to rows that have more."""
+    events = table(spark, d, "events")
+    plain = events.selectExpr(
+        "event_id", "concat(event_type, '|', event_type) as parts", "concat('{\"a\": ', user_id, '}') as doc", "event_type as kind"
+    )
+    plan = fit(plain, _bare_text(enforce_schema={"kind": "category"}))
+    later = events.selectExpr(
+        "event_id", "concat(event_type, '|x|y') as parts",
+        "concat('{\"a\": ', user_id, case when event_id % 2 = 0 then ', \"b\": 2' else '' end, '}') as doc", "'new kind' as kind",
+    )
+    return plan.transform(later)
+
+
+def synonyms_duplicate_keys(spark, d):
+    """Mapping keys that agree in lower case do not multiply rows; the smallest target counts."""
+    segments = table(spark, d, "customer").select("c_mktsegment").distinct()
+    mapping = segments.selectExpr("c_mktsegment as k", "'b' as v").unionAll(segments.selectExpr("lower(c_mktsegment)", "'a'"))
+    df = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return lookup.apply_synonym_table(df, "c_mktsegment", mapping, "k", "v")
+
+
 def split_compound(spark, d):
     return _fitted(dirty_orders(spark, d).select("o_orderkey", "compound")).drop(
         "compound_part2_num"
@@ -296,6 +337,10 @@ QUERIES = {
         synonyms_table,
         json_expand,
         json_expand_nested,
+        json_expand_case,
+        json_expand_mixed,
+        transform_later_batch,
+        synonyms_duplicate_keys,
         split_compound,
         extract_numbers,
         winsorize_numeric,
@@ -427,10 +472,21 @@ select c_custkey, case lower(c_mktsegment) when 'automobile' then 'vehicles'
     "synonyms_table": """
 select p_partkey, concat('part ', cast(min(p_partkey) over (partition by p_name) as varchar)) as p_name
 from part""",
-    "json_expand": "select event_id, cast(json_extract(props, '$.k') as bigint) as props__k from events",
+    "json_expand": "select event_id, cast(json_extract(props, '$.k') as bigint) as props__k, "
+    "null::varchar as props__rest from events",
+    "json_expand_case": """
+select event_id, user_id as "doc__ID", event_id as doc__id_2, event_id % 4 = 0 as has_rest from events""",
+    "json_expand_mixed": """
+select event_id, case when event_id % 10 > 1 then cast(json_extract(props, '$.k') as bigint) end as doc__k,
+  case event_id % 10 when 0 then '[0, 9]' when 1 then '{broken}' end as doc__rest from events""",
+    "transform_later_batch": """
+select event_id, event_type as parts_part1, 'x|y' as parts_part2, user_id as doc__a,
+  case when event_id % 2 = 0 then concat('{"a": ', user_id, ', "b": 2}') end as doc__rest,
+  (select count(distinct event_type) from events) as kind from events""",
+    "synonyms_duplicate_keys": "select c_custkey, 'a' as c_mktsegment from customer",
     "json_expand_nested": """
 select event_id, user_id as doc__user_id, event_type as doc__user_kind, value as doc__v,
-  case when event_id % 3 = 0 then '[1,2]' end as doc__tags from events""",
+  case when event_id % 3 = 0 then '[1,2]' end as doc__tags, null::varchar as doc__rest from events""",
     "split_compound": f"select o_orderkey, split_part(compound, '|', 1) as compound_part1, "
     f"split_part(compound, '|', 2) as compound_part2 from {DIRTY_DUCK}",
     "extract_numbers": "select p_partkey, p_brand, "

@@ -58,14 +58,9 @@ def read_json_lines(spark, d):
 
 
 def read_json_documents(spark, d):
-    """One JSON array per file, as a whole-document reader expects."""
-    path = scratch_path(spark, "json")
-    row = F.to_json(F.struct("c_custkey", "c_name", "c_acctbal"))
-    grouped = _customers(spark, d).groupBy("c_nationkey").agg(
-        F.concat(F.lit("["), F.concat_ws(",", F.collect_list(row)), F.lit("]")).alias("value")
-    )
-    grouped.select("value").repartition(25).write.option("lineSep", "\n").text(path)
-    return read_any(spark, path, "json")
+    """Arrays of whole rows, one JSON array per file and task, as a whole-document reader expects."""
+    folder = written.json_files(_customers(spark, d))
+    return read_any(spark, folder, "json", schema=_customers(spark, d).schema)
 
 
 def read_xml(spark, d):
@@ -107,21 +102,53 @@ def read_tar(spark, d):
 
 
 def read_text(spark, d):
+    """Whole files, one per document."""
+    folder = written.text_files(_documents(spark, d))
+    return _members(read_any(spark, folder, "txt"), F.regexp_extract("path", r"(doc-\d+)", 1))
+
+
+def read_text_lines(spark, d):
     folder = scratch_path(spark, "text")
     table(spark, d, "customer").select("c_name").write.text(folder)
     return read_any(spark, folder, "txt", whole=False).select("text")
 
 
+def read_feather_mixed(spark, d):
+    """Files of which half lack a column and hold another one."""
+    customers = _customers(spark, d)
+    odd = customers.where("c_custkey % 2 = 1").drop("c_acctbal").withColumn("extra", F.col("c_custkey") + 1)
+    written.feather_files(odd, folder := scratch_path(spark, "feather"))
+    written.feather_files(customers.where("c_custkey % 2 = 0"), folder)
+    return read_any(spark, folder, "feather")
+
+
+def read_csv_corrupt(spark, d):
+    """Lines with a surplus field are kept whole, and all other lines are read."""
+    rows = _customers(spark, d).select(
+        F.concat_ws(",", "c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 10 == 0, F.lit("surplus"))).alias("value")
+    )
+    rows.write.text(path := scratch_path(spark, "csv"))
+    back = read_any(
+        spark, path, "csv", schema="c_custkey bigint, c_mktsegment string", keep_damaged="damaged", header=False
+    )
+    return back.select(
+        F.coalesce("c_custkey", F.element_at(F.split("damaged", ","), 1).cast("bigint")).alias("c_custkey"), "damaged"
+    )
+
+
 def read_mail(spark, d):
     mails = table(spark, d, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("name"),
         F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("subject"),
         F.concat(F.col("role"), F.lit("@example.org")).alias("sender"),
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("@example.org")).alias("recipient"),
-        F.concat(F.lit("Message "), F.md5("text")).alias("body"),
+        "text",
+        F.col("text").alias("body"),
+        F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<p>Zürich "), "role", F.lit("</p>"))).alias("html"),
     )
     back = read_any(spark, written.mail_files(mails), "eml")
-    return back.select("subject", "sender", "recipient", F.trim(F.replace("body", F.lit("\n"))).alias("body"))
+    flat = F.trim(F.regexp_replace("body", r"\s+", " "))
+    return back.select("subject", "sender", "recipient", F.md5(flat).alias("digest"))
 
 
 def html_text(spark, d):
@@ -140,9 +167,10 @@ def stored_table(spark, d):
 
 def bucketed_join(spark, d):
     """Two tables bucketed on the join key: the join needs no shuffle."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
         save_table(
-            table(spark, d, name), f"bucketed_{name}", scratch_path(spark, name), cluster_by=(8, (key,))
+            table(spark, d, name), f"bucketed_{name}", scratch_path(spark, name), cluster_by=(buckets, (key,))
         )
     orders, lines = spark.table("bucketed_orders"), spark.table("bucketed_lineitem")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -151,13 +179,25 @@ def bucketed_join(spark, d):
     )
 
 
+def html_attributes(spark, d):
+    """Known parts of a page around the text, markup signs inside attributes and an open comment."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    page = F.concat(
+        F.lit("<html><body><a title=\"x>y\" href='q>'>link "), F.col("page_id").cast("string"),
+        F.lit("</a><script data-x=\"</b>\">var a = '<p>';</script> of <b class='>'>"), "url",
+        F.lit("</b> 1 < 2 <img alt=\"open>rest<!-- never closed <p>lost</p>"),
+    )
+    out = add_html_text(pages.select("page_id", page.alias("html")), "html")
+    return out.select("page_id", "text")
+
+
 def csv_sink(spark, d):
     path = write_csv(dirty_orders(spark, d), scratch_path(spark, "csv"))
     kinds = "o_orderkey bigint, status_raw string, price_usd string, pct string, flag string, " \
         "compound string, price double"
     return read_any(
         spark, path, "csv", schema=kinds, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    ).select("o_orderkey", "price_usd", "pct", "flag", "compound", "price")
+    )
 
 
 # ---- streams and whole runs ----
@@ -165,14 +205,16 @@ def csv_sink(spark, d):
 
 def stream_clean(spark, d):
     """A fitted plan applied to event files as they arrive, then read back."""
-    events = table(spark, d, "events").select("event_id", "event_type", "value", "props")
+    events = table(spark, d, "events")
     landing, out = scratch_path(spark, "landing"), scratch_path(spark, "cleaned")
-    events.repartition(4).write.parquet(landing)
-    plan = fit(events, CleanerConfig(mark_outliers_zscore=False))
-    write_landing(clean_stream(read_landing(spark, landing, plan), plan), out).awaitTermination()
+    events.repartition(spark.sparkContext.defaultParallelism).write.parquet(landing)
+    plan = fit(events, CleanerConfig())
+    for _ in range(2):  # the second run finds nothing new and adds nothing
+        write_landing(clean_stream(read_landing(spark, landing, plan), plan), out).awaitTermination()
     done = spark.read.parquet(out)
     return done.select(
-        *(F.round(c, 4).alias(c) for c in ("event_id", "value", "props__k")), "event_type"
+        *(F.round(c, 4).alias(c) for c in ("event_id", "user_id", "value", "props__k")), "ts", "event_type",
+        "value_is_outlier",
     )
 
 
@@ -222,8 +264,12 @@ QUERIES = {
         read_zip,
         read_tar,
         read_text,
+        read_text_lines,
+        read_feather_mixed,
+        read_csv_corrupt,
         read_mail,
         html_text,
+        html_attributes,
         stored_table,
         bucketed_join,
         csv_sink,
@@ -249,7 +295,7 @@ ORACLES = {
     "read_csv_texts": "select doc_id, md5(text) as digest from documents",
     "read_tsv": _CUSTOMERS.replace("*", "* replace (c_custkey::int as c_custkey)"),
     "read_json_lines": _CUSTOMERS.replace("*", "* replace (c_nationkey::bigint as c_nationkey)"),
-    "read_json_documents": "select c_custkey, c_name, c_acctbal from customer",
+    "read_json_documents": _CUSTOMERS,
     "read_xml": _CUSTOMERS,
     "read_parquet": "select * from nation",
     "read_feather": _CUSTOMERS,
@@ -257,26 +303,39 @@ ORACLES = {
     "read_gzip_csv": _CUSTOMERS.replace("*", "* replace (c_custkey::int as c_custkey)"),
     "read_zip": _DIGESTS,
     "read_tar": _DIGESTS,
-    "read_text": "select c_name as text from customer",
+    "read_text": _DIGESTS,
+    "read_text_lines": "select c_name as text from customer",
+    "read_feather_mixed": """
+select c_custkey, c_name, c_nationkey, c_mktsegment, case when c_custkey % 2 = 0 then c_acctbal end as c_acctbal,
+  case when c_custkey % 2 = 1 then c_custkey + 1 end as extra from customer""",
+    "read_csv_corrupt": """
+select c_custkey, case when c_custkey % 10 = 0 then concat(c_custkey, ',', c_mktsegment, ',surplus') end as damaged
+from customer""",
+    "html_attributes": """
+select page_id, concat('link ', page_id, ' of ', url, ' 1 < 2 rest') as text from pages""",
     "read_mail": """
 select concat('Turn ', cast(turn as varchar)) as subject, concat(role, '@example.org') as sender,
   concat('c', cast(conv_id as varchar), '@example.org') as recipient,
-  concat('Message ', md5(text)) as body from conversations""",
+  md5(trim(regexp_replace(concat(text, case when turn % 2 = 0 then concat(' <p>Zürich ', role, '</p>') else '' end),
+    '\\s+', ' ', 'g'))) as digest from conversations""",
     "html_text": f"select page_id, length(t) as n, md5(t) as digest from (select page_id, {_HTML} as t from pages)",
     "stored_table": _CUSTOMERS,
     "bucketed_join": """
 select o_orderstatus, count(*) as n, round(sum(l_quantity), 2) as quantity
 from lineitem join orders on l_orderkey = o_orderkey group by o_orderstatus""",
-    "csv_sink": f"select o_orderkey, price_usd, pct, flag, compound, price from {DIRTY_DUCK}",
+    "csv_sink": f"select * from {DIRTY_DUCK}",
     "stream_clean": """
-with t as (select event_id::double as event_id, value, event_type,
+with t as (select event_id::double as event_id, user_id::double as user_id, value, ts, event_type,
     cast(json_extract(props, '$.k') as double) as props__k from events),
 q as (select quantile_cont(event_id, 0.01) as a1, quantile_cont(event_id, 0.99) as a2,
+  quantile_cont(user_id, 0.01) as u1, quantile_cont(user_id, 0.99) as u2,
   quantile_cont(value, 0.01) as b1, quantile_cont(value, 0.99) as b2,
-  quantile_cont(props__k, 0.01) as c1, quantile_cont(props__k, 0.99) as c2 from t)
-select round(greatest(least(event_id, a2), a1), 4) as event_id, event_type,
-  round(greatest(least(value, b2), b1), 4) as value,
-  round(greatest(least(props__k, c2), c1), 4) as props__k from t, q""",
+  quantile_cont(props__k, 0.01) as c1, quantile_cont(props__k, 0.99) as c2 from t),
+l as (select greatest(least(event_id, a2), a1) as event_id, greatest(least(user_id, u2), u1) as user_id, ts, event_type,
+  greatest(least(value, b2), b1) as value, greatest(least(props__k, c2), c1) as props__k from t, q)
+select round(event_id, 4) as event_id, round(user_id, 4) as user_id, round(value, 4) as value,
+  round(props__k, 4) as props__k, ts, event_type,
+  abs(value - avg(value) over ()) > 3 * stddev_pop(value) over () as value_is_outlier from l""",
     "file_to_table": CLEANING_SQL["clean_table"],
     "file_to_answer": f"""
 select case when o_orderkey % 11 in (0, 2) then 'unknown' when o_orderkey % 11 = 1 then 'n/a'

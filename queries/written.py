@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import tarfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from email.message import EmailMessage
@@ -29,8 +31,10 @@ def _store(folder: str, name: str, data: bytes) -> None:
         out.write(data)
 
 
-def _write(df: DataFrame, label: str, encode: Callable[[int, list], dict[str, bytes]]) -> str:
-    folder = scratch_path(df.sparkSession, label)
+def _write(
+    df: DataFrame, label: str, encode: Callable[[int, list], dict[str, bytes]], folder: str | None = None
+) -> str:
+    folder = folder or scratch_path(df.sparkSession, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -44,14 +48,28 @@ def _write(df: DataFrame, label: str, encode: Callable[[int, list], dict[str, by
     return folder
 
 
-def feather_files(df: DataFrame) -> str:
+def text_files(df: DataFrame) -> str:
+    """``(name, text)`` rows, a file each."""
+    return _write(df, "text", lambda i, batch: {f"{r['name']}.txt": r["text"].encode() for r in batch.to_pylist()})
+
+
+def json_files(df: DataFrame) -> str:
+    """One JSON array of whole rows per batch."""
+
+    def encode(i: int, batch: pa.RecordBatch) -> dict[str, bytes]:
+        return {f"part-{i}.json": json.dumps(batch.to_pylist()).encode()}
+
+    return _write(df, "json", encode)
+
+
+def feather_files(df: DataFrame, folder: str | None = None) -> str:
     def encode(i: int, batch: pa.RecordBatch) -> dict[str, bytes]:
         sink = io.BytesIO()
         with pa.ipc.new_file(sink, batch.schema) as writer:
             writer.write_batch(batch)
-        return {f"part-{i}.feather": sink.getvalue()}
+        return {f"part-{uuid.uuid4().hex}.feather": sink.getvalue()}
 
-    return _write(df, "feather", encode)
+    return _write(df, "feather", encode, folder)
 
 
 def zip_files(df: DataFrame) -> str:
@@ -91,7 +109,7 @@ def gzip_files(df: DataFrame) -> str:
 
 
 def mail_files(df: DataFrame) -> str:
-    """``(name, subject, sender, recipient, body)`` rows, every other one with an HTML part."""
+    """``(name, subject, sender, recipient, body, html)`` rows; those with ``html`` become multipart."""
 
     def encode(i: int, batch: pa.RecordBatch) -> dict[str, bytes]:
         out = {}
@@ -103,6 +121,8 @@ def mail_files(df: DataFrame) -> str:
                 row["recipient"],
             )
             message.set_content(row["body"])
+            if row["html"] is not None:
+                message.add_attachment(row["html"], subtype="html")
             out[f"{row['name']}.eml"] = message.as_bytes()
         return out
 

@@ -105,12 +105,33 @@ def test_json_fields(frame):
     df = frame("k int, j string", *enumerate(docs))
     config = CleanerConfig(split_delimiters=("|",), **QUIET)
     out = fit(df, config).transform(df)
-    assert sorted(out.columns) == ["j__a", "j__b.c", "j__b.d.e", "j__l", "k"]
+    assert sorted(out.columns) == ["j__a", "j__b.c", "j__b.d.e", "j__l", "j__rest", "k"]
     got = {r.k: r for r in out.collect()}
     assert got[0]["j__a"] == "1" and got[1]["j__a"] == "two" and got[2]["j__a"] is None
     assert got[0]["j__b.c"] == "X"  # case is kept inside JSON
     assert got[0]["j__b.d.e"] == 1.5 and got[0]["j__l"] == "[1,2]"
-    assert got[3]["j__a"] is None
+    assert got[3]["j__a"] is None and got[3]["j__rest"] == "{broken}"
+    assert all(got[k]["j__rest"] is None for k in range(3))
+
+
+def test_json_that_no_field_holds_is_kept(frame):
+    docs = ['{"a": 1, "b": {"c": 2}, "ID": 1, "id": 2}', '{"a": 3, "b": {"c": 4}}']
+    plan = fit(frame("k int, j string", *enumerate(docs)), CleanerConfig(split_delimiters=("|",), **QUIET))
+    odd = [
+        '{"a": 1, "new": 2}', '{"b": {"c": 1, "d": 2}}', '{"a": "text"}', '{"b": 7}', "[0, 9]", "17",
+        '{"a": null, "b": {"c": 5}}', """{"it's \\"so\\"": 1}""",
+    ]
+    out = {r.k: r for r in plan.transform(frame("k int, j string", *enumerate(odd))).collect()}
+    kept = {k for k, r in out.items() if r["j__rest"] is not None}
+    assert kept == {0, 1, 2, 3, 4, 5, 7} and all(out[k]["j__rest"] == odd[k] for k in kept)
+    same = {r.k: r for r in plan.transform(frame("k int, j string", *enumerate(docs))).collect()}
+    assert (same[0]["j__ID"], same[0]["j__id_2"], same[0]["j__rest"]) == (1, 2, None)
+
+
+def test_later_batches_lose_nothing(frame):
+    plan = fit(frame("k int, c string", (1, "a|b"), (2, "x|y")), CleanerConfig(**QUIET))
+    (later,) = plan.transform(frame("k int, c string", (3, "a|b|c|d"))).collect()
+    assert (later.c_part1, later.c_part2) == ("a", "b|c|d")
 
 
 def test_too_many_json_fields_stay_text(spark):
@@ -190,11 +211,11 @@ def test_categories_keep_their_codes(spark, frame, monkeypatch):
     df = frame("k string, c string", ("1", "b"), ("2", "a"), ("3", "c"))
     plan = fit(df, config)
     later = frame("k string, c string", ("9", "c"), ("8", "zzz"))
-    assert rows_of(plan.transform(later)) == [(8, None), (9, 2)]
+    assert rows_of(plan.transform(later)) == [(8, 3), (9, 2)]
     monkeypatch.setattr(fitting, "LEVELS_IN_PLAN", 1)
     stored = fit(df, config)
     assert "path" in stored.levels["c"]
-    assert rows_of(stored.transform(later)) == [(8, None), (9, 2)]
+    assert rows_of(stored.transform(later)) == [(8, 3), (9, 2)]
 
 
 def test_wrong_options(frame):
