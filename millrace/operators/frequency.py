@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.longform import SLOT, field, melt, named, non_null
 from millrace.operators.names import bare
+from millrace.session import scratch_path
 
 _LONGS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _TIMES = (T.TimestampType, T.TimestampNTZType)
@@ -72,11 +73,39 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> list[tuple[list[str],
     return out
 
 
+Counts = list[tuple[list[str], DataFrame]]
+
+
+def pinned_counts(df: DataFrame, columns: Sequence[str]) -> Counts:
+    """The value counts stored once below the shared folder, for several uses."""
+    spark, out = df.sparkSession, []
+    for names, counts in value_counts(df, columns):
+        path = scratch_path(spark, "value-counts")
+        counts.write.parquet(path)
+        out.append((names, spark.read.schema(counts.schema).parquet(path)))
+    return out
+
+
+def _counted(df: DataFrame, columns: Sequence[str], counts: Counts | None) -> Counts:
+    """The given counts cut down to ``columns``, or counts of their own."""
+    if counts is None:
+        return value_counts(df, columns)
+    wanted = set(columns)
+    kept = [(names, [i for i, c in enumerate(names) if c in wanted], frame) for names, frame in counts]
+    return [
+        (names, frame if len(slots) == len(names) else frame.where(F.col(SLOT).isin(*slots)))
+        for names, slots, frame in kept
+        if slots
+    ]
+
+
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+def distinct_counts(
+    df: DataFrame, columns: Sequence[str], approx: bool = False, counts: Counts | None = None
+) -> DataFrame:
     """``(column_name, n_distinct)`` over non-null values.
 
     Exact counting shuffles each column's distinct values; ``approx`` needs one small sketch
@@ -93,8 +122,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
         return _union(frames)
     return _union(
         [
-            named(counts.groupBy(SLOT).agg(F.count(F.lit(1)).alias("n_distinct")), names)
-            for names, counts in value_counts(df, columns)
+            named(found.groupBy(SLOT).agg(F.count(F.lit(1)).alias("n_distinct")), names)
+            for names, found in _counted(df, columns, counts)
         ]
     )
 
@@ -106,7 +135,9 @@ def _by_family(df: DataFrame, columns: Sequence[str]) -> list[list[str]]:
     return list(out.values())
 
 
-def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
+def top_values(
+    df: DataFrame, columns: Sequence[str], k: int = 5, counts: Counts | None = None
+) -> DataFrame:
     """``(column_name, value, n, rank)``: the k most frequent non-null values per column.
 
     Ties go to the smaller value.  Spark limits each task's candidates to k per column before
@@ -114,8 +145,8 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     """
     order = Window.partitionBy(SLOT).orderBy(F.desc("n"), F.asc("value"))
     frames = []
-    for names, counts in value_counts(df, columns):
-        best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    for names, found in _counted(df, columns, counts):
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         shown = _shown_by_slot(df, names, F.col("value")).alias("value")
         frames.append(named(best.select(SLOT, shown, "n", F.col("rank").cast("long")), names))
     return _union(frames)
@@ -133,15 +164,17 @@ def _shown_by_slot(df: DataFrame, names: Sequence[str], key: Column) -> Column:
     return cases
 
 
-def value_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def value_summary(
+    df: DataFrame, columns: Sequence[str], counts: Counts | None = None
+) -> DataFrame:
     """``(column_name, count, unique, top, freq)`` from one table of value counts per type family.
 
     Columns without any value have a row too.
     """
     frames = [df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")]
-    for names, counts in value_counts(df, columns):
+    for names, own in _counted(df, columns, counts):
         best = F.min(F.struct((-F.col("n")).alias("minus"), F.col("value"))).alias("best")
-        found = counts.groupBy(SLOT).agg(
+        found = own.groupBy(SLOT).agg(
             F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), best
         )
         top = _shown_by_slot(df, names, F.col("best.value")).alias("top")

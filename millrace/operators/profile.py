@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,8 @@ Z_LIMIT = 3.0  # fixed value: |z| above it is an outlier
 HIGH_NULL = 0.3  # fixed value: share of NULLs above which a column is reported
 HIGH_DISTINCT = 0.7  # fixed value: distinct values per row above which a column is reported
 
-PAIRS_PER_JOB = 300
+PAIRS_PER_JOB = 300  # more pairs are summed as matrices
+MATRIX_ROWS = 4096
 
 _WIDTHS = {
     T.BooleanType: 1,
@@ -76,11 +79,14 @@ def high_null_columns(df: DataFrame, limit: float = HIGH_NULL) -> DataFrame:
 
 
 def high_cardinality_columns(
-    df: DataFrame, limit: float = HIGH_DISTINCT, approx: bool = False
+    df: DataFrame,
+    limit: float = HIGH_DISTINCT,
+    approx: bool = False,
+    counts: frequency.Counts | None = None,
 ) -> DataFrame:
     """``(column_name, n_distinct, distinct_ratio)``: distinct values over **all** rows."""
     rows = null_summary(df).select("column_name", "n_rows")
-    joined = frequency.distinct_counts(df, df.columns, approx).join(rows, "column_name")
+    joined = frequency.distinct_counts(df, df.columns, approx, counts).join(rows, "column_name")
     ratio = F.try_divide(F.col("n_distinct"), F.col("n_rows"))
     return joined.select("column_name", "n_distinct", ratio.alias("distinct_ratio")).where(
         F.col("distinct_ratio") > limit
@@ -197,7 +203,12 @@ def profile_columns(
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def describe(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    approx: bool = False,
+    counts: frequency.Counts | None = None,
+) -> DataFrame:
     """count, unique, top, freq for text; mean, std, min, quartiles, max for numbers."""
     chosen = _checked(df, columns)
     numbers = [c for c in chosen if c in number_columns(df)]
@@ -231,7 +242,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
         )
     if others:
         frames.append(
-            frequency.value_summary(df, others).select(
+            frequency.value_summary(df, others, counts).select(
                 "column_name",
                 "count",
                 "unique",
@@ -277,13 +288,56 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
                 settled += [(x, chosen[j], value)] + ([(chosen[j], x, value)] if i != j else [])
             else:
                 open_pairs.append((i, j))
-    for start in range(0, len(open_pairs), PAIRS_PER_JOB):
-        batch = open_pairs[start : start + PAIRS_PER_JOB]
-        for (i, j), value in zip(batch, _pair_correlations(df, chosen, stats, batch)):
-            settled += [(chosen[i], chosen[j], value), (chosen[j], chosen[i], value)]
+    if len(open_pairs) > PAIRS_PER_JOB:
+        values = _matrix_correlations(df, chosen, stats, open_pairs)
+    else:
+        values = _pair_correlations(df, chosen, stats, open_pairs) if open_pairs else []
+    for (i, j), value in zip(open_pairs, values):
+        settled += [(chosen[i], chosen[j], value), (chosen[j], chosen[i], value)]
     return spark.createDataFrame(settled, "x string, y string, corr double")
 
 
+def _matrix_correlations(df, chosen, stats, pairs) -> list[float]:
+    """All pairs in one scan: each task adds up products of the centred columns as matrices.
+
+    Per column a row of sums over its common rows with every other column comes back:
+    products, own values, own squares, and how many rows there are.
+    """
+    used = sorted({k for pair in pairs for k in pair})
+    m = len(used)
+    centred = df.select(*((as_double(df, chosen[k]) - F.lit(stats[k]["mean"])).alias(f"v{k}") for k in used))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, m, m))
+        for batch in batches:
+            for start in range(0, batch.num_rows, MATRIX_ROWS):
+                part = batch.slice(start, MATRIX_ROWS)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns])
+                there = ~np.isnan(x)
+                x, n = np.where(there, x, 0.0), there.astype(float)
+                total += np.stack((x.T @ x, x.T @ n, (x * x).T @ n, n.T @ n))
+        rows = np.concatenate(total, axis=1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(m), pa.int32()), pa.array(list(rows), pa.list_(pa.float64()))], ["i", "sums"]
+        )
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = np.sum([np.array(r) for r in rows.column("sums").to_pylist()], axis=0)
+        return pa.table({"i": pa.array([rows.column("i")[0].as_py()], pa.int32()), "sums": pa.array([total], pa.list_(pa.float64()))})
+
+    schema = "i int, sums array<double>"
+    total = np.zeros((m, 4 * m))
+    for r in centred.mapInArrow(sums, schema).groupBy("i").applyInArrow(added, schema).collect():
+        total[r["i"]] = r["sums"]
+    products, own, squares, n = (total[:, k * m : (k + 1) * m] for k in range(4))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean, spread = own / n, np.sqrt(np.maximum(squares / n - (own / n) ** 2, 0))
+        found = (products / n - mean * mean.T) / (spread * spread.T)
+    found = np.where(np.isfinite(found), found, 0.0)
+    place = {k: i for i, k in enumerate(used)}
+    return [float(found[place[i], place[j]]) for i, j in pairs]
+
+
 def _pair_correlations(df, chosen, stats, pairs) -> list[float]:
     """One scan of the columns in ``pairs``; a few sums per pair come back."""
     used = sorted({k for pair in pairs for k in pair})
@@ -340,17 +394,24 @@ def cleaning_report(df: DataFrame) -> DataFrame:
 
 
 def analyze(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
-    """Every part of the table analysis, each a lazy frame of its own."""
+    """Every part of the table analysis, each a frame of its own.
+
+    The values are counted once, before anything else, and the counts stored: distinct counts,
+    frequent values and the summary of text columns all read them.  With ``approx`` only the text
+    columns are counted.
+    """
+    counted = text_columns(df) if approx else df.columns
+    counts = frequency.pinned_counts(df, counted) if counted else []
     return {
         "null_summary": null_summary(df),
         "high_null_columns": high_null_columns(df),
-        "high_cardinality_columns": high_cardinality_columns(df, approx=approx),
-        "frequent_values": frequency.top_values(df, text_columns(df), 3)
+        "high_cardinality_columns": high_cardinality_columns(df, approx=approx, counts=counts),
+        "frequent_values": frequency.top_values(df, text_columns(df), 3, counts)
         if text_columns(df)
         else df.sparkSession.createDataFrame(
             [], "column_name string, value string, n bigint, rank bigint"
         ),
         "data_bytes": data_bytes(df),
-        "describe": describe(df, approx=approx),
+        "describe": describe(df, approx=approx, counts=None if approx else counts),
         "correlation": correlation(df),
     }

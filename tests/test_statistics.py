@@ -138,3 +138,25 @@ def test_large_synonym_maps_join(frame):
     mapping = {f"k{i}": f"v{i}" for i in range(lookup.LITERAL_ENTRIES + 1)}
     got = [r[0] for r in lookup.apply_synonyms(df, "s", mapping).collect()]
     assert sorted(got, key=repr) == ["other", "v1", None]
+
+
+def test_many_correlations_in_few_scans(spark):
+    """A thousand columns, some with gaps: matrices instead of pairs."""
+    n = 200
+    value = lambda i: F.when(F.col("id") % (i + 3) != 0, F.pmod(F.xxhash64("id", F.lit(i % 7)), F.lit(100)) + F.col("id") * (i % 3))
+    df = spark.range(300).select(*(value(i).cast("double").alias(f"c{i}") for i in range(n)))
+    got = {(r.x, r.y): r.corr for r in profile.correlation(df).collect()}
+    assert len(got) == n * n
+    pdf = df.toPandas()
+    for x, y in (("c0", "c1"), ("c5", "c12"), ("c7", "c14"), ("c0", "c199"), ("c3", "c3")):
+        assert got[x, y] == pytest.approx(pdf[x].corr(pdf[y]), abs=1e-9)
+
+
+def test_analysis_counts_values_once(spark):
+    df = spark.range(200).select((F.col("id") % 7).alias("a"), F.concat(F.lit("t"), F.col("id") % 5).alias("t"))
+    parts = profile.analyze(df)
+    plans = [parts[p]._jdf.queryExecution().toString() for p in ("high_cardinality_columns", "frequent_values", "describe")]
+    assert all("value-counts" in plan for plan in plans)
+    assert {r.column_name: r.n_distinct for r in profile.high_cardinality_columns(df, 0.0).collect()} == {"a": 7, "t": 5}
+    top = parts["frequent_values"].where("rank = 1").first()
+    assert (top.column_name, top.value, top.n) == ("t", "t0", 40)
