@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +56,20 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         yield batch.slice(start)
 
 
+def per_process(key: object, make: Callable[[], object], most: int = 8) -> object:
+    """``make()`` once per worker process and key; beyond ``most`` the oldest is forgotten.
+
+    The package travels with each task by value, so a module's own variables would be new every time.
+    """
+    home = sys.modules.setdefault("_millrace_kept", types.ModuleType("_millrace_kept"))
+    kept = home.__dict__.setdefault("kept", {})
+    if key not in kept:
+        while len(kept) >= most:
+            kept.pop(next(iter(kept)))
+        kept[key] = make()
+    return kept[key]
+
+
 def ascii_lower(text: str) -> str:
     """A-Z lower-cased, all else as it is."""
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")

@@ -22,14 +22,13 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.base import slices, table
+from millrace.llm.base import per_process, slices, table
 
 NEVER = 1 << 30
 KNOWN_WORDS = 400_000  # words remembered per worker; forgotten all at once beyond that
@@ -212,10 +211,9 @@ class Codec:
         return " ".join(map(self.labels.__getitem__, memoryview(ids).cast("I")))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """Compiled once per worker process."""
-    return Codec(path)
+    return per_process(("codec", path), lambda: Codec(path))
 
 
 def _keep(df: DataFrame, names: tuple[str, ...]) -> DataFrame:

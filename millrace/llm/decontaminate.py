@@ -19,8 +19,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.base import slices, table
+from millrace.llm.base import per_process, slices, table
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -47,7 +47,6 @@ def normal_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").translate(NORMAL)
 
 
-@lru_cache(maxsize=2)
 def automaton(items: tuple[tuple[str, str | None], ...], window: int):
     """Framed window -> (word count, item ids); None without windows."""
     windows: dict[str, tuple[int, set[str]]] = {}
@@ -136,11 +135,12 @@ def scan(
 
 
 def _task(shared, window: int, kept: int, names: list[str], last: bool):
+    label = uuid.uuid4().hex
     hit_type = pa.list_(pa.struct([("item", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(shared.value, window)
+        auto = per_process(("automaton", label), lambda: automaton(shared.value, window))
         for piece in slices(batches, "__text"):
             columns = [piece.column(i) for i in range(kept)]
             rows = []

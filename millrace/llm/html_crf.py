@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.base import slices, table
+from millrace.llm.base import per_process, slices, table
 
 SAMPLE_PAGES = 200  # pages whose words fill the layouts
 SAMPLE_BYTES = 64 << 10  # only pages up to this size lend words
@@ -187,6 +188,12 @@ class Model:
         self.table: dict[str, float] = {}
         self.paths: dict[tuple[str, ...], float] = {}
 
+    @classmethod
+    def of(cls, table: dict[str, float], pairs: list[list[float]]) -> Model:
+        model = cls()
+        model.table, model.pairs = table, np.array(pairs)
+        return model
+
     def features(self, found: list[Block]) -> list[list[str]]:
         n = max(1, len(found) - 1)
         return [path_features(b.path) + text_features(b, i / n) for i, b in enumerate(found)]
@@ -399,12 +406,13 @@ def train(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> Mod
 
 def extract(pages: DataFrame, model: Model | None, *, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
     """``keep``, text and n_chars of every page."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast(model and (model.table, model.pairs.tolist()))
+    label = uuid.uuid4().hex
     names = [*keep]
     source = pages.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{html}`").cast("string").alias("__html"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.value and per_process(("crf", label), lambda: Model.of(*shared.value))
         for piece in slices(batches, "__html"):
             texts = [model.text(h) if model else "" for h in piece.column("__html").to_pylist()]
             made = [pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())]

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.base import WORDS, ascii_lower, slices, stored, table
+from millrace.llm.base import WORDS, ascii_lower, per_process, slices, stored, table
 from millrace.llm.suffix_index import Bloom
 
 SHINGLE, PERCENT = 4, 80
@@ -60,9 +60,6 @@ class WordHashes(dict):
         return h
 
 
-_hashes = WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -74,7 +71,8 @@ def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
     words = WORDS.findall(ascii_lower(text or ""))
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    known = per_process("word-hashes", WordHashes)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(width, len(h))
     total = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
@@ -86,7 +84,7 @@ def _borrowing() -> np.ndarray:
     """For each bucket the buckets it borrows from, in order: fixed pseudo-random numbers."""
     n, tries = BUCKETS, 512
     cells = np.arange(n * tries, dtype=np.uint64) + np.uint64(1)
-    return (_mixed(cells * np.uint64(MIX[2])) % np.uint64(n)).astype(np.int64).reshape(n, tries)
+    return (_mixed(cells * np.uint64(MIX[2])) % np.uint64(n)).astype(np.uint16).reshape(n, tries)
 
 
 BORROW = _borrowing()
@@ -196,7 +194,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFrame
             ids = piece.column("doc_id")
             keep = [len(s) > 0 for s in sets]
             if bloom is not None:
-                found = bloom.value.has(_row_keys(ids.to_pylist(), [xxhash.xxh3_128_digest(s) for s in sets]))
+                found = Bloom(*bloom.value).has(_row_keys(ids.to_pylist(), [xxhash.xxh3_128_digest(s) for s in sets]))
                 keep = [k and bool(f) for k, f in zip(keep, found, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], ["rep", "shingles"]).filter(pa.array(keep, pa.bool_()))
 
@@ -213,7 +211,7 @@ def _bloom_of(wanted: DataFrame, size: int):
     total = Bloom(size)
     for r in wanted.coalesce(8).mapInArrow(work, "bits binary").toLocalIterator():
         total.bits |= np.frombuffer(bytes(r.bits), np.uint8)
-    return wanted.sparkSession.sparkContext.broadcast(total)
+    return wanted.sparkSession.sparkContext.broadcast((total.size, total.bits))
 
 
 def _promising(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:

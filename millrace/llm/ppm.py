@@ -110,6 +110,16 @@ class Model:
         self.costs = costs.astype(np.float32).reshape(-1, len(langs))
         self.rows = rows.astype(np.int32)
 
+    def state(self) -> dict:
+        """Plain values to broadcast."""
+        return dict(vars(self))
+
+    @classmethod
+    def of(cls, state: dict) -> Model:
+        model = cls.__new__(cls)
+        vars(model).update(state)
+        return model
+
     def code_lengths(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per text and language; bytes coded per text."""
         data, starts = joined(texts)
@@ -187,11 +197,11 @@ def train(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", la
 
 def predict(docs: DataFrame, model: Model | None, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` and lang_pred, score (posterior), bits_per_byte (NULL for ``und``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model and model.state())
     source = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").cast("string").alias("__text"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model.of(shared.value) if shared.value else None
         for piece in slices(batches, "__text"):
             texts = piece.column("__text").to_pylist()
             names, scores, per_byte = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)

@@ -385,7 +385,7 @@ def _bloom(lookups: DataFrame):
     few = stored(lookups.coalesce(8).mapInArrow(work, "bits binary"), "lookups")
     for r in few.toLocalIterator():
         total.bits |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.bits)), np.uint8)
-    return lookups.sparkSession.sparkContext.broadcast(total)
+    return lookups.sparkSession.sparkContext.broadcast((total.size, total.bits))
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +397,7 @@ def _sought(docs: DataFrame, bloom, shards: int) -> DataFrame:
     """(shard, docs, places, context): the bytes around the anchors that the filter selects, packed."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = bloom.value
+        wanted = Bloom(*bloom.value)
         for piece in slices(batches, "text"):
             texts, parts = _texts(piece), []
             for rows, doc, place, h in _found(texts):
