@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ def fit(
     stage = _fit_new_columns(plan, df, found)
     _fit_numbers(plan, stage)
     _fit_text(plan, stage)
-    _fit_levels(plan, stage)
+    _fit_levels(plan, df)
     return plan
 
 
@@ -140,11 +141,13 @@ def _fit_new_columns(
 ) -> DataFrame:
     """JSON fields, compound parts and number companions, in step order.
 
-    Returns the frame before the numeric steps.
+    Returns the frame before the numeric steps, rows without any value included.
     """
     cfg = plan.config
     changed = {c for c in cfg.categorical_synonyms if c in plan.kept}
-    stage = plan.transform(df, until="json_column_expansion")
+    # Rows without any value hold nothing to learn from; not asking for them keeps every later pass
+    # from reading all columns.  Their number is known from the first one.
+    stage = plan.transform(df, until="json_column_expansion", skip=("drop_empty_rows",))
     for c in plan.json_columns:
         if c not in stage.columns:
             continue
@@ -165,7 +168,7 @@ def _fit_new_columns(
     rests = {*plan.json_rest.values()}
     texts = [c for c in text_columns(stage) if c not in rests]
     fresh = [c for c in texts if c not in found or c in changed]
-    found = found | looks.look_at_shapes(stage, fresh, cfg)
+    found = found | looks.look_at_shapes(stage, fresh, cfg, plan.rows_filled)
     for c in texts:
         parts = looks.part_count(cfg, found[c])
         taken = {n.lower() for n in stage.columns}
@@ -174,7 +177,9 @@ def _fit_new_columns(
 
     stage = plan.transform(stage, "split_compound_columns", "extract_numbers_from_text")
     texts = [c for c in text_columns(stage) if c not in rests]
-    found = found | looks.look_at_shapes(stage, [c for c in texts if c not in found], cfg)
+    found = found | looks.look_at_shapes(
+        stage, [c for c in texts if c not in found], cfg, plan.rows_filled
+    )
     plan.numbers = [
         c
         for c in texts
@@ -231,6 +236,7 @@ def _fit_moments(plan: CleaningPlan, stage: DataFrame, columns: list[str]) -> No
     found = moments(stage, [plan.limited(stage, c).cast("double") for c in columns], columns)
     for c, m in found.items():
         if m.n:
+            m = replace(m, rows=plan.rows_filled)
             m = m.filled(plan.medians[c]) if c in plan.medians else m
             plan.moments[c] = (m.mean, m.sd)
 
@@ -248,12 +254,12 @@ def _fit_text(plan: CleaningPlan, stage: DataFrame) -> None:
         plan.fills = dict.fromkeys(columns, cfg.categorical_impute_value)
 
 
-def _fit_levels(plan: CleaningPlan, stage: DataFrame) -> None:
+def _fit_levels(plan: CleaningPlan, df: DataFrame) -> None:
     """Codes of the columns declared as categories, so that later batches get the same ones."""
     wanted = [c for c, kind in plan.config.enforce_schema.items() if kind == "category"]
     if not wanted:
         return
-    stage = plan.transform(stage, "limit_numeric", "enforce_schema", skip=("dedupe_rows",))
+    stage = plan.transform(df, until="enforce_schema", skip=("dedupe_rows",))
     for c in wanted:
         if c not in stage.columns:
             continue

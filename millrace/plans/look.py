@@ -157,18 +157,23 @@ def look_at_table(df: DataFrame, cfg: CleanerConfig) -> tuple[int, dict[str, Loo
     return total, looks
 
 
-def look_at_shapes(df: DataFrame, columns: Sequence[str], cfg: CleanerConfig) -> dict[str, Look]:
-    """Delimiter, part and digit counts of columns that only came into being on the way."""
+def look_at_shapes(
+    df: DataFrame, columns: Sequence[str], cfg: CleanerConfig, n_rows: int
+) -> dict[str, Look]:
+    """Delimiter, part and digit counts of columns that only came into being on the way.
+
+    ``n_rows`` is the number of rows with any value; ``df`` may hold others.
+    """
     if not columns:
         return {}
     melted = _with_digit(melt(df, [{"v": bare(c)} for c in columns]))
-    aggs = {"rows": F.count(F.lit(1)), "n": F.count("v")}
+    aggs = {"n": F.count("v")}
     aggs |= _shape_counts(cfg, F.col("v"), F.col("some"))
     found = _collect(melted, cfg, aggs)
     out = {}
     for i, c in enumerate(columns):
         r = found.get(i)
-        out[c] = Look(r["rows"], r["n"], False, r["n"], r.asDict()) if r else Look()
+        out[c] = Look(n_rows, r["n"], False, r["n"], r.asDict()) if r else Look()
     return out
 
 

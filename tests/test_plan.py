@@ -236,3 +236,25 @@ def test_many_renamed_columns(spark):
     plan = fit(df)
     out = plan.transform(df)
     assert out.count() == 300 and len(plan.bounds) == 51
+
+
+def test_numeric_passes_read_only_their_columns(spark, tmp_path):
+    """Beyond the first pass no scan reads a column it does not aggregate."""
+    path = f"{tmp_path}/t"
+    spark.range(300).select(
+        "id", (F.col("id") % 50).cast("double").alias("x"), F.concat(F.lit("text "), F.col("id") % 9).alias("t")
+    ).write.parquet(path)
+    df = spark.read.parquet(path)
+    plan = fit(df, CleanerConfig(**QUIET))
+    stage = plan.transform(df, until="limit_numeric", skip=("drop_empty_rows",)).agg(F.avg("x"))
+    schema = stage._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1]
+    assert "x:double" in schema and "t:string" not in schema and "id:" not in schema
+
+
+def test_empty_rows_do_not_count(frame):
+    rows = [(float(i), f"v{i % 2}") for i in range(9)] + [(None, "v0"), (None, None), (None, None)]
+    config = CleanerConfig(mark_outliers_zscore=True, dedupe=False, enforce_schema={"t": "category"}, drop_constant_columns=False)
+    with_empty, without = (fit(frame("x double, t string", *r), config) for r in (rows, rows[:10]))
+    assert with_empty.medians == without.medians and with_empty.moments.keys() == without.moments.keys()
+    assert all(with_empty.moments[c] == pytest.approx(m) for c, m in without.moments.items())
+    assert with_empty.levels == without.levels and with_empty.fills == without.fills
