@@ -15,7 +15,7 @@ from millrace.session import scratch_path
 
 WORD_SPACE = r"[\x20\x09-\x0D]"  # what separates words in the contracts
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-SLICE_BYTES = 32 << 20  # text handled at once inside a task
+SLICE_BYTES = 8 << 20  # text handled at once inside a task
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -46,7 +46,7 @@ CELL = 256  # sets on each side of a comparison between components
 FILTER_BYTES, BLOOM_BITS = 48 << 20, 12
 CHANCE = 2.0**-MANTISSA / 3  # two unrelated registers agree: in the zeros a third of the time, and in the mantissa
 MARGIN = 6.0
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
