@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bloom_lm, bpe, decontaminate, html_crf, hyperminhash, line_dedup, ppm, quality, suffix_index, warc
+from millrace.llm import bloom_lm, bpe, decontaminate, html_crf, hyperminhash, line_dedup, oracles, ppm, quality, suffix_index, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,4 +16,10 @@ QUERIES = {
     "op9_suffix_dedup": suffix_index.op9_suffix_dedup,
     "op10_near_dedup": hyperminhash.op10_near_dedup,
 }
-ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
+    "op5_decontaminate": oracles.DECONTAMINATE,
+    "op7_line_dedup": line_dedup.ORACLE,
+    "op9_suffix_dedup": oracles.REPEATS,
+    "op10_near_dedup": oracles.NEAR_COPIES,
+}
