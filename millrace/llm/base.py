@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import types
@@ -41,7 +42,8 @@ def fold_of(column: str, folds: int) -> Column:
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that one piece holds about ``most`` bytes of text at most.
 
-    A single longer text is a piece of its own.
+    A single longer text is a piece of its own.  At the end the worker gives back the memory it no
+    longer uses, for it may live on through many tasks.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -54,6 +56,15 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of Arrow and of the C library back to the system, where they can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def per_process(key: object, make: Callable[[], object], most: int = 8) -> object:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from millrace.llm.base import per_process, slices, table
 
 NEVER = 1 << 30
-KNOWN_WORDS = 150_000  # words remembered per worker; forgotten all at once beyond that
+KNOWN_WORDS = 100_000  # words remembered per worker; forgotten all at once beyond that
 KNOWN_ARCS = 1_000_000
 SHORT = 64  # only words up to this many characters are remembered
 # the space of the tokenizers library's patterns
