@@ -6,7 +6,7 @@ one with the smallest hash is an *anchor*, so two equal strings hold the same an
 indexing the suffixes that begin at anchors (one byte in thirteen) finds every repeat.
 
 A suffix array here is a run of anchors sorted by gram (32 bits of its hash within a shard of the hash
-space), then by ``REACH`` bytes of context to either side (hashed), document and place.  Every task of a new
+space), then by a 64-bit hash of the gram and ``REACH`` bytes of context to either side, document and place.  Every task of a new
 batch makes one run per shard.  In a shard the runs form a family of levels: a run as large as a level is
 merged with it, so sizes grow geometrically and each anchor is merged a logarithmic number of times.
 The levels are written out, and ``insert`` goes on from them.
@@ -49,7 +49,7 @@ SHARD_BYTES = 6 << 20  # of text per shard
 BLOCK_BYTES = 48 << 20
 BITS, PROBES = 12, 5
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-TYPES = {"gram": np.uint32, "context": np.uint32, "doc": np.int64, "place": np.uint32}
+TYPES = {"gram": np.uint32, "context": np.uint64, "doc": np.int64, "place": np.uint32}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -144,7 +144,7 @@ def around(text: bytes, place: int) -> bytes:
 
 
 def contexts(texts: dict[int, bytes], docs: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Hash of what surrounds each anchor, and of how far the text reaches on either side."""
+    """Hash of each anchor's gram and surroundings, and of how far the text reaches on either side."""
     out = np.zeros(len(docs), np.uint64)
     for a, b in stretches(docs):
         text, p = texts[int(docs[a])], places[a:b]
@@ -152,7 +152,8 @@ def contexts(texts: dict[int, bytes], docs: np.ndarray, places: np.ndarray) -> n
         near = bytes(max(0, REACH - low)) + text[max(0, low - REACH) : high] + bytes(max(0, high - len(text)) + 8)
         h, q = hashes(eights(np.frombuffer(near, np.uint8)), REACH), p - low
         reach = np.minimum(p, REACH) * 64 + np.minimum(len(text) - p - GRAM, REACH)
-        out[a:b] = mixed(mixed(h[q] * M1 + h[q + GRAM + REACH]) + reach.astype(np.uint64))
+        gram = mixed(h[q + REACH] * M1 + h[q + GRAM])  # the two overlap and cover it
+        out[a:b] = mixed(mixed(mixed(h[q] * M1 + gram) * M1 + h[q + GRAM + REACH]) + reach.astype(np.uint64))
     return out
 
 
@@ -276,7 +277,7 @@ def runs(docs: DataFrame, shards: int) -> DataFrame:
                 continue
             h, context, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             shard = (h % np.uint64(shards)).astype(np.int64)
-            gram, context = (h >> np.uint64(32)).astype(np.uint32), context.astype(np.uint32)
+            gram = (h >> np.uint64(32)).astype(np.uint32)
             order = np.lexsort((place, doc, context, gram, shard))
             shard, columns = shard[order], {"gram": gram[order], "context": context[order], "doc": doc[order], "place": place[order]}
             spans = stretches(shard)

@@ -99,3 +99,26 @@ def test_empty_tables(spark):
     assert si.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     short = [row(1, "few"), row(2, None)]
     assert rows_of(si.remove_repeats(table_of(spark, short))) == plain(short)
+
+
+def test_contexts_that_agree_in_32_bits(spark):
+    """Two documents share one gram only; the hashes of what surrounds it agree in their lower half."""
+    pick = np.random.default_rng(11)
+    noise = pick.integers(97, 123, 1 << 18).astype(np.uint8)
+    h = si.hashes(si.eights(noise), si.GRAM)
+    gram = noise[h.argmin() :][: si.GRAM]  # an anchor wherever it stands
+    n, size = 400_000, si.GRAM + 2 * si.REACH
+    rows = pick.integers(97, 123, (n, size)).astype(np.uint8)
+    rows[:, si.REACH : si.REACH + si.GRAM] = gram
+    found = si.contexts({0: rows.tobytes()}, np.zeros(n, np.int64), np.arange(n) * size + si.REACH)
+    low = found & np.uint64(0xFFFFFFFF)
+    order = np.argsort(low, kind="stable")
+    at = np.flatnonzero(low[order][1:] == low[order][:-1])
+    assert len(at)
+    pairs = []
+    for i in at[:2]:
+        for j in order[i : i + 2]:
+            pairs.append(row(len(pairs), rows[j].tobytes().decode()))
+    for a, b in zip(pairs[::2], pairs[1::2], strict=True):
+        got = rows_of(si.remove_repeats(table_of(spark, [a, b])))
+        assert got == plain([a, b]) and not any(r[2] for r in got)
