@@ -11,14 +11,16 @@ learned ones at equal priors.
 Texts are lower-cased and everything but letters and non-ASCII bytes becomes one space, so that
 digits, symbols and shouting do not count.
 
-The trees are fitted on a bounded sample: per language documents are picked by the hash of their id
-at a rate that yields about ``SAMPLE_DOCS`` documents and ``SAMPLE_BYTES`` bytes.  The counts are
-made and summed in Spark.  The broadcast table is limited to ``TABLE_BYTES``: contexts of the
-longest order beyond that, the rarest, fall back on the shorter ones.
+The trees are fitted on a bounded sample: per language, documents with something to learn are taken
+in the order of a hash of id and text until ``SAMPLE_DOCS`` documents or ``SAMPLE_BYTES`` bytes are
+reached.  Of a long document the fit reads the first ``SAMPLE_BYTES / LEAST_DOCS`` bytes of letters, so
+``LEAST_DOCS`` documents always fit in and no language is left out.  The counts are made and summed in
+Spark.  Every context of the sample is kept: languages whose tables together exceed ``TABLE_BYTES`` go
+out in several broadcasts (one language always in one), and a worker holds one of them at a time.
 
 Definitions for odd input: text that is NULL or has no letter is ``und`` with score 0, and so is
 all text if nothing was learned; rows without text or language teach nothing; equally short codes
-go to the language that sorts first; repeated rows are predicted alike.
+go to the language that sorts first; repeated rows are predicted alike and teach once.
 """
 
 from __future__ import annotations
@@ -36,9 +38,12 @@ from millrace.llm.base import fold_of, slices, table
 ORDER = 3
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 2 << 20
+LEAST_DOCS = 40  # so many documents fit into SAMPLE_BYTES, however long they are
 TABLE_BYTES = 48 << 20
 STEP = 1 << 20  # places scored at once
 LETTER = regex.compile(r"\p{L}")
+TEACHES = r"[A-Za-z\x{80}-\x{10FFFF}]"  # in Java: ``plain_bytes`` leaves something
+HASHES = 1 << 62
 PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 GAP = b"\x00" * ORDER  # before each text: no context reaches over it
 
@@ -82,7 +87,6 @@ class Model:
         made = np.zeros((1, a, len(langs)))
         made[:, 1:, :] = 1 / 256  # below the empty context
         costs, rows = made, np.zeros(1, np.int64)
-        budget = max(1, TABLE_BYTES // (a * len(langs) * 4))
         for order in range(ORDER + 1):
             total, found = np.zeros(a**order), []
             for s, n in counts:
@@ -91,9 +95,6 @@ class Model:
                 found.append((key, s[3][usable], n[usable]))
                 np.add.at(total, key, n[usable])
             known = np.flatnonzero(total)
-            room = max(0, budget - len(costs))
-            if len(known) > room:
-                known = np.sort(known[np.argsort(-total[known], kind="stable")[:room]])
             place = np.full(a**order, -1)
             place[known] = np.arange(len(known))
             shorter = rows[np.arange(a**order) % a ** max(0, order - 1)]
@@ -156,62 +157,137 @@ def _escape(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.where(total > 0, np.where(counts > 0, here, under), lower)
 
 
-def _grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, packed bytes of context and next byte, count)."""
-    for piece in slices(batches, "text"):
-        texts, langs = piece.column("text").to_pylist(), piece.column("lang").to_pylist()
-        for lang in sorted(set(langs)):
-            data, _ = joined(t for t, x in zip(texts, langs, strict=True) if x == lang)
-            b = np.concatenate((np.zeros(ORDER, np.uint32), data.astype(np.uint32)))
-            packed, n = np.unique(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n)), pa.array(packed.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"]
-            )
+def _grams(most: int):
+    """(lang, packed bytes of context and next byte, count), from ``most`` bytes of a text."""
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text"):
+            texts, langs = piece.column("text").to_pylist(), piece.column("lang").to_pylist()
+            for lang in sorted(set(langs)):
+                data = b"".join(GAP + plain_bytes(t)[:most] for t, x in zip(texts, langs, strict=True) if x == lang)
+                b = np.concatenate((np.zeros(ORDER, np.uint32), np.frombuffer(data, np.uint8).astype(np.uint32)))
+                packed, n = np.unique(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(n)), pa.array(packed.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"]
+                )
+
+    return work
+
+
+Grams = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _table_bytes(grams: Grams) -> int:
+    """Bytes of the tables of a ``Model`` of these languages."""
+    packed = np.unique(np.concatenate([p for p, _ in grams.values()]).astype(np.int64))
+    packed = packed[packed & 255 > 0]
+    a = len(np.unique(packed & 255)) + 2
+    rows = 1
+    for order in range(ORDER + 1):
+        inner = [(packed >> 8 * i) & 255 > 0 for i in range(1, order + 1)]
+        whole = packed[np.all(inner, axis=0)] if inner else packed
+        rows += len(np.unique((whole >> 8) & ((1 << 8 * order) - 1)))
+    return rows * a * len(grams) * 4 + a**ORDER * 4
+
+
+def _blocks(grams: Grams) -> list[Grams]:
+    """The languages in order, as many together as ``TABLE_BYTES`` holds, but one at least."""
+    out: list[Grams] = []
+    for lang in sorted(grams):
+        more = {**out[-1], lang: grams[lang]} if out else {}
+        if more and _table_bytes(more) <= TABLE_BYTES:
+            out[-1] = more
+        else:
+            out.append({lang: grams[lang]})
+    return out
+
+
+def _limits(rows: DataFrame) -> dict[str, int]:
+    """Per language the largest hash in its sample."""
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    cuts = {r.lang: min(HASHES, HASHES * 2 * SAMPLE_DOCS // r.n) for r in sizes}
+    most, out = SAMPLE_BYTES // LEAST_DOCS, {}
+    while cuts:  # again only for languages of mostly repeated rows or rows that teach nothing
+        cut = _by_lang(cuts)
+        found: dict[str, list[tuple[int, int]]] = {x: [] for x in cuts}
+        near = rows.where(F.col("h") < cut[F.col("lang")]).where(F.col("text").rlike(TEACHES))
+        for r in near.groupBy("lang", "h").agg(F.min(F.least(F.octet_length("text"), F.lit(most))).alias("b")).collect():
+            found[r.lang].append((r.h, r.b))
+        for lang, drawn in found.items():
+            if len(drawn) < SAMPLE_DOCS and cuts[lang] < HASHES:
+                cuts[lang] = min(HASHES, cuts[lang] * 16)
+                continue
+            del cuts[lang]
+            total = 0
+            for h, b in sorted(drawn)[:SAMPLE_DOCS]:
+                total += b
+                if total > SAMPLE_BYTES:
+                    break
+                out[lang] = h
+    return out
 
-def train(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Fit the trees; None if no row has text and a language."""
+
+def _by_lang(values: dict[str, int]) -> Column:
+    return F.create_map(*(F.lit(x).cast("long") if i else F.lit(x) for item in values.items() for i, x in enumerate(item)))
+
+
+def train(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[Grams] | None:
+    """Count the trees of each block of languages; None if no row has something to learn and a language."""
     rows = labelled.select(
-        F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(1 << 20)).alias("h"),
+        F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(HASHES)).alias("h"),
         F.col(f"`{lang}`").cast("string").alias("lang"),
         F.col(f"`{text}`").cast("string").alias("text"),
     ).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()
-    if not sizes:
+    limits = _limits(rows)
+    if not limits:
         return None
-    rate = lambda r: min(1.0, SAMPLE_DOCS / r.n, SAMPLE_BYTES / max(1, r.b))
-    limits = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, int(rate(r) * (1 << 20)) + 1)))
     counted = (
-        rows.where(F.col("h") < limits[F.col("lang")])
+        rows.where(F.col("h") <= _by_lang(limits)[F.col("lang")])
+        .where(F.col("text").rlike(TEACHES))
+        .groupBy("lang", "h")
+        .agg(F.min("text").alias("text"))
         .select("lang", "text")
-        .mapInArrow(_grams, "lang string, gram long, n long")
+        .mapInArrow(_grams(SAMPLE_BYTES // LEAST_DOCS), "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .toArrow()
     )
-    langs = sorted({r.lang for r in sizes} & set(counted.column("lang").to_pylist()))
     name = np.array(counted.column("lang").to_pylist(), object)
     gram, n = counted.column("gram").to_numpy(), counted.column("n").to_numpy()
-    return Model(langs, {x: (gram[name == x], n[name == x]) for x in langs}) if langs else None
+    return _blocks({x: (gram[name == x], n[name == x]) for x in limits})
 
 
-def predict(docs: DataFrame, model: Model | None, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def predict(
+    docs: DataFrame, blocks: list[Grams] | None, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
+) -> DataFrame:
     """``keep`` and lang_pred, score (posterior), bits_per_byte (NULL for ``und``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model and model.state())
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(Model([*b], b).state()) for b in blocks or ()]
     source = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").cast("string").alias("__text"))
 
+    def models() -> Iterator[Model]:
+        for block in shared:
+            yield Model.of(block.value)
+            if len(shared) > 1:
+                del block._value  # read again for the next texts
+
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.of(shared.value) if shared.value else None
         for piece in slices(batches, "__text"):
             texts = piece.column("__text").to_pylist()
             names, scores, per_byte = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
             spoken = [i for i, t in enumerate(texts) if has_letter(t)]
-            if model is not None and spoken:
-                bits, n = model.code_lengths([texts[i] for i in spoken])
+            if shared and spoken:
+                langs, parts = [], []
+                for model in models():
+                    bits, n = model.code_lengths([texts[i] for i in spoken])
+                    langs += model.langs
+                    parts.append(bits)
+                    del model
+                bits = np.concatenate(parts, axis=1)
                 best = bits.argmin(1)
                 odds = np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
                 for i, b, o, row, m in zip(spoken, best, odds, bits, n, strict=True):
-                    names[i], scores[i], per_byte[i] = model.langs[b], 1 / o, row[b] / max(1, m)
+                    names[i], scores[i], per_byte[i] = langs[b], 1 / o, row[b] / max(1, m)
             made = [pa.array(names), pa.array(scores), pa.array(per_byte, pa.float64())]
             kept = [piece.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, *made], [*keep, "lang_pred", "score", "bits_per_byte"])

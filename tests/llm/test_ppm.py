@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import ppm
-from tests.llm.cases import SCHEMA, table_of, texts
+from tests.llm.cases import SCHEMA, row, table_of, texts
 
 
 def grams_of(text: str):
@@ -83,3 +83,33 @@ def test_held_out_accuracy(spark):
     got = ppm.op8_language(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id")
     rows = got.select("lang", "lang_pred").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
+WORDS = {x: [f"{x}{y}{z}" for y in "aeiou" for z in x + "rst"] for x in ("ba", "ce", "di", "fo", "gu", "hy")}
+
+
+def spoken(lang: str, at: int, n: int) -> str:
+    return " ".join(WORDS[lang][(at * 7 + i * i) % len(WORDS[lang])] for i in range(n))
+
+
+def test_one_long_document_starves_no_language(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "SAMPLE_BYTES", 4096)
+    rows = []
+    for k, lang in enumerate(WORDS):
+        rows.append(row(k * 1000, spoken(lang, 1, 100_000), lang))
+        rows += [row(k * 1000 + i, spoken(lang, i, 40), lang) for i in range(1, 101)]
+        rows += [row(None, "12 34", lang)] * 2000
+    docs = table_of(spark, rows)
+    found = ppm.predict(docs.where("text <> '12 34'"), ppm.train(docs), keep=("doc_id", "lang")).collect()
+    assert len(found) == 606 and all(r.lang_pred == r.lang for r in found)
+
+
+def test_small_tables_keep_every_context(spark, monkeypatch):
+    rows = [row(k * 1000 + i, spoken(lang, i, 40), lang) for k, lang in enumerate(WORDS) for i in range(30)]
+    docs = table_of(spark, rows)
+    result = lambda: sorted((r.doc_id, r.lang_pred, r.score, r.bits_per_byte) for r in ppm.predict(docs, ppm.train(docs)).collect())
+    whole = result()
+    monkeypatch.setattr(ppm, "TABLE_BYTES", 1 << 14)
+    parts = result()
+    assert [r[:2] for r in parts] == [r[:2] for r in whole]
+    assert np.allclose([r[2:] for r in parts], [r[2:] for r in whole])
