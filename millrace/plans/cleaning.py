@@ -46,6 +46,12 @@ OBSERVED = (
     "impute_categorical",
     "mark_outliers_zscore",
 )
+# Columns that only a later batch has pass the steps inside structs of this name, so that none changes them.
+LATER = "__later_"
+# Types that hold every value of a type before them.
+WIDER = (("tinyint", "smallint", "int", "bigint"), ("tinyint", "smallint", "int", "double"), ("float", "double"))
+PLAIN_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz")
+
 NO_CATEGORY_TYPE = "Spark has no category type; see dictionary_encode"
 
 REPORT_SCHEMA = (
@@ -125,6 +131,8 @@ class CleaningPlan:
             begun = begun or name == start
             if name == until:
                 break
+            if begun and name == "rename_columns_map":
+                df = _shown(df)
             if not begun or name in skip:
                 continue
             before = len(df.columns) if trace is not None else 0
@@ -149,23 +157,35 @@ class CleaningPlan:
                 if name == "json_column_expansion" and self.skipped_columns:
                     row["reason"] = "; ".join(f"{c}: {w}" for c, w in self.skipped_columns.items())
                 trace += [{"step": covered, **row} for covered in COVERED.get(name, (name,))]
-        return df
+        return _shown(df)
 
     def _names(self, df: DataFrame) -> DataFrame:
+        """The fitted columns in their order and types.
+
+        What a fitted type does not hold whole stays as text in ``<column>__rest``; further columns pass
+        through unchanged.
+        """
         given = [n for n, _ in self.source]
+        further = [n for n in df.columns if n not in given]
         if df.columns != given:
             missing = [n for n in given if n not in df.columns]
             if missing:
                 raise ValueError(f"columns missing from the input: {missing}")
-            df = df.select(*(bare(n) for n in given))
+            df = df.select(*(bare(n) for n in [*given, *further]))
         tidy_names = names.tidy_names(given)
-        df = df.toDF(*tidy_names)
-        casts = {
-            n: bare(n).try_cast(t)
-            for n, (_, t), f in zip(tidy_names, self.source, df.schema.fields)
-            if f.dataType.simpleString() != t
+        df = nan_to_null(df.toDF(*tidy_names, *(f"{LATER}{i}" for i in range(len(further)))))
+        casts, later = {}, []
+        for n, (_, t), f in zip(tidy_names, self.source, df.schema.fields):
+            kind = f.dataType.simpleString()
+            if kind != t:
+                casts[n] = bare(n).try_cast(t)
+                if not _always_holds(kind, t):
+                    later.append((f"{n}__rest", _unheld(bare(n), kind, t)))
+        later += [(names.tidy_name(n), bare(f"{LATER}{i}")) for i, n in enumerate(further)]
+        wrapped = {
+            f"{LATER}{i}": F.when(x.isNotNull(), F.struct(x.alias(n))) for i, (n, x) in enumerate(later)
         }
-        return nan_to_null(df.withColumns(casts) if casts else df)
+        return nan_to_null(_with(df, {**casts, **wrapped}))
 
     def _empty_rows(self, df: DataFrame) -> DataFrame:
         """Drop rows without any value.
@@ -346,6 +366,32 @@ def _with(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumns(columns) if columns else df
 
 
+def _shown(df: DataFrame) -> DataFrame:
+    """Columns that passed the steps inside structs, as themselves and last."""
+    later = [c for c in df.columns if c.startswith(LATER)]
+    if not later:
+        return df
+    own = [c for c in df.columns if c not in later]
+    inner = [df.schema[c].dataType.fieldNames()[0] for c in later]
+    shown = zip(later, inner, names.unique_names(inner, own))
+    return df.select(*(bare(c) for c in own), *(bare(c).getField(i).alias(n) for c, i, n in shown))
+
+
+def _always_holds(kind: str, target: str) -> bool:
+    if kind == "void" or (target == "string" and kind in PLAIN_TYPES):
+        return True
+    return any(kind in w and target in w[w.index(kind) :] for w in WIDER if kind in w)
+
+
+def _unheld(x: Column, kind: str, target: str) -> Column:
+    """The value as text where it is lost or changed by the cast."""
+    cast = x.try_cast(target)
+    lost = cast.isNull()
+    if kind in PLAIN_TYPES or kind.startswith("decimal"):
+        lost = lost | ~cast.try_cast(kind).eqNullSafe(x)
+    return F.when(x.isNotNull() & lost, x.cast("string"))
+
+
 def _between(x: Column, low, high) -> Column:
     if low is not None:
         x = F.when(x < F.lit(low), F.lit(low)).otherwise(x)

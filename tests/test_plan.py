@@ -258,3 +258,19 @@ def test_empty_rows_do_not_count(frame):
     assert with_empty.medians == without.medians and with_empty.moments.keys() == without.moments.keys()
     assert all(with_empty.moments[c] == pytest.approx(m) for c, m in without.moments.items())
     assert with_empty.levels == without.levels and with_empty.fills == without.fills
+
+
+def test_later_columns_and_failed_casts_are_kept(spark):
+    frame = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    plan = fit(frame("k int, n bigint", (0, None), (1, 10), (2, 20), (3, 30)), CleanerConfig(**{**QUIET, "dedupe": True}))
+    schema = "k int, n string, `New One` string, n_id double"
+    later = frame(schema, (4, "40", " As It Is ", 1.5), (5, "oops", None, None), (6, None, "a", None), (6, None, "b", None))
+    out = plan.transform(later)
+    assert out.columns == ["n_id", "k", "n", "n__rest", "new_one"]
+    assert rows_of(out) == sorted(
+        [(1.5, 4, 40.0, None, " As It Is "), (None, 5, 20.0, "oops", None), (None, 6, 20.0, None, "a"), (None, 6, 20.0, None, "b")],
+        key=repr,
+    )
+    halves = plan.transform(frame("k int, n double", (7, 70.0), (8, 80.5), (9, float("nan"))))
+    assert sorted((r.k, r.n__rest) for r in halves.collect()) == [(7, None), (8, "80.5"), (9, None)]
+    assert plan.transform(frame("k int, n int", (7, 70))).columns == ["k", "n"]
