@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from millrace.llm import bloom_lm, bpe, decontaminate, html_crf, hyperminhash, line_dedup, oracles, ppm, quality, suffix_index, warc
+from millrace.llm import (
+    bloom_lm,
+    bpe,
+    decontaminate,
+    fim,
+    html_crf,
+    hyperminhash,
+    line_dedup,
+    oracles,
+    ppm,
+    quality,
+    suffix_index,
+    warc,
+)
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +28,7 @@ QUERIES = {
     "op8_language": ppm.op8_language,
     "op9_suffix_dedup": suffix_index.op9_suffix_dedup,
     "op10_near_dedup": hyperminhash.op10_near_dedup,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op2_warc": warc.ORACLE,
@@ -22,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_suffix_dedup": oracles.REPEATS,
     "op10_near_dedup": oracles.NEAR_COPIES,
+    "op13_fill_in_middle": fim.ORACLE,
 }
