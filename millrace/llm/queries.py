@@ -10,6 +10,7 @@ from millrace.llm import (
     html_crf,
     hyperminhash,
     line_dedup,
+    merkle,
     oracles,
     ppm,
     quality,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_language": ppm.op8_language,
     "op9_suffix_dedup": suffix_index.op9_suffix_dedup,
     "op10_near_dedup": hyperminhash.op10_near_dedup,
+    "op12_manifest": merkle.op12_manifest,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
@@ -36,5 +38,6 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_suffix_dedup": oracles.REPEATS,
     "op10_near_dedup": oracles.NEAR_COPIES,
+    "op12_manifest": merkle.ORACLE,
     "op13_fill_in_middle": fim.ORACLE,
 }
