@@ -15,6 +15,7 @@ from millrace.llm import (
     ppm,
     quality,
     suffix_index,
+    url_rules,
     warc,
 )
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_language": ppm.op8_language,
     "op9_suffix_dedup": suffix_index.op9_suffix_dedup,
     "op10_near_dedup": hyperminhash.op10_near_dedup,
+    "op11_url_filter": url_rules.op11_url_filter,
     "op12_manifest": merkle.op12_manifest,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
@@ -38,6 +40,7 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_suffix_dedup": oracles.REPEATS,
     "op10_near_dedup": oracles.NEAR_COPIES,
+    "op11_url_filter": url_rules.ORACLE,
     "op12_manifest": merkle.ORACLE,
     "op13_fill_in_middle": fim.ORACLE,
 }
