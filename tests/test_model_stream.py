@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from millrace.operators import model
+from millrace.operators.ranks import ranked, told_apart, with_partners
 from millrace.plans.config import CleanerConfig
 from millrace.plans.fit import fit
 from millrace.session import scratch_path
@@ -44,6 +49,64 @@ def test_regression(spark):
     assert forest.score(df.drop("y")).columns == ["a", "y_prediction"]
 
 
+@pytest.fixture(scope="module")
+def trained(spark):
+    """A forest, and a holdout that holds one row a hundred times."""
+    rows = [(float(i % 13), float(i % 7), float(i % 3), float(i % 13 * 10 + i % 7)) for i in range(400)]
+    forest = model.train_forest(spark.createDataFrame(rows, "a double, b double, c double, y double"), "y", trees=5, depth=6)
+    forest.holdout = spark.createDataFrame(rows[:120] + [rows[5]] * 100, "a double, b double, c double, y double")
+    return forest
+
+
+def test_importance_is_the_same_on_any_partitions(spark, trained):
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (4, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        held, trained.holdout = trained.holdout, trained.holdout.repartition(parts)
+        found.append({r.feature: r.importance for r in trained.permutation_importance().collect()})
+        trained.holdout = held
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0] == pytest.approx(found[1], abs=1e-9)
+    assert found[0]["a"] > 10 and found[0]["a"] > 5 * found[0]["b"] > 0
+
+
+def test_importance_like_brute_force(spark, trained):
+    rows = trained.vectors(trained.holdout).select(vector_to_array("_features").alias("x"), F.col("y").alias("_label"))
+    pairs = with_partners(rows, ["x"], 42).collect()
+    assert sorted(p.x for p in pairs) == sorted(p.other_x for p in pairs) == sorted(r.x for r in rows.collect())
+
+    def rmse(vectors):
+        guess = [trained.model.predict(Vectors.dense(v)) for v in vectors]
+        return math.sqrt(sum((g - p._label) ** 2 for g, p in zip(guess, pairs, strict=True)) / len(pairs))
+
+    base = rmse([p.x for p in pairs])
+    want = {f: rmse([[*p.x[:i], p.other_x[i], *p.x[i + 1 :]] for p in pairs]) - base for i, f in enumerate("abc")}
+    assert {r.feature: r.importance for r in trained.permutation_importance().collect()} == pytest.approx(want)
+
+
+def test_partners_come_from_anywhere(spark):
+    df = spark.range(5000).select((F.col("id") * 3 % 5000).alias("v"), F.lit("same").alias("s"))
+    got = with_partners(df, ["v"]).collect()
+    assert sorted(r.other_v for r in got) == [*range(5000)]
+    assert 1500 < sum(abs(r.v - r.other_v) for r in got) / 5000 < 1840  # a third of the range
+    again = with_partners(df.repartition(3), ["v"]).collect()
+    assert {(r.v, r.other_v) for r in got} == {(r.v, r.other_v) for r in again}
+    assert {(r.v, r.other_v) for r in got} != {(r.v, r.other_v) for r in with_partners(df, ["v"], seed=7).collect()}
+
+
+def test_copies_are_told_apart(spark):
+    df = spark.range(25_003).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.lit(None).cast("int").alias("n"))
+    apart = told_apart(df)
+    assert apart.distinct().count() == apart.count() == 25_003
+    assert apart.where("k = 'hot'").agg(F.min("_copy"), F.max("_copy"), F.count_distinct("_copy")).first()[:] == (0, 16_667, 16_668)
+    order, n = ranked(apart, [F.xxhash64("k", "_copy"), "k", "_copy"])
+    assert n == 25_003 and order.agg(F.min("rank"), F.max("rank"), F.count_distinct("rank")).first()[:] == (0, 25_002, 25_003)
+    assert ranked(apart.limit(0), ["k"])[0].count() == 0
+
+
 def test_unseen_levels_and_gaps(spark, learnable, frame):
     prep = model.fit_preparation(learnable, "answer")
     new = frame("colour string, noise double, still double", ("pink", None, None))
