@@ -60,6 +60,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """The largest stretch of a file that Spark gives to one task."""
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan with very few splits over all cores.
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.html import add_html_text
-from millrace.sources import files
+from millrace.session import split_bytes
+from millrace.sources import files, records
 
 Reader = Callable[..., DataFrame]
 
@@ -22,14 +23,18 @@ def read_csv(
     sep: str = ",",
     schema: T.StructType | str | None = None,
     keep_damaged: str | None = None,
+    parallel: bool | None = None,
     **opts,
 ) -> DataFrame:
     """Delimited text with a header.  Give a schema for large inputs: inferring reads them twice.
 
     A line with too many or too few fields, or with a quote left open, raises an error: nothing is
-    shortened silently.  Values with line breaks need ``multiLine=True``, which reads each file in
-    one task.  ``keep_damaged`` names a column that receives damaged lines whole instead.
+    shortened silently.  Values with line breaks need ``multiLine=True``; files larger than a split are
+    then read by many tasks (``millrace.sources.records``), unless an option asks for what only Spark's own
+    reader of whole files knows; ``parallel`` forces the one or the other.  ``keep_damaged`` names a column that receives damaged lines whole instead.
     """
+    if str(opts.get("multiLine", False)).lower() == "true" and _in_parts(spark, path, opts, CSV_PLAIN, parallel):
+        return _csv_records(spark, path, sep, schema, keep_damaged, opts)
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)
@@ -50,14 +55,56 @@ def read_csv(
     return reader.schema(schema).csv(path)
 
 
+CSV_PLAIN = ("multiLine", "lineSep", "nullValue", "dateFormat", "timestampFormat", "mode")
+JSON_PLAIN = ("dateFormat", "timestampFormat", "mode", "primitivesAsString", "columnNameOfCorruptRecord")
+
+
+def _in_parts(spark: SparkSession, path: str, opts: dict, plain: Sequence[str], wanted: bool | None) -> bool:
+    """Whether a file is larger than a split and could be split; only the listing is read."""
+    if wanted is not None:
+        return wanted
+    if not set(opts) <= set(plain) or opts.get("lineSep", "\n") != "\n":
+        return False
+    listed = spark.read.format("binaryFile").load(path)
+    packed = F.lower("path").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)$")
+    largest = listed.agg(F.max(F.when(~packed, F.col("length")))).first()[0]
+    return (largest or 0) > split_bytes(spark)
+
+
+def _csv_records(spark, path, sep, schema, keep_damaged, opts) -> DataFrame:
+    rows = records.as_strings(records.records(spark, path, records.Csv(sep)).where("not head").select("value"))
+    mode = "FAILFAST" if keep_damaged is None else "PERMISSIVE"
+    own = {"sep": sep, "quote": '"', "escape": '"', "columnPruning": False, **opts, "multiLine": True, "lineSep": "\n"}
+    reader = spark.read.options(**own)
+    if schema is None:
+        first = spark.read.options(**own).option("header", True).csv(path).columns
+        inferred = DataFrame(reader.option("inferSchema", True)._jreader.csv(rows), spark).schema
+        schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(first, inferred, strict=True)])
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    reader = spark.read.options(**({"mode": mode} | own))
+    if keep_damaged is not None:
+        schema = T.StructType([*schema.fields, T.StructField(keep_damaged, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", keep_damaged)
+    return DataFrame(reader.schema(schema)._jreader.csv(rows), spark)
+
+
 def read_tsv(spark: SparkSession, path: str, **opts) -> DataFrame:
     return read_csv(spark, path, sep="\t", **opts)
 
 
 def read_json(
-    spark: SparkSession, path: str, lines: bool = False, schema=None, **opts
+    spark: SparkSession, path: str, lines: bool = False, schema=None, parallel: bool | None = None, **opts
 ) -> DataFrame:
-    """One JSON document per file, or (splittable, for large inputs) one per line."""
+    """One JSON document per file, or one per line.
+
+    A file that is larger than a split and holds an array of objects, or objects one after the other, is read by
+    many tasks.
+    """
+    if not lines and _in_parts(spark, path, opts, JSON_PLAIN, parallel):
+        rows = records.as_strings(records.records(spark, path, records.Json()).select("value"))
+        reader = spark.read.options(**opts)
+        return DataFrame((reader.schema(schema) if schema else reader)._jreader.json(rows), spark)
     reader = spark.read.option("multiLine", not lines).options(**opts)
     return (reader.schema(schema) if schema else reader).json(path)
 

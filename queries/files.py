@@ -63,6 +63,20 @@ def read_json_documents(spark, d):
     return read_any(spark, folder, "json", schema=_customers(spark, d).schema)
 
 
+def read_csv_one_file(spark, d):
+    """All documents from one CSV file with line breaks in its values, cut at the true ends of records."""
+    df = table(spark, d, "documents")
+    path = write_csv(df.coalesce(1), scratch_path(spark, "csv"))
+    back = read_any(spark, path, "csv", schema=df.schema, multiLine=True, parallel=True)
+    return back.withColumn("text", F.md5("text"))
+
+
+def read_json_one_file(spark, d):
+    """All documents from one JSON array in one file, its schema inferred."""
+    folder = written.json_files(table(spark, d, "documents").coalesce(1))
+    return read_any(spark, folder, "json", parallel=True).withColumn("text", F.md5("text"))
+
+
 def read_xml(spark, d):
     path = scratch_path(spark, "xml")
     customers = _customers(spark, d)
@@ -253,6 +267,8 @@ QUERIES = {
     for f in (
         read_csv,
         read_csv_texts,
+        read_csv_one_file,
+        read_json_one_file,
         read_tsv,
         read_json_lines,
         read_json_documents,
@@ -293,6 +309,8 @@ for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;",
 ORACLES = {
     "read_csv": _CUSTOMERS.replace("*", "* replace (c_custkey::int as c_custkey)"),
     "read_csv_texts": "select doc_id, md5(text) as digest from documents",
+    "read_csv_one_file": "select * replace (md5(text) as text) from documents",
+    "read_json_one_file": "select * replace (md5(text) as text) from documents",
     "read_tsv": _CUSTOMERS.replace("*", "* replace (c_custkey::int as c_custkey)"),
     "read_json_lines": _CUSTOMERS.replace("*", "* replace (c_nationkey::bigint as c_nationkey)"),
     "read_json_documents": _CUSTOMERS,
