@@ -30,7 +30,7 @@ def _family(dtype: T.DataType) -> str:
     return "text"
 
 
-def _key(df: DataFrame, name: str) -> Column:
+def key_of(df: DataFrame, name: str) -> Column:
     """The value in its family's type."""
     dtype, col = field(df, name).dataType, non_null(df, name)
     if isinstance(dtype, _TIMES):
@@ -65,9 +65,9 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> list[tuple[list[str],
     out = []
     for names in families.values():
         if len(names) == 1:  # nothing to melt: keep the column's own vectorised scan
-            keyed = df.select(F.lit(0).alias(SLOT), _key(df, names[0]).alias("value"))
+            keyed = df.select(F.lit(0).alias(SLOT), key_of(df, names[0]).alias("value"))
         else:
-            keyed = melt(df, [{"value": _key(df, c)} for c in names])
+            keyed = melt(df, [{"value": key_of(df, c)} for c in names])
         counted = keyed.where(F.col("value").isNotNull()).groupBy(SLOT, "value")
         out.append((names, counted.agg(F.count(F.lit(1)).alias("n"))))
     return out
@@ -113,11 +113,11 @@ def distinct_counts(
     """
     if approx:
         frames = [
-            melt(df, [{"value": _key(df, c)} for c in names])
+            melt(df, [{"value": key_of(df, c)} for c in names])
             .groupBy(SLOT)
             .agg(F.approx_count_distinct("value", 0.01).alias("n_distinct"))
             .transform(named, names)
-            for names in _by_family(df, columns)
+            for names in by_family(df, columns)
         ]
         return _union(frames)
     return _union(
@@ -128,7 +128,7 @@ def distinct_counts(
     )
 
 
-def _by_family(df: DataFrame, columns: Sequence[str]) -> list[list[str]]:
+def by_family(df: DataFrame, columns: Sequence[str]) -> list[list[str]]:
     out: dict[str, list[str]] = {}
     for c in columns:
         out.setdefault(_family(field(df, c).dataType), []).append(c)
@@ -147,12 +147,12 @@ def top_values(
     frames = []
     for names, found in _counted(df, columns, counts):
         best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        shown = _shown_by_slot(df, names, F.col("value")).alias("value")
+        shown = shown_by_slot(df, names, F.col("value")).alias("value")
         frames.append(named(best.select(SLOT, shown, "n", F.col("rank").cast("long")), names))
     return _union(frames)
 
 
-def _shown_by_slot(df: DataFrame, names: Sequence[str], key: Column) -> Column:
+def shown_by_slot(df: DataFrame, names: Sequence[str], key: Column) -> Column:
     kinds: dict[T.DataType, list[int]] = {}
     for i, c in enumerate(names):
         kinds.setdefault(field(df, c).dataType, []).append(i)
@@ -177,7 +177,7 @@ def value_summary(
         found = own.groupBy(SLOT).agg(
             F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), best
         )
-        top = _shown_by_slot(df, names, F.col("best.value")).alias("top")
+        top = shown_by_slot(df, names, F.col("best.value")).alias("top")
         frames.append(
             named(found.select(SLOT, "count", "unique", top, (-F.col("best.minus")).alias("freq")), names)
         )

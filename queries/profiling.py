@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import compare, frequency, profile
+from millrace.operators import compare, frequency, heavy, profile, state
+from millrace.session import scratch_path
 from queries.base import DIRTY_DUCK, DUP_DUCK, SPARSE_DUCK, dirty_orders, dup_events
 from queries.base import sparse_orders, table
 
@@ -47,6 +48,28 @@ def top_values(spark, d):
     return frequency.top_values(df, ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"], 5)
 
 
+WIDE = ["l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_shipdate", "l_returnflag"]
+
+
+def top_values_exact(spark, d):
+    """The same from candidates: only values that could be among the best are counted and shuffled."""
+    return heavy.frequent_values(table(spark, d, "lineitem"), WIDE, 5)
+
+
+def profile_batches(spark, d):
+    """Lineitem in four batches, each kept as state and then merged; no row is read again for the profile."""
+    lines = table(spark, d, "lineitem")
+    path = scratch_path(spark, "state")
+    for i in range(4):
+        state.add_batch(lines.where(F.col("l_orderkey") % 4 == i), path, f"b{i}")
+    found = state.profile(spark, path)
+    true = frequency.distinct_counts(lines, lines.columns).withColumnRenamed("n_distinct", "true_distinct")
+    near = F.abs(F.col("n_distinct") - F.col("true_distinct")) <= state.HLL_ERROR * F.col("true_distinct") + 1
+    joined = found.join(true, "column_name").withColumn("distinct_near", near)
+    kept = ("column_name", "n_rows", "n_null", "count", "mean", "std", "min", "max", "distinct_near")
+    return _rounded(joined.select(*kept), 2)
+
+
 def frequent_texts(spark, d):
     return frequency.top_values(dirty_orders(spark, d), ["status_raw", "compound", "flag"], 3)
 
@@ -137,6 +160,8 @@ QUERIES = {
         profile_dirty,
         outlier_counts,
         top_values,
+        top_values_exact,
+        profile_batches,
         frequent_texts,
         distinct_counts,
         null_summary,
@@ -244,6 +269,18 @@ ORACLES = {
         _top_sql(c, "lineitem", 5)
         for c in ("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
     ),
+    "top_values_exact": _union(_top_sql(c, "lineitem", 5) for c in WIDE),
+    "profile_batches": _union(
+        f"select '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, "
+        + (
+            f"count({c}) as count, round(avg({c}), 2) as mean, round(stddev_samp({c}), 2) as std, "
+            f"round(min({c})::double, 2) as min, round(max({c})::double, 2) as max"
+            if c in LINE_NUMBERS
+            else "0 as count, null::double as mean, null::double as std, null::double as min, null::double as max"
+        )
+        + ", true as distinct_near from lineitem"
+        for c in LINE_NUMBERS + LINE_OTHERS
+    ),
     "frequent_texts": _union(
         _top_sql(c, DIRTY_DUCK, 3) for c in ("status_raw", "compound", "flag")
     ),
