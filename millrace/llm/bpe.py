@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from millrace.llm.base import per_process, slices, table
 
 NEVER = 1 << 30
-KNOWN_WORDS = 100_000  # words remembered per worker; forgotten all at once beyond that
+KNOWN_WORDS = 120_000  # words of one generation remembered per worker
 KNOWN_ARCS = 1_000_000
 SHORT = 64  # only words up to this many characters are remembered
 # the space of the tokenizers library's patterns
@@ -150,12 +151,23 @@ class TokenAutomaton:
             state = token
 
 
-def _remember(known: dict[str, bytes], word: str, ids: bytes) -> bytes:
-    if len(word) <= SHORT:
-        if len(known) >= KNOWN_WORDS:
-            known.clear()
-        known[word] = ids
-    return ids
+class Memory(dict):
+    """Answers by word, in two generations: words not asked for while one fills up are forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        if len(word) <= SHORT:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class Codec:
@@ -177,17 +189,15 @@ class Codec:
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
         self.symbol = byte_symbols()
         self.odd_space = regex.compile(r"[\x1c-\x1f]")  # space to str.split, not to the vocabulary
-        self.known: dict[str, bytes] = {}  # raw words
-        self.spelled: dict[str, bytes] = {}  # pieces of normalised words
+        self.known = Memory(self._pieces, KNOWN_WORDS)  # raw words
+        self.spelled = Memory(self._spell, KNOWN_WORDS)  # pieces of normalised words
 
     def _spell(self, piece: str) -> bytes:
         word = "".join(map(self.symbol.__getitem__, piece.encode("utf-8", "replace")))
-        ids = b"".join([i.to_bytes(4, "little") for i in self.auto.encode_word(word)])
-        return _remember(self.spelled, piece, ids)
+        return array("I", self.auto.encode_word(word)).tobytes()
 
     def _pieces(self, text: str) -> bytes:
-        spelled, spell = self.spelled, self._spell
-        return b"".join([spelled.get(w) or spell(w) for w in self.words.findall(self.normal(text))])
+        return b"".join(map(self.spelled.__getitem__, self.words.findall(self.normal(text))))
 
     def normal(self, text: str) -> str:
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
@@ -200,11 +210,7 @@ class Codec:
                 self.special[p].to_bytes(4, "little") if p in self.special else self._pieces(p)
                 for p in self.parts.split(text)
             )
-        known, out = self.known, []  # no piece holds space, so words may be taken one by one
-        for word in text.split():
-            ids = known.get(word)
-            out.append(_remember(known, word, self._pieces(word)) if ids is None else ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, text.split()))  # no piece holds space
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs with a space between them, as a vocabulary without decoder has it."""
