@@ -8,9 +8,10 @@ state is named by the token that enters it, and copying one is cheap: the copy k
 the state it was copied from and the rank up to which that state's losses count.  The paths of the
 result are exactly the BPE tokenizations; every prefix of a word has exactly one.
 
-A word is encoded left to right: from each position the byte trie of the arc labels and the arc
-table give the arcs that fit, and the one path that ends in a word-final label is read back.
-Decoding emits the labels of the arcs.
+Words are then read byte by byte with one table entry each.  For that the token automaton is turned into a deterministic
+one over bytes, compiled entry by entry where words lead: its state is the longest suffix read so far that
+a label can go on from, with the last token of every prefix that ends in it.  A transition finds the one arc that
+ends behind the new byte.  The path is read back along the last tokens.  Decoding emits the labels of the arcs.
 
 Definitions for odd input: NULL text is the empty text; empty text has no tokens; very long words
 cost time in proportion to their length; rows are handled one by one, so repeated rows give
@@ -33,7 +34,8 @@ from millrace.llm.base import per_process, slices, table
 
 NEVER = 1 << 30
 KNOWN_WORDS = 120_000  # words of one generation remembered per worker
-KNOWN_ARCS = 1_000_000
+KNOWN_ARCS = 500_000
+KNOWN_STEPS = 400_000  # transitions of the byte automaton; beyond that it is compiled anew
 SHORT = 64  # only words up to this many characters are remembered
 # the space of the tokenizers library's patterns
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -55,9 +57,12 @@ class TokenAutomaton:
         self.left: dict[int, tuple[int, int]] = {}  # token -> (left part, rank)
         self.right: dict[int, tuple[int, int]] = {}  # token -> (right part, rank)
         self.arcs: dict[int, bool] = {}
-        self.ends: list[list[int]] = [[-1, -1]]  # per trie node: inner token, final token
+        self.code = {symbol: byte for byte, symbol in enumerate(byte_symbols())}
+        self.size: dict[int, int] = {}  # bytes that a token spells
+        # the byte trie of the labels: depth, inner and word-final token per node
         self.goto: dict[int, int] = {}
-        base = set(byte_symbols())
+        self.depth, self.inner, self.final = [0], [-1], [-1]
+        base = set(self.code)
         alive = {i for t, i in vocab.items() if t in base or (t.endswith(end) and t[: -len(end)] in base)}
         for rank, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
@@ -66,7 +71,12 @@ class TokenAutomaton:
                 alive.add(w)
         for label, i in vocab.items():
             if i in alive:
-                self._plant(label, i, end)
+                final = label.endswith(end) and len(label) > len(end)
+                spelled = bytes(map(self.code.__getitem__, label[: -len(end)] if final else label))
+                self.size[i] = len(spelled)
+                self._plant(spelled, i, final)
+        self._link()
+        self._forget()
 
     def _gadget(self, u: int, v: int, w: int, rank: int) -> None:
         self.lost[u, v] = rank
@@ -100,55 +110,103 @@ class TokenAutomaton:
             known = self.arcs[key] = self._arc(state, token)
         return known
 
-    def _plant(self, label: str, token: int, end: str) -> None:
-        final = label.endswith(end) and len(label) > len(end)
+    def _plant(self, label: bytes, token: int, final: bool) -> None:
         node = 0
-        for ch in label[: -len(end)] if final else label:
-            key = node << 10 | ord(ch)
+        for byte in label:
+            key = node << 8 | byte
             if key not in self.goto:
-                self.goto[key] = len(self.ends)
-                self.ends.append([-1, -1])
+                self.goto[key] = len(self.depth)
+                self.depth.append(self.depth[node] + 1)
+                self.inner.append(-1)
+                self.final.append(-1)
             node = self.goto[key]
-        self.ends[node][final] = token
-
-    def encode_word(self, word: str) -> list[int]:
-        """The arcs of the one path that spells ``word`` (byte symbols).
-
-        Longest labels are tried first.  A prefix has one path at most, so a place from which the
-        end was not reached once need not be entered again.
-        """
-        goto, ends, has_arc = self.goto, self.ends, self.has_arc
-        codes, last = [*map(ord, word)], len(word)
-        if not last:
+        (self.final if final else self.inner)[node] = token
+
+    def _link(self) -> None:
+        """Each trie node's longest proper suffix in the trie, and the longest suffix that a label goes on from."""
+        children: list[list[tuple[int, int]]] = [[] for _ in self.depth]
+        for key, node in self.goto.items():
+            children[key >> 8].append((key & 255, node))
+        self.fail, self.open = [0] * len(self.depth), [0] * len(self.depth)
+        row = [0]
+        while row:
+            below = []
+            for node in row:
+                self.open[node] = node if children[node] else self.open[self.fail[node]]
+                for byte, child in children[node]:
+                    self.fail[child] = self._walk(self.fail[node], byte) if node else 0
+                    below.append(child)
+            row = below
+
+    def _walk(self, node: int, byte: int) -> int:
+        """The longest suffix of ``node`` and ``byte`` that is in the trie."""
+        goto, fail = self.goto, self.fail
+        while (found := goto.get(node << 8 | byte, -1)) < 0 and node:
+            node = fail[node]
+        return max(found, 0)
+
+    def _forget(self) -> None:
+        self.states = {(0, (-1,)): 0}
+        self.views = [(0, (-1,))]
+        self.last = [-1]
+        self.steps: dict[int, int] = {}
+        self.finals: dict[int, tuple[int, int]] = {}
+
+    def _arrive(self, state: int, byte: int, ends: list[int]) -> tuple[int, int, tuple[int, ...]]:
+        """(token, trie node, last tokens before): the one arc that ends behind ``byte``."""
+        node, before = self.views[state]
+        node = at = self._walk(node, byte)
+        while at:
+            token = ends[at]
+            if token >= 0 and self.has_arc(before[self.depth[at] - 1], token):
+                return token, node, before
+            at = self.fail[at]
+        raise ValueError(f"no token ends in byte {byte}")
+
+    def _step(self, key: int) -> int:
+        """A transition inside a word, compiled and entered in the table."""
+        token, node, before = self._arrive(key >> 8, key & 255, self.inner)
+        node = self.open[node]
+        view = node, (token, *before[: self.depth[node]])
+        state = self.states.setdefault(view, len(self.views))
+        if state == len(self.views):
+            self.views.append(view)
+            self.last.append(token)
+        self.steps[key] = state
+        return state
+
+    def _end(self, key: int) -> tuple[int, int]:
+        """A transition with a word's last byte: its token and how many bytes that spells."""
+        token, _, _ = self._arrive(key >> 8, key & 255, self.final)
+        self.finals[key] = found = token, self.size[token]
+        return found
+
+    def spell(self, word: bytes) -> list[int]:
+        """The arcs of the one path that spells ``word``: one table entry per byte, then back along the last tokens."""
+        if not word:
             return []
-        out: list[int] = []  # the arcs so far
-        todo: list[list[tuple[int, int]]] = []  # per place on the path: (token, where it ends)
-        spoilt: set[int] = set()
-        places, state = [0], -1
-        while True:
-            node, fits, i = 0, [], places[-1]
-            for j in range(i, last):
-                node = goto.get(node << 10 | codes[j], -1)
-                if node < 0:
-                    break
-                token = ends[node][j + 1 == last]
-                if token >= 0:
-                    fits.append((token, j + 1))
-            todo.append(fits)
-            while True:
-                while not todo[-1]:
-                    todo.pop()
-                    spoilt.add(places.pop())
-                    out.pop()
-                    state = out[-1] if out else -1
-                token, j = todo[-1].pop()
-                if j not in spoilt and has_arc(state, token):
-                    break
+        if len(self.steps) > KNOWN_STEPS:
+            self._forget()
+        steps, last, size, state, seen = self.steps, self.last, self.size, 0, []
+        for byte in word[:-1]:
+            key = state << 8 | byte
+            state = steps.get(key, -1)
+            if state < 0:
+                state = self._step(key)
+            seen.append(last[state])
+        key = state << 8 | word[-1]
+        token, width = self.finals.get(key) or self._end(key)
+        out, at = [token], len(word) - width
+        while at:
+            token = seen[at - 1]
             out.append(token)
-            if j == last:
-                return out
-            places.append(j)
-            state = token
+            at -= size[token]
+        out.reverse()
+        return out
+
+    def encode_word(self, word: str) -> list[int]:
+        """The same for a word of byte symbols."""
+        return self.spell(bytes(map(self.code.__getitem__, word)))
 
 
 class Memory(dict):
@@ -187,14 +245,12 @@ class Codec:
         # the vocabulary's own pattern, with the library's notion of space spelled out
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
-        self.symbol = byte_symbols()
         self.odd_space = regex.compile(r"[\x1c-\x1f]")  # space to str.split, not to the vocabulary
         self.known = Memory(self._pieces, KNOWN_WORDS)  # raw words
         self.spelled = Memory(self._spell, KNOWN_WORDS)  # pieces of normalised words
 
     def _spell(self, piece: str) -> bytes:
-        word = "".join(map(self.symbol.__getitem__, piece.encode("utf-8", "replace")))
-        return array("I", self.auto.encode_word(word)).tobytes()
+        return array("I", self.auto.spell(piece.encode("utf-8", "replace"))).tobytes()
 
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.spelled.__getitem__, self.words.findall(self.normal(text))))
