@@ -67,9 +67,11 @@ def give_back() -> None:
         trim(0)
 
 
-def per_process(key: object, make: Callable[[], object], most: int = 8) -> object:
+def per_process(key: object, make: Callable[[], object], most: int = 1) -> object:
     """``make()`` once per worker process and key; beyond ``most`` the oldest is forgotten.
 
+    A task needs one such thing, and a worker that lives on should not hold those of earlier stages.
+
     The package travels with each task by value, so a module's own variables would be new every time.
     """
     home = sys.modules.setdefault("_millrace_kept", types.ModuleType("_millrace_kept"))

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from millrace.llm.base import per_process, slices, table
 
 NEVER = 1 << 30
-KNOWN_WORDS = 120_000  # words of one generation remembered per worker
-KNOWN_ARCS = 500_000
+KNOWN_WORDS = 80_000  # words of one generation remembered per worker
+KNOWN_ARCS = 100_000
 KNOWN_STEPS = 400_000  # transitions of the byte automaton; beyond that it is compiled anew
 SHORT = 64  # only words up to this many characters are remembered
 # the space of the tokenizers library's patterns
