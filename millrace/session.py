@@ -71,14 +71,17 @@ def spread(df: DataFrame) -> DataFrame:
 
     One gzip file or one Parquet row group is one task, however large the cluster.  Text work per
     row costs far more than one shuffle of such an input.  What counts is the estimated size of a
-    split: beyond ``SPLIT_BYTES`` it could not be split by Spark; and inputs of at most
-    ``SMALL_BYTES`` in all cost next to nothing to deal out.  Everything else stays as it is.
+    split, at every size of the input: beyond ``SPLIT_BYTES`` it could not be split by Spark.  Inputs of
+    at most ``SMALL_BYTES`` in all cost next to nothing to deal out and are so if most cores would idle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_BYTES and size < SPLIT_BYTES * cores:
-        return df
-    splits = max(1, df.rdd.getNumPartitions())
+    wanted = wanted_splits(size, max(1, df.rdd.getNumPartitions()), cores)
+    return df.repartition(wanted) if wanted else df
+
+
+def wanted_splits(size: int, splits: int, cores: int) -> int | None:
+    """Into how many partitions to deal an input of ``size`` bytes, or None to leave it as it is."""
     if size <= SMALL_BYTES:
-        return df.repartition(cores) if splits * 2 <= cores else df
-    return df.repartition(max(cores, size // SPLIT_BYTES)) if size / splits > SPLIT_BYTES else df
+        return cores if splits * 2 <= cores else None
+    return max(cores, -(-size // SPLIT_BYTES)) if size / splits > SPLIT_BYTES else None
