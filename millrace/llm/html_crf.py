@@ -17,6 +17,7 @@ rows give repeated results; an empty table gives an empty table and is not train
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import random
 import re
@@ -38,6 +39,7 @@ SEED = 7
 MAX_PATHS = 50_000  # ancestor paths whose score a worker remembers
 
 # fixed values: element kinds of HTML
+RAW = {"script", "style", "title", "iframe"}  # hold text only, up to their first end tag or the end of the page
 SKIPPED = {"script", "style", "template", "noscript", "svg", "math", "head", "title", "iframe", "object"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
@@ -73,12 +75,40 @@ def _names(attributes: str) -> str:
     return "".join("." + w for w in sorted(set(words)))
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each element ``tag``, which may hold its like, ends, by where its start tag ends; an open one is not there."""
+    found: dict[int, int] = {}
+    opened: list[int] = []
+    name = rf"{re.escape(tag)}(?=[\s/>]|\Z)"
+    for m in re.compile(rf"</{name}[^>]*>|<{name}((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.I).finditer(page):
+        if m[1] is None:
+            if opened:
+                found[opened.pop()] = m.end()
+        elif not (tag in ("svg", "math") and m[1].endswith("/")):
+            opened.append(m.end())
+    return found
+
+
+def _end(page: str, at: int, tag: str, known: dict) -> int:
+    """Where the element opened before ``at`` ends, 0 if never; each page is searched once per tag."""
+    if tag not in RAW:
+        if tag not in known:
+            known[tag] = _ends(page, tag)
+        return known[tag].get(at, 0)
+    if tag not in known:
+        closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+        known[tag] = [(m.start(), m.end()) for m in closing.finditer(page)]
+    found = bisect.bisect_left(known[tag], (at, 0))
+    return known[tag][found][1] if found < len(known[tag]) else 0
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order; an element of a path is ``tag.word.word`` (class, id and role words)."""
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
+    ends: dict = {}
     link, in_link, at, size = 0, 0, 0, len(page)
 
     def flush() -> None:
@@ -123,11 +153,13 @@ def blocks(page: str | None) -> list[Block]:
                 pop_to(tag, set())
             continue
         if tag in SKIPPED:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            if tag in ("svg", "math") and m[3].endswith("/"):
+                continue
+            end = _end(page, at, tag, ends)
             if end:
                 flush() if tag not in INLINE else None
-                at = end.end()
-            elif tag not in ("head", "svg", "math", "noscript", "template"):
+                at = end
+            elif tag in RAW:
                 at = size
             continue
         if tag in INLINE:

@@ -30,6 +30,17 @@ def test_blocks():
     assert len(blocks("<div>" * 3000 + "deep")) == 1
 
 
+def test_skipped_elements_end_where_they_end():
+    said = lambda page: [b.text for b in blocks(page)]
+    assert said("<p>one</p><svg/><p>two</p><p>three</p><svg><text>no</text></svg><p>four</p>") == ["one", "two", "three", "four"]
+    assert said("<p>one</p><object data=x><p>two</p><p>three</p>") == ["one", "two", "three"]
+    assert said("<p>a</p><object>no<object>no</object>no</object><p>b</p>") == ["a", "b"]
+    assert said("<p>a<svg><g/><svg/><svg>no</svg>no</svg> b</p>") in (["a b"], ["a", "b"])
+    assert said("<p>a</p><script>no") == ["a"] and said("<p>a</p><style>no<style>no</style><p>b</p>") == ["a", "b"]
+    assert said("<p>a</p><script x='>' y=\"</script>\">no</script><p>b</p><svg-icon>c</svg-icon>") == ["a", "b", "c"]
+    assert said("<svg>" * 20_000 + "<p>shown</p>") == ["shown"]
+
+
 def test_viterbi_and_marginals_by_enumeration():
     pick = np.random.default_rng(1)
     unary, pairs = pick.normal(size=6), pick.normal(size=(2, 2))
