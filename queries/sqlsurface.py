@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from millrace.operators import catalog, sqlq
+from millrace.operators.ranges import range_join
 from queries.base import TABLES, register, table
 
 # One text per query, understood by both engines.
@@ -119,8 +120,24 @@ def preview_rows(spark, d):
     return catalog.preview(table(spark, d, "orders").drop("o_orderdate"), 5, [F.col("o_orderkey")])
 
 
+def range_join_prices(spark, d):
+    """Lines whose price lies at most 1 above an order's total, per order priority; no column is equated."""
+    lines = table(spark, d, "lineitem").select("l_extendedprice")
+    orders = table(spark, d, "orders").selectExpr("o_orderpriority", "o_totalprice as low", "o_totalprice + 1 as high")
+    met = range_join(lines, orders, "l_extendedprice", "low", "high")
+    return met.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_lines"), F.min("l_extendedprice").alias("least"))
+
+
+def range_join_times(spark, d):
+    """Every event with every purchase of the ten minutes before it."""
+    events = table(spark, d, "events")
+    bought = events.where("event_type = 'purchase'").selectExpr("event_id as purchase_id", "ts as since", "ts + interval 10 minutes as until")
+    met = range_join(events.select("event_id", "ts", "user_id"), bought, "ts", "since", "until", open_end=True)
+    return met.select("event_id", "user_id", "purchase_id")
+
+
 QUERIES = {name: _runner(sql) for name, sql in STATEMENTS.items()} | {
-    f.__name__: f for f in (ask_question, catalog_columns, table_counts, preview_rows)
+    f.__name__: f for f in (ask_question, catalog_columns, table_counts, preview_rows, range_join_prices, range_join_times)
 }
 
 _NAMES = ", ".join(f"'{t}'" for t in TABLES)
@@ -138,5 +155,12 @@ from information_schema.columns where table_name in ({_NAMES})""",
         from information_schema.columns where table_name = '{t}') as columns, count(*) as n_rows from {t}"""
         for t in TABLES
     ),
+    "range_join_prices": """
+select o_orderpriority, count(*) as n_lines, min(l_extendedprice) as least
+from lineitem join orders on l_extendedprice >= o_totalprice and l_extendedprice <= o_totalprice + 1
+group by o_orderpriority""",
+    "range_join_times": """
+select e.event_id, e.user_id, b.event_id as purchase_id
+from events e join events b on b.event_type = 'purchase' and e.ts >= b.ts and e.ts < b.ts + interval 10 minute""",
     "preview_rows": "select * exclude (o_orderdate) from orders order by o_orderkey limit 5",
 }
