@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from millrace.operators.names import bare
 from millrace.session import ensure_checkpoint_dir
 
-BIN_POINTS = 1_000  # points a bin should hold
-MOST_BINS = 10_000  # bins at most: what reaches the driver is two numbers per bin
-PART_POINTS = 1_000_000  # a bin with more points is split
+BIN_POINTS = 10_000  # points a bin should hold
+MOST_BINS = 10_000  # bins at most: what reaches the driver is a row per bin
+CELL_POINTS = 500  # points a cell should hold: bins are cut into cells of equal width, as many as they have points for
+PART_POINTS = 1_000_000  # a cell with more points is split
 
 
 def _order(df: DataFrame, name: str) -> Column:
@@ -34,17 +35,43 @@ def _order(df: DataFrame, name: str) -> Column:
 def _binned(df: DataFrame, cuts: list[float], column: str, name: str) -> DataFrame:
     ends = [-math.inf, *(cuts or [0.0]), math.inf]
     put = Bucketizer(splits=ends, inputCol=column, outputCol=f"{name}_d", handleInvalid="keep")  # NaN behind all others
-    return put.transform(df).withColumn(name, F.col(f"{name}_d").cast("int")).drop(column, f"{name}_d")
+    return put.transform(df).withColumn(name, F.col(f"{name}_d").cast("int")).drop(f"{name}_d")
+
+
+def _cells(dealt: DataFrame, cuts: list[float]) -> DataFrame:
+    """Per bin: its first cell's number, how many it has, where they begin and how many come to a unit of length."""
+    finite = F.when(F.abs("_x") < math.inf, F.col("_x"))
+    counted = dealt.groupBy("_bin").agg(F.count(F.lit(1)).alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"))
+    found = {r[0]: r for r in counted.collect()}  # a row per bin
+    rows, before = [], 0
+    for number in range(max(len(cuts), 1) + 2):  # the last is for NaN
+        r = found.get(number)
+        many, low, scale = 1, 0.0, 0.0
+        if r and r.low is not None and r.high > r.low:
+            wanted = max(1, r.n // CELL_POINTS)
+            if wanted > 1 and math.isfinite(wanted / (r.high - r.low)) and math.isfinite(r.high - r.low):
+                many, low, scale = wanted, r.low, wanted / (r.high - r.low)
+        rows.append((number, before, many, low, scale))
+        before += many
+    return dealt.sparkSession.createDataFrame(rows, "_of int, _before long, _many long, _low double, _scale double")
+
+
+def _placed(df: DataFrame, cuts: list[float], cells: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the cell of ``column``, which never falls where the column rises."""
+    at = F.least(F.greatest((F.col(column) - F.col("_low")) * F.col("_scale"), F.lit(0.0)), F.col("_many") - F.lit(1.0))
+    inner = F.when(F.col("_many") == 1, F.lit(0).cast("long")).otherwise(at.cast("long"))
+    joined = _binned(df, cuts, column, "_bin").join(F.broadcast(cells), F.col("_bin") == F.col("_of"))
+    return joined.withColumn(name, F.col("_before") + inner).drop("_bin", column, *cells.columns)
 
 
 def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str, stop: str, *, open_end: bool = False) -> DataFrame:
     """Every pair of a row of ``points`` and a row of ``intervals`` with ``start <= point <= stop``.
 
-    A bounded quantile sketch of the points gives bins of about equal depth.  A point goes to its bin, an
-    interval to each bin it touches; bins are joined by equality and every pair is checked on the values
-    themselves.  An interval is copied once per bin it touches: all but two of them are full of its own
-    results, so copies stay within the size of the result.  A bin that holds many points, such as one value that
-    fills a third of the table, is split into parts that each meet the bin's intervals.
+    A bounded quantile sketch of the points gives bins of about equal depth, and their counts cut each bin into
+    cells of equal width.  A point goes to its cell, an interval to each cell it touches; cells are joined by
+    equality and every pair is checked on the values themselves.  Where an interval touches many cells, most of them
+    are full of its own results, so its copies follow the size of the result.  A cell that holds many points, such as
+    one value that fills a third of the table, is split into parts that each meet the cell's intervals.
 
     Points are pinned by a checkpoint, so a part never changes when a task is run again.  Both sides must be of
     one ordered type family (numbers, dates or timestamps).  With ``open_end`` the end is left out.  NULL in a point
@@ -60,16 +87,19 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
     total = kept.count()
     bins = max(1, min(MOST_BINS, total // BIN_POINTS))
     cuts = sorted({c for c in kept.approxQuantile("_x", [i / bins for i in range(1, bins)], 0.25 / bins) if math.isfinite(c)}) if bins > 1 else []
-    dealt = _binned(kept, cuts, "_x", "_bin")
-    counted = dealt.groupBy("_bin").count().collect()  # a row per bin
-    sizes = [(r[0], -(-r[1] // PART_POINTS)) for r in counted]
-    parts = F.broadcast(spark.createDataFrame(sizes, "_of int, _parts long"))
-    left = dealt.join(parts, F.col("_bin") == F.col("_of")).withColumn("_part", F.pmod("_at", "_parts")).drop("_of", "_parts", "_at")
+    cells = _cells(_binned(kept, cuts, "_x", "_bin"), cuts)
+    left = _placed(kept, cuts, cells, "_x", "_cell")
+    # fewer than one row per PART_POINTS points
+    full = left.groupBy("_cell").count().where(F.col("count") > PART_POINTS)
+    full = full.select(F.col("_cell").alias("_full"), F.ceil(F.col("count") / PART_POINTS).alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    left = left.join(full, F.col("_cell") == F.col("_full"), "left").withColumn("_part", F.pmod("_at", parts)).drop("_full", "_parts", "_at")
 
     right = intervals.where(bare(start) <= bare(stop)).withColumns({"_lo": _order(intervals, start), "_hi": _order(intervals, stop)})
-    right = _binned(_binned(right, cuts, "_lo", "_first"), cuts, "_hi", "_last")
+    right = _placed(_placed(right, cuts, cells, "_lo", "_first"), cuts, cells, "_hi", "_last")
     right = right.withColumn("_touched", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
-    right = right.join(parts, F.col("_touched") == F.col("_of")).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    right = right.join(full, F.col("_touched") == F.col("_full"), "left")
+    right = right.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     inside = (bare(point) >= bare(start)) & (bare(point) < bare(stop) if open_end else bare(point) <= bare(stop))
-    met = left.join(right.drop("_of", "_parts"), (F.col("_bin") == F.col("_touched")) & (F.col("_part") == F.col("_share")) & inside)
+    met = left.join(right.drop("_full", "_parts"), (F.col("_cell") == F.col("_touched")) & (F.col("_part") == F.col("_share")) & inside)
     return met.select(*(bare(c) for c in (*points.columns, *intervals.columns)))

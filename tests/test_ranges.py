@@ -20,7 +20,8 @@ def plain(points, intervals, open_end=False):
 
 @pytest.mark.parametrize("open_end", [False, True])
 def test_equal_to_all_pairs(spark, monkeypatch, open_end):
-    monkeypatch.setattr(ranges, "BIN_POINTS", 20)
+    monkeypatch.setattr(ranges, "BIN_POINTS", 100)
+    monkeypatch.setattr(ranges, "CELL_POINTS", 5)
     monkeypatch.setattr(ranges, "PART_POINTS", 30)
     pick = random.Random(4)
     points = [(i, pick.choice([7.0, 7.0, pick.uniform(0, 100), float(pick.randrange(50))])) for i in range(600)]
