@@ -11,9 +11,10 @@ from millrace.plans.flow import run_workflow
 from millrace.session import scratch_path, spread
 from millrace.sources.readers import read_any, read_catalog
 from millrace.sources.sinks import save_table, write_csv
+from millrace.streaming import keyed
 from millrace.streaming.landing import clean_stream, read_landing, write_landing
 from queries import written
-from queries.base import DIRTY_DUCK, dirty_orders, table
+from queries.base import DIRTY_DUCK, DUP_DUCK, dirty_orders, dup_events, table
 from queries.cleaning import ORACLES as CLEANING_SQL
 
 
@@ -232,6 +233,35 @@ def stream_clean(spark, d):
     )
 
 
+def _keyed_runs(spark, parts, keys, order, late_by, keep_ms):
+    """The parts land one after the other; each is a run of its own that goes on from the checkpoint."""
+    landing, out, state = (scratch_path(spark, x) for x in ("landing", "first", "state"))
+    schema = parts[0].schema
+    for part in parts:
+        part.repartition(spark.sparkContext.defaultParallelism).write.mode("append").parquet(landing)
+        with keyed.keyed_state(spark):
+            stream = spark.readStream.schema(schema).parquet(landing)
+            first = keyed.first_by_key(stream, keys, order, "ts", late_by, keep_ms)
+            keyed.write_keyed(first, out, state).awaitTermination()
+    done = scratch_path(spark, "keyed")
+    keyed.keyed_table(spark, out, state, schema).write.parquet(done)
+    return spark.read.parquet(done)
+
+
+def stream_first_by_key(spark, d):
+    """The greatest value per user and kind, from files that hold the events in no order of time."""
+    events = dup_events(spark, d).select("event_id", "user_id", "event_type", "value", "ts")
+    parts = [events.where(f"event_id % 3 {sign} 0") for sign in ("=", "<>")]
+    return _keyed_runs(spark, parts, ["user_id", "event_type"], [-F.col("value")], "400 days", 1000).drop("late")
+
+
+def stream_late_rows(spark, d):
+    """Copies and further events arrive after others; what is older than ten days by then is told apart."""
+    events = table(spark, d, "events").select("event_id", "user_id", "value", "ts")
+    parts = [events.where(f"event_id % {n} = 0") for n in (2, 3)]
+    return _keyed_runs(spark, parts, ["event_id"], ["value"], "10 days", 86_400_000)
+
+
 def _stored_orders(spark, d):
     path = scratch_path(spark, "dirty_orders")
     dirty_orders(spark, d).write.parquet(path)
@@ -290,6 +320,8 @@ QUERIES = {
         bucketed_join,
         csv_sink,
         stream_clean,
+        stream_first_by_key,
+        stream_late_rows,
         file_to_table,
         file_to_answer,
     )
@@ -354,6 +386,15 @@ l as (select greatest(least(event_id, a2), a1) as event_id, greatest(least(user_
 select round(event_id, 4) as event_id, round(user_id, 4) as user_id, round(value, 4) as value,
   round(props__k, 4) as props__k, ts, event_type,
   abs(value - avg(value) over ()) > 3 * stddev_pop(value) over () as value_is_outlier from l""",
+    "stream_first_by_key": f"""
+select event_id, user_id, event_type, value, ts from (select *, row_number() over (
+  partition by user_id, event_type order by value desc, event_id) as rn from {DUP_DUCK}) where rn = 1""",
+    "stream_late_rows": """
+with w as (select epoch_ms(max(ts)) - 864000000 as w from events where event_id % 2 = 0)
+select event_id, user_id, value, ts, false as late from events where event_id % 2 = 0
+union all
+select event_id, user_id, value, ts, epoch_ms(ts) <= w as late from events, w
+where event_id % 3 = 0 and (event_id % 2 = 1 or epoch_ms(ts) <= w)""",
     "file_to_table": CLEANING_SQL["clean_table"],
     "file_to_answer": f"""
 select case when o_orderkey % 11 in (0, 2) then 'unknown' when o_orderkey % 11 = 1 then 'n/a'

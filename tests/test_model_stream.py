@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -11,9 +13,11 @@ from pyspark.sql import functions as F
 
 from millrace.operators import model
 from millrace.operators.ranks import ranked, told_apart, with_partners
+from millrace.operators.rows import dedupe_rows
 from millrace.plans.config import CleanerConfig
 from millrace.plans.fit import fit
 from millrace.session import scratch_path
+from millrace.streaming import keyed
 from millrace.streaming.landing import clean_stream, read_landing, write_landing
 from queries.base import table
 from tests.conftest import DATA
@@ -158,3 +162,58 @@ def test_stream_drops_copies_by_key(spark):
     assert spark.read.parquet(out).count() == events.count()
     with pytest.raises(ValueError, match="event_time"):
         clean_stream(read_landing(spark, folder, plan), plan, ["event_id"])
+
+
+def _keyed(spark, batches, keys, order, late_by, keep_ms, schema="k string, ts timestamp, v double, s string"):
+    """Each batch is a run that goes on from the checkpoint; what the stream has told after each."""
+    landing, out, state = (scratch_path(spark, x) for x in ("landing", "first", "state"))
+    told = []
+    for rows in batches:
+        df = spark.createDataFrame(rows, schema)
+        df.coalesce(1).write.mode("append").parquet(landing)
+        with keyed.keyed_state(spark):
+            stream = spark.readStream.schema(df.schema).parquet(landing)
+            query = keyed.write_keyed(keyed.first_by_key(stream, keys, order, "ts", late_by, keep_ms), out, state)
+            query.awaitTermination()
+        told.append((keyed.keyed_table(spark, out, state, df.schema).collect(), keyed.step_counts(query)))
+    return told
+
+
+def test_keyed_stream_in_any_order_equals_batch(spark):
+    pick = random.Random(4)
+    rows = []
+    for i in range(300):
+        at = datetime(2024, 1, 1) + timedelta(minutes=pick.randrange(10_000))
+        value = pick.choice([None, math.nan, 1.0, 2.0, -3.5, float(i)])
+        rows.append((pick.choice(["a", "b", None, *"cdefgh"]), at, value, pick.choice([None, "x", "y", "é"])))
+    rows += rows[:40]
+    pick.shuffle(rows)
+    told = _keyed(spark, [rows[:120], rows[120:200], rows[200:]], ["k"], ["v", "s"], "30 days", 1000)
+    frame = spark.createDataFrame(rows, "k string, ts timestamp, v double, s string")
+    want = dedupe_rows(frame, ["k"], ["v", "s"]).collect()
+    assert sorted(map(str, [r[:4] for r in told[-1][0]])) == sorted(map(str, [r[:] for r in want]))
+    assert not any(r.late for r in told[-1][0])
+    assert told[-1][1]["read"] == 140 and told[-1][1]["held"] >= 9
+
+
+def test_keyed_stream_expiry_and_late_rows(spark):
+    day = lambda n: datetime(2024, 1, n)
+    batches = [
+        [("a", day(1), 5.0, "x"), ("a", day(2), 4.0, "y"), ("b", day(20), 1.0, "z"), ("n", None, 0.0, "undated")],
+        [("a", day(3), 1.0, "late"), ("b", day(19), 0.5, "earlier"), ("a", day(21), 9.0, "again")],
+    ]
+    told = _keyed(spark, batches, ["k"], ["v"], "5 days", 86_400_000)
+    assert {(r.k, r.s, r.late) for r in told[0][0]} == {("a", "y", False), ("b", "z", False), ("n", "undated", True)}
+    assert {(r.k, r.s, r.late) for r in told[1][0]} == {
+        ("a", "y", False), ("b", "earlier", False), ("n", "undated", True), ("a", "late", True), ("a", "again", False),
+    }
+
+
+def test_keyed_stream_refuses_what_it_cannot_do(spark):
+    folder, schema = scratch_path(spark, "none"), "k string, ts timestamp, m map<string,int>"
+    spark.createDataFrame([], schema).write.parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder)
+    with pytest.raises(ValueError, match="keyed_state"):
+        keyed.first_by_key(stream, ["k"], [], "ts")
+    with keyed.keyed_state(spark), pytest.raises(ValueError, match="ordered by 'm'"):
+        keyed.first_by_key(stream, ["k"], [], "ts")
