@@ -421,7 +421,7 @@ def enforce_schema(
     """Cast columns to the wanted types; values that do not fit become NULL.
 
     ``category`` replaces the values by their dictionary codes; all values that were not there when
-    the plan was fitted share the next code.
+    the plan was fitted share the next code, unless the plan has been given codes for them (``plans.growth``).
     """
     for column, kind in wanted.items():
         if kind not in SCHEMA_TYPES:
@@ -448,7 +448,8 @@ def enforce_schema(
 
 def read_levels(spark: SparkSession, fitted: dict) -> tuple[DataFrame, int, int]:
     """The level table, its rows and its bytes."""
-    if "path" in fitted:
-        return spark.read.parquet(fitted["path"]), fitted["rows"], fitted["bytes"]
+    parts = fitted.get("parts") or [fitted["path"]] if "values" not in fitted else []
+    if parts:
+        return spark.read.parquet(*parts), fitted["rows"], fitted["bytes"]
     rows_ = list(zip(fitted["values"], range(len(fitted["values"]))))
     return spark.createDataFrame(rows_, "value string, code bigint"), len(rows_), fitted["bytes"]

@@ -32,7 +32,7 @@ from millrace.plans.config import CleanerConfig
 from millrace.plans.json_fields import find_fields
 from millrace.session import scratch_path
 
-LEVELS_IN_PLAN = 1_000  # larger level tables are written next to the checkpoints
+LEVELS_IN_PLAN = 1_000  # larger level tables are written next to the checkpoints; plans.growth.save_plan takes them along
 
 
 def fit(

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from millrace.functions import parse, text
 from millrace.operators import lookup, names, rows
+from millrace.operators.codes import CodeBook
 from millrace.operators.frequency import modes
 from millrace.operators.quantiles import exact_quantiles
 from millrace.plans.cleaning import clip_numeric, enforce_schema, positive_only, winsorize
 from millrace.plans.config import CleanerConfig
 from millrace.plans.fit import clean, fit
-from millrace.session import spread
+from millrace.plans.growth import load_plan, save_plan, with_new_levels
+from millrace.session import scratch_path, spread
 from queries.base import DIRTY_DUCK, DUP_DUCK, SPARSE_DUCK, dirty_orders, dup_events
 from queries.base import sparse_orders, table
 
@@ -221,6 +223,29 @@ def transform_later_batch(spark, d):
     return plan.transform(later)
 
 
+def growing_codes(spark, d):
+    """Customer codes from three batches of orders by year; later ones go behind the codes that are there."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"), "o_orderdate")
+    book, folder = CodeBook(), scratch_path(spark, "codes")
+    for low, high in ((0, 1994), (1994, 1996), (1996, 9999)):
+        book = book.grown(orders.where(F.year("o_orderdate").between(low, high - 1)), "customer", folder)
+    return book.encode(orders, "customer", "code").select("o_orderkey", "customer", "code")
+
+
+def grown_plan(spark, d):
+    """A plan fitted on two days of the week, kept in a folder, read again and grown by the other days twice."""
+    events = table(spark, d, "events").selectExpr(
+        "event_id", "concat(event_type, ' ', substr('abcdefg', dayofweek(ts), 1)) as kind", "dayofweek(ts) as day"
+    )
+    plan = fit(events.where("day <= 2").drop("day"), _bare_text(enforce_schema={"kind": "category"}))
+    for days in ("day in (3, 4)", "day >= 5"):
+        plan = with_new_levels(plan, events.where(days).drop("day"))
+        folder = scratch_path(spark, "plan")
+        save_plan(plan, spark, folder)
+        plan = load_plan(spark, folder)
+    return plan.transform(events.drop("day"))
+
+
 def synonyms_duplicate_keys(spark, d):
     """Mapping keys that agree in lower case do not multiply rows; the smallest target counts."""
     segments = table(spark, d, "customer").select("c_mktsegment").distinct()
@@ -340,6 +365,8 @@ QUERIES = {
         json_expand_case,
         json_expand_mixed,
         transform_later_batch,
+        growing_codes,
+        grown_plan,
         synonyms_duplicate_keys,
         split_compound,
         extract_numbers,
@@ -483,6 +510,14 @@ select event_id, case when event_id % 10 > 1 then cast(json_extract(props, '$.k'
 select event_id, event_type as parts_part1, 'x|y' as parts_part2, user_id as doc__a,
   case when event_id % 2 = 0 then concat('{"a": ', user_id, ', "b": 2}') end as doc__rest,
   (select count(distinct event_type) from events) as kind from events""",
+    "growing_codes": """
+with b as (select o_custkey, case when year(min(o_orderdate)) < 1994 then 0 when year(min(o_orderdate)) < 1996 then 1 else 2 end as batch
+  from orders group by 1),
+c as (select o_custkey, row_number() over (order by batch, cast(o_custkey as varchar)) - 1 as code from b)
+select o_orderkey, cast(o_custkey as varchar) as customer, code from orders join c using (o_custkey)""",
+    "grown_plan": """
+select event_id, dense_rank() over (order by case when day <= 2 then 0 when day <= 4 then 1 else 2 end, kind) - 1 as kind
+from (select event_id, dayofweek(ts) + 1 as day, concat(event_type, ' ', substr('abcdefg', dayofweek(ts) + 1, 1)) as kind from events)""",
     "synonyms_duplicate_keys": "select c_custkey, 'a' as c_mktsegment from customer",
     "json_expand_nested": """
 select event_id, user_id as doc__user_id, event_type as doc__user_kind, value as doc__v,
