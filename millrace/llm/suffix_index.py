@@ -6,20 +6,21 @@ one with the smallest hash is an *anchor*, so two equal strings hold the same an
 indexing the suffixes that begin at anchors (one byte in thirteen) finds every repeat.
 
 A suffix array here is a run of anchors sorted by gram (32 bits of its hash within a shard of the hash
-space), then by a 64-bit hash of the gram and ``REACH`` bytes of context to either side, document and place.  Every task of a new
-batch makes one run per shard.  In a shard the runs form a family of levels: a run as large as a level is
-merged with it, so sizes grow geometrically and each anchor is merged a logarithmic number of times.
-The levels are written out, and ``insert`` goes on from them.
+space), then by a 64-bit hash of the gram and ``REACH`` bytes of context to either side, document and place.  A batch
+is sorted once and becomes a level, a folder with one run per shard.  It is merge-scanned against the levels
+that are there, which stay where they are; then levels at most ``GROWTH`` times as large as what follows
+them are merged with it into a new one, so sizes grow geometrically and each anchor is rewritten a logarithmic number of times.
 
-Scanning the merged levels tells for each anchor what other documents hold it.
+A merge-scan tells what the batch adds: for each gram of the batch, the anchors that now are
 
-* Same gram and context in a smaller document: all strings around the anchor are repeats.
-* Same gram in several documents, other context: the ends of repeats.  For each distinct context the anchors in
-  the smallest document are looked up again in the texts (a broadcast Bloom filter of ids and places selects
-  them, in blocks of at most ``BLOCK_BYTES``), and their ``SPAN`` strings are compared by hash within the shard.
+* repeats: a smaller document has the same gram and context, so all strings around the anchor are repeated;
+* lookups: several documents have the gram, in other contexts, so repeats may end here.  Of each context the anchors in
+  the smallest document are looked up in the texts, by a join on the document, and their ``SPAN`` strings are
+  compared by hash within the shard.
 
-Both give byte ranges; a document's ranges meet its text in a join on the id.  Data moves as one packed
-row per task and shard, so a gram in a third of all documents is one run of numbers among others, never pairs.
+What older scans found stays true.  Both give byte ranges; a document's ranges meet its text in a join on the id.
+Data moves as one packed row per task and shard or bucket of documents, so a gram in a third of all documents is one
+run of numbers among others, never pairs.  A text of any length is scanned in overlapping pieces.
 
 Definitions for odd input: NULL text is the empty text; texts shorter than a string lose nothing; the first
 document that holds a string keeps it, however often it repeats there; rows that repeat an id are one
@@ -31,6 +32,8 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +49,7 @@ SPAN = LENGTH - GRAM + 1  # grams per string; a gram is at least as long, so nei
 REACH = SPAN - 1
 CHUNK = 2 << 20  # bytes hashed at once
 SHARD_BYTES = 6 << 20  # of text per shard
-BLOCK_BYTES = 48 << 20
-BITS, PROBES = 12, 5
+GROWTH = 2
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 TYPES = {"gram": np.uint32, "context": np.uint64, "doc": np.int64, "place": np.uint32}
 
@@ -181,31 +183,29 @@ Run = dict[str, np.ndarray]
 
 
 def ordered(run: Run) -> Run:
-    order = np.lexsort((run["place"], run["doc"], run["context"], run["gram"]))
+    """Sorted by gram, context, document and place: by one number, and by all four only where it ties."""
+    key = (run["gram"].astype(np.uint64) << np.uint64(32)) | (run["context"] >> np.uint64(32))
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    tied = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+    if len(tied):
+        part = order[tied]
+        order[tied] = part[np.lexsort((run["place"][part], run["doc"][part], run["context"][part], key[tied]))]
     return {k: v[order] for k, v in run.items()}
 
 
-class Family:
-    """Sorted runs of geometrically growing size."""
+def together(runs: list[Run]) -> Run:
+    return {k: np.concatenate([r[k] for r in runs]) for k in TYPES}
 
-    def __init__(self, levels: list[Run] | None = None):
-        self.levels = sorted(levels or [], key=lambda r: -len(r["gram"]))
 
-    def add(self, run: Run) -> None:
-        while self.levels and len(self.levels[-1]["gram"]) <= 2 * len(run["gram"]):
-            run = merged(self.levels.pop(), run)
-        self.levels.append(run)
-
-    def whole(self) -> Run:
-        out = self.levels[-1]
-        for run in reversed(self.levels[:-1]):
-            out = merged(run, out)
-        return out
-
-
-def merged(a: Run, b: Run) -> Run:
-    """One run of two; both are sorted, which a stable sort makes use of."""
-    return ordered({k: np.concatenate((a[k], b[k])) for k in a})
+def carried(sizes: list[int], size: int) -> int:
+    """How many of the last levels a new one of ``size`` is merged with."""
+    n = 0
+    while n < len(sizes) and sizes[-1 - n] <= GROWTH * size:
+        size += sizes[-1 - n]
+        n += 1
+    return n
 
 
 def scan(run: Run) -> tuple[np.ndarray, np.ndarray]:
@@ -224,28 +224,20 @@ def scan(run: Run) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(doc > first), np.flatnonzero((doc == first) & several[g])
 
 
-def _keys(docs: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return mixed(mixed(docs.astype(np.uint64) * M1) + places.astype(np.uint64))
-
-
-class Bloom:
-    def __init__(self, size: int, bits: np.ndarray | None = None):
-        self.size, self.bits = size, np.zeros(size // 8, np.uint8) if bits is None else bits
-
-    def _spots(self, keys: np.ndarray, probe: int) -> np.ndarray:
-        return (mixed(keys + np.uint64(probe + 1)) % np.uint64(self.size)).astype(np.int64)
-
-    def add(self, keys: np.ndarray) -> None:
-        for probe in range(PROBES):
-            spots = self._spots(keys, probe)
-            np.bitwise_or.at(self.bits, spots >> 3, (1 << (spots & 7)).astype(np.uint8))
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for probe in range(PROBES):
-            spots = self._spots(keys, probe)
-            out &= (self.bits[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 > 0
-        return out
+def added(new: Run, old: list[Run]) -> tuple[Run, np.ndarray, np.ndarray]:
+    """The anchors with a gram of the sorted run ``new``, and which of them it makes repeats and lookups."""
+    if not old:
+        return new, *scan(new)
+    before = together(old)
+    at = np.minimum(np.searchsorted(new["gram"], before["gram"]), len(new["gram"]) - 1)
+    met = new["gram"][at] == before["gram"]
+    before = ordered({k: v[met] for k, v in before.items()})
+    both = together([before, new])
+    both["new"] = np.arange(len(both["gram"])) >= len(before["gram"])
+    both = ordered(both)
+    mine = np.flatnonzero(~both["new"])
+    found = [np.setdiff1d(now, mine[then]) for now, then in zip(scan(both), scan(before), strict=True)]
+    return both, *found
 
 
 def _texts(piece: pa.RecordBatch) -> list[tuple[int, bytes]]:
@@ -265,7 +257,7 @@ def _found(texts: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def runs(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, run): the sorted anchors of each piece of the batch, by shard."""
+    """(shard, run): the anchors of each piece of the batch, by shard, not sorted yet."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
@@ -278,7 +270,7 @@ def runs(docs: DataFrame, shards: int) -> DataFrame:
             h, context, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             shard = (h % np.uint64(shards)).astype(np.int64)
             gram = (h >> np.uint64(32)).astype(np.uint32)
-            order = np.lexsort((place, doc, context, gram, shard))
+            order = np.argsort(shard, kind="stable")
             shard, columns = shard[order], {"gram": gram[order], "context": context[order], "doc": doc[order], "place": place[order]}
             spans = stretches(shard)
             blobs = [pack({k: v[a:b] for k, v in columns.items()}) for a, b in spans]
@@ -287,54 +279,85 @@ def runs(docs: DataFrame, shards: int) -> DataFrame:
     return docs.mapInArrow(work, "shard int, run binary")
 
 
-LEVELS = "shard int, kind string, level int, docs binary, places binary, run binary"
+FOUND = "shard int, kind string, n long, docs binary, places binary, run binary"
+
+
+def _filled(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)})
 
 
-def _merge(rows: pa.Table, shard: int) -> pa.Table:
-    """Merge a shard's runs into its levels and scan them: rows of kind level, repeat and lookup."""
-    names = rows.column("kind").to_pylist()
-    blobs = rows.column("run").to_pylist()
-    family = Family([unpack(b) for b, k in zip(blobs, names, strict=True) if k == "level"])
-    for b in sorted((b for b, k in zip(blobs, names, strict=True) if k == "run"), key=len):
-        family.add(unpack(b))
-    whole = family.whole()
-    repeats, lookups = scan(whole)
-    out = [(shard, "level", i, None, None, pack(run)) for i, run in enumerate(family.levels)]
-    for kind, at in (("repeat", repeats), ("lookup", lookups)):
-        if len(at):
-            out.append((shard, kind, 0, pack({"doc": whole["doc"][at]}), pack({"place": whole["place"][at]}), None))
-    types = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table({n.split(" ")[0]: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(LEVELS.split(", "), types, strict=True))})
+def _scanned(rows: pa.Table, shard: int) -> pa.Table:
+    """A shard's part of a batch as one sorted run, and what it adds to the levels: repeats and lookups."""
+    old, new = [], []
+    for kind, run in zip(rows.column("kind").to_pylist(), rows.column("run").to_pylist(), strict=True):
+        (old if kind == "level" else new).append(unpack(run))
+    out = []
+    if new:
+        run = ordered(together(new))
+        out.append((shard, "level", len(run["gram"]), None, None, pack(run)))
+        both, *found = added(run, old)
+        for kind, at in zip(("repeat", "lookup"), found, strict=True):
+            if len(at):
+                out.append((shard, kind, len(at), pack({"doc": both["doc"][at]}), pack({"place": both["place"][at]}), None))
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return _filled(out, pa.schema([*zip(("shard", "kind", "n", "docs", "places", "run"), kinds, strict=True)]))
 
 
+def _merged(rows: pa.Table, shard: int) -> pa.Table:
+    run = ordered(together([unpack(b) for b in rows.column("run").to_pylist()]))
+    return _filled([(shard, len(run["gram"]), pack(run))], pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("run", pa.binary())]))
+
+
+@dataclass(frozen=True)
 class SuffixIndex:
-    """The levels of all shards, stored below the shared folder, and what the last scan found."""
+    """The folders of the levels, largest first, with their sizes, and those of what each batch's scan found.
 
-    def __init__(self, spark: SparkSession, path: str, shards: int):
-        self.spark, self.path, self.shards, self.version = spark, path, shards, None
+    A version never changes and its folders are never written again, so a failed insert leaves the older one whole.
+    ``shards`` is fixed by the first batch: name more where much larger ones will follow.
+    """
 
-    @property
-    def state(self) -> DataFrame:
-        return self.spark.read.schema(LEVELS).parquet(f"{self.path}/{self.version}")
+    spark: SparkSession
+    path: str
+    shards: int
+    levels: tuple[tuple[str, int], ...] = ()
+    scans: tuple[str, ...] = ()
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str | None = None) -> SuffixIndex:
+    def build(cls, docs: DataFrame, path: str | None = None, shards: int | None = None) -> SuffixIndex:
         """From a first batch with the columns doc_id (long) and text."""
         spark = docs.sparkSession
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        index = cls(spark, path or scratch_path(spark, "suffix-index"), max(8, -(-size // SHARD_BYTES)))
-        return index.insert(docs)
+        if shards is None:
+            size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            shards = max(8, -(-size // SHARD_BYTES))
+        return cls(spark, path or scratch_path(spark, "suffix-index"), shards).insert(docs)
+
+    def _runs(self, folders: Iterable[str]) -> DataFrame:
+        """(shard, kind, run) of levels."""
+        parts = [self.spark.read.schema(FOUND).parquet(f).where("kind = 'level'") for f in folders]
+        return reduce(DataFrame.unionByName, parts).select("shard", "kind", "run")
+
+    def found(self, kind: str) -> DataFrame:
+        """(shard, docs, places): all repeats or lookups."""
+        return self.spark.read.schema(FOUND).parquet(*self.scans).where(F.col("kind") == kind).select("shard", "docs", "places")
 
     def insert(self, docs: DataFrame) -> SuffixIndex:
         """The index with a further batch."""
-        after = SuffixIndex(self.spark, self.path, self.shards)
-        after.version = uuid.uuid4().hex
         rows = runs(docs, self.shards).select("shard", F.lit("run").alias("kind"), "run")
-        if self.version:
-            rows = rows.unionByName(self.state.where("kind = 'level'").select("shard", "kind", "run"))
-        made = rows.groupBy("shard").applyInArrow(lambda key, part: _merge(part, key[0].as_py()), LEVELS)
-        made.write.parquet(f"{self.path}/{after.version}")
-        return after
+        if self.levels:
+            rows = rows.unionByName(self._runs(f for f, _ in self.levels))
+        batch = f"{self.path}/batch-{uuid.uuid4().hex}"
+        rows.groupBy("shard").applyInArrow(lambda key, part: _scanned(part, key[0].as_py()), FOUND).write.parquet(batch)
+        size = self.spark.read.schema(FOUND).parquet(batch).where("kind = 'level'").agg(F.sum("n")).first()[0] or 0
+        levels, scans = [*self.levels, (batch, size)], (*self.scans, batch)
+        n = carried([size for _, size in self.levels], size)
+        if n:
+            last, levels = levels[-1 - n :], levels[: -1 - n]
+            level = f"{self.path}/level-{uuid.uuid4().hex}"
+            made = self._runs(f for f, _ in last).groupBy("shard")
+            made = made.applyInArrow(lambda key, part: _merged(part, key[0].as_py()), "shard int, n long, run binary")
+            made.withColumn("kind", F.lit("level")).write.parquet(level)
+            levels.append((level, sum(size for _, size in last)))
+        return replace(self, levels=tuple(levels), scans=scans)
 
     def ranges(self, docs: DataFrame) -> DataFrame:
         """(doc_id, starts, ends): the merged byte ranges that each document loses.
@@ -353,75 +376,74 @@ class SuffixIndex:
                     yield from _dealt(docs, np.maximum(place - REACH, 0), place + GRAM + REACH, shards)
 
         shards = self.shards
-        return self.state.where("kind = 'repeat'").select("docs", "places").mapInArrow(work, RANGES)
+        return self.found("repeat").select("docs", "places").mapInArrow(work, RANGES)
 
     def _ends(self, docs: DataFrame) -> DataFrame:
-        """Ranges of the strings at the ends of repeats."""
-        lookups = self.state.where("kind = 'lookup'").select("shard", "docs", "places")
-        blocks = max(1, -(-(lookups.agg(F.sum(F.octet_length("docs"))).first()[0] or 0) * 8 // BLOCK_BYTES))
-        parts = None
-        for block in range(blocks):
-            own = lookups.where(F.col("shard") % blocks == block)
-            part = _sought(docs, _bloom(own), self.shards)
-            parts = part if parts is None else parts.unionByName(part)
+        """Ranges of the strings at the ends of repeats: the texts are read once, whatever the number of lookups."""
+        wanted = _wanted(self.found("lookup"), self.shards)
         shards = self.shards
-        return parts.groupBy("shard").applyInArrow(lambda key, rows: _compared(rows, shards), RANGES)
+        return _sought(docs.join(wanted, "doc_id")).groupBy("shard").applyInArrow(lambda key, rows: _compared(rows, shards), RANGES)
 
 
-def _bloom(lookups: DataFrame):
-    """A broadcast Bloom filter of the (document, place) pairs, made of one filter per task."""
-    counted = lookups.mapInArrow(_count, "n long").agg(F.sum("n")).first()[0] or 0
-    size = max(1024, -(-counted * BITS // 64) * 64)
+def _wanted(lookups: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, places, shards): the anchors to look up in each document."""
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, some = Bloom(size), False
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, p in zip(batch.column("docs").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                bloom.add(_keys(unpack(d, ["doc"])["doc"], unpack(p, ["place"])["place"]))
-                some = True
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(bloom.bits.tobytes())], pa.binary())], ["bits"])
-
-    total = Bloom(size)
-    few = stored(lookups.coalesce(8).mapInArrow(work, "bits binary"), "lookups")
-    for r in few.toLocalIterator():
-        total.bits |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.bits)), np.uint8)
-    return lookups.sparkSession.sparkContext.broadcast((total.size, total.bits))
+            out = []
+            for shard, d, p in zip(*(batch.column(n).to_pylist() for n in ("shard", "docs", "places")), strict=True):
+                doc, place = unpack(d, ["doc"])["doc"], unpack(p, ["place"])["place"]
+                bucket = (mixed(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                doc, place, bucket = doc[order], place[order], bucket[order]
+                out += [(int(bucket[a]), shard, pack({"doc": doc[a:b]}), pack({"place": place[a:b]})) for a, b in stretches(bucket)]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield from _filled(out, pa.schema([*zip(("bucket", "shard", "docs", "places"), kinds, strict=True)])).to_batches()
 
+    def gather(rows: pa.Table) -> pa.Table:
+        parts = [
+            (unpack(d, ["doc"])["doc"], unpack(p, ["place"])["place"], shard)
+            for shard, d, p in zip(*(rows.column(n).to_pylist() for n in ("shard", "docs", "places")), strict=True)
+        ]
+        doc, place = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        shard = np.repeat(np.array([p[2] for p in parts], np.int32), [len(p[0]) for p in parts])
+        order = np.lexsort((place, doc))
+        doc, place, shard = doc[order], place[order], shard[order]
+        one = np.concatenate(([True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])))  # batches may find one again
+        doc, place, shard = doc[one], place[one], shard[one]
+        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        offsets = pa.array(np.append(first, len(doc)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (place.astype(np.int64), shard)]
+        return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "places": lists[0], "shards": lists[1]})
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = sum(len(unpack(d, ["doc"])["doc"]) for batch in batches for d in batch.column("docs").to_pylist())
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+    dealt = lookups.mapInArrow(deal, "bucket int, shard int, docs binary, places binary")
+    return dealt.groupBy("bucket").applyInArrow(gather, "doc_id long, places array<long>, shards array<int>")
 
 
-def _sought(docs: DataFrame, bloom, shards: int) -> DataFrame:
-    """(shard, docs, places, context): the bytes around the anchors that the filter selects, packed."""
+def _sought(found: DataFrame) -> DataFrame:
+    """(shard, docs, places, sizes, near): the bytes around the wanted anchors of each text, packed."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = Bloom(*bloom.value)
         for piece in slices(batches, "text"):
-            texts, parts = _texts(piece), []
-            for rows, doc, place, h in _found(texts):
-                at = np.flatnonzero(wanted.has(_keys(doc, place)))
-                parts.append((rows[at], doc[at], place[at], h[at]))
-            if not parts:
-                continue
-            rows, doc, place, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-            shard = (h % np.uint64(shards)).astype(np.int64)
+            near, docs, places, shards = [], [], [], []
+            for (doc, text), p, s in zip(_texts(piece), piece.column("places").to_pylist(), piece.column("shards").to_pylist(), strict=True):
+                near += [around(text, place) for place in p]
+                docs.append(np.full(len(p), doc, np.int64))
+                places += p
+                shards += s
+            doc, place, shard = np.concatenate(docs), np.array(places, np.int64), np.array(shards, np.int64)
             order = np.argsort(shard, kind="stable")
-            rows, doc, place, shard = rows[order], doc[order], place[order], shard[order]
-            out = []
+            shard, out = shard[order], []
             for a, b in stretches(shard):
-                near = [around(texts[i][1], p) for i, p in zip(rows[a:b].tolist(), place[a:b].tolist(), strict=True)]
-                sizes = np.array([*map(len, near)], np.uint8).tobytes()
-                out.append((int(shard[a]), pack({"doc": doc[a:b]}), pack({"place": place[a:b]}), sizes, zstandard.ZstdCompressor(level=1).compress(b"".join(near))))
-            if out:
-                types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["shard", "docs", "places", "sizes", "near"]
-                )
-
-    return docs.mapInArrow(work, "shard int, docs binary, places binary, sizes binary, near binary")
+                own = order[a:b]
+                texts = [near[i] for i in own.tolist()]
+                sizes = np.array([*map(len, texts)], np.uint8).tobytes()
+                packed = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+                out.append((int(shard[a]), pack({"doc": doc[own]}), pack({"place": place[own]}), sizes, packed))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield from _filled(out, pa.schema([*zip(("shard", "docs", "places", "sizes", "near"), kinds, strict=True)])).to_batches()
+
+    return found.mapInArrow(work, "shard int, docs binary, places binary, sizes binary, near binary")
 
 
 RANGES = "bucket int, docs binary, starts binary, ends binary"

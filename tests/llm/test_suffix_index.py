@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import pathlib
 import random
 
 import numpy as np
@@ -52,8 +53,7 @@ def test_brute_force(spark):
     assert rows_of(si.remove_repeats(table_of(spark, rows))) == plain(rows)
 
 
-def test_small_pieces_shards_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(si, "BLOCK_BYTES", 64)
+def test_small_pieces_and_shards(spark, monkeypatch):
     monkeypatch.setattr(si, "SHARD_BYTES", 4096)
     rows = texts()[:4] + spliced()
     assert rows_of(si.remove_repeats(table_of(spark, rows))) == plain(rows)
@@ -81,18 +81,45 @@ def test_batches_give_what_one_build_gives(spark):
 
 def test_levels_grow_geometrically():
     pick = np.random.default_rng(3)
-    family, total = si.Family(), []
-    for _ in range(60):
+    sizes, moved, total = [], 0, 0
+    for _ in range(400):
         n = int(pick.integers(50, 150))
-        run = si.ordered({k: pick.integers(0, 1000, n).astype(t) for k, t in si.TYPES.items()})
-        total.append(run)
-        family.add(run)
-        sizes = [len(level["gram"]) for level in family.levels]
-        assert sizes == sorted(sizes, reverse=True) and len(sizes) <= 8
-    whole = family.whole()
-    want = si.ordered({k: np.concatenate([r[k] for r in total]) for k in si.TYPES})
-    assert all((whole[k] == want[k]).all() for k in si.TYPES)
-    assert all((si.unpack(si.pack(whole))[k] == whole[k]).all() for k in si.TYPES)
+        k = si.carried(sizes, n)
+        made = n + sum(sizes[len(sizes) - k :])
+        sizes, moved, total = [*sizes[: len(sizes) - k], made], moved + made * (k > 0), total + n
+        assert all(a > si.GROWTH * b for a, b in zip(sizes, sizes[1:], strict=False)) and len(sizes) <= 9
+    assert sum(sizes) == total and moved < 12 * total
+
+
+def test_order_and_packing():
+    pick = np.random.default_rng(5)
+    for wide in (50, 1 << 20):
+        run = {k: pick.integers(0, wide, 3000).astype(t) for k, t in si.TYPES.items()}
+        run["context"][::2] <<= np.uint64(40)
+        got, order = si.ordered(run), np.lexsort((run["place"], run["doc"], run["context"], run["gram"]))
+        assert all((got[k] == run[k][order]).all() for k in si.TYPES)
+        assert all((si.unpack(si.pack(got))[k] == got[k]).all() for k in si.TYPES)
+
+
+def _size(folder):
+    return sum(f.stat().st_size for f in pathlib.Path(folder).glob("*.parquet"))
+
+
+def test_an_insert_leaves_large_levels_alone(spark):
+    pick = random.Random(8)
+    docs = [row(i, "".join(pick.choice("abcdefgh ") for _ in range(3000))) for i in range(120)]
+    late = [row(500, docs[3][1][100:700]), row(501, "".join(pick.choice("klm") for _ in range(2000)))]
+    last = [row(-1, docs[7][1][:400])]  # a smaller id: older documents become repeats
+    first = si.SuffixIndex.build(si.indexable(table_of(spark, docs)))
+    second = first.insert(si.indexable(table_of(spark, late)))
+    assert second.levels[0] == first.levels[0] and len(second.levels) == 2
+    old, new = _size(first.levels[0][0]), _size(second.scans[-1])
+    assert new < old / 4
+    third = second.insert(si.indexable(table_of(spark, last)))
+    assert third.levels[:1] == first.levels and sum(n for _, n in third.levels) > first.levels[0][1]
+    for index, rows in ((first, docs), (second, docs + late), (third, docs + late + last)):
+        frame = table_of(spark, rows)
+        assert rows_of(si.cut(frame, index.ranges(si.indexable(frame)))) == plain(rows)
 
 
 def test_empty_tables(spark):
