@@ -50,6 +50,7 @@ REACH = SPAN - 1
 CHUNK = 2 << 20  # bytes hashed at once
 SHARD_BYTES = 6 << 20  # of text per shard
 GROWTH = 2
+PROBES = 5
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 TYPES = {"gram": np.uint32, "context": np.uint64, "doc": np.int64, "place": np.uint32}
 
@@ -240,6 +241,28 @@ def added(new: Run, old: list[Run]) -> tuple[Run, np.ndarray, np.ndarray]:
     return both, *found
 
 
+class Bloom:
+    """A set of keys that may also claim keys it does not hold."""
+
+    def __init__(self, size: int, bits: np.ndarray | None = None):
+        self.size, self.bits = size, np.zeros(size // 8, np.uint8) if bits is None else bits
+
+    def _spots(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return (mixed(keys + np.uint64(probe + 1)) % np.uint64(self.size)).astype(np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        for probe in range(PROBES):
+            spots = self._spots(keys, probe)
+            np.bitwise_or.at(self.bits, spots >> 3, (1 << (spots & 7)).astype(np.uint8))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for probe in range(PROBES):
+            spots = self._spots(keys, probe)
+            out &= (self.bits[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 > 0
+        return out
+
+
 def _texts(piece: pa.RecordBatch) -> list[tuple[int, bytes]]:
     rows = zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True)
     return [(d, t.encode("utf-8", "replace")) for d, t in rows]
