@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import parse, text
-from millrace.operators import lookup, names, rows
+from millrace.operators import fingerprints, lookup, names, rows
 from millrace.operators.codes import CodeBook
 from millrace.operators.frequency import modes
 from millrace.operators.quantiles import exact_quantiles
@@ -321,6 +321,16 @@ def dedupe_by_key(spark, d):
     return rows.dedupe_rows(df, ["user_id", "event_type"], [-F.col("value")])
 
 
+def distinct_by_fingerprint(spark, d):
+    """Distinct documents, an eighth of them there twice; only fingerprints and possible copies are shuffled."""
+    docs = table(spark, d, "documents")
+    return fingerprints.distinct_rows(docs.unionByName(docs.where("doc_id % 8 = 0")))
+
+
+def copies_by_fingerprint(spark, d):
+    return fingerprints.count_copies(dup_events(spark, d))
+
+
 def dictionary_encode(spark, d):
     df = table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
     return lookup.dictionary_encode(df, ["p_brand", "p_type"])
@@ -379,6 +389,8 @@ QUERIES = {
         mark_outliers,
         dedupe_rows,
         dedupe_by_key,
+        distinct_by_fingerprint,
+        copies_by_fingerprint,
         dictionary_encode,
         rename_cast_reorder,
         clean_table,
@@ -549,6 +561,10 @@ from events, (select avg(value) as m, stddev_pop(value) as s from events)""",
     "dedupe_by_key": f"""
 select event_id, user_id, event_type, value from (select *, row_number() over (
   partition by user_id, event_type order by value desc, event_id) as rn from {DUP_DUCK}) where rn = 1""",
+    "distinct_by_fingerprint": "select distinct * from documents",
+    "copies_by_fingerprint": f"""
+select sum(n)::bigint as n_rows, count(*) as n_distinct, (sum(n) - count(*))::bigint as n_copies, max(n) as largest_group
+from (select count(*) as n from {DUP_DUCK} group by event_id, ts, user_id, event_type, value, props)""",
     "dictionary_encode": """
 select p_partkey, p_brand, p_type, dense_rank() over (order by p_brand) - 1 as p_brand_code,
   dense_rank() over (order by p_type) - 1 as p_type_code from part""",
