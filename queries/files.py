@@ -11,6 +11,7 @@ from millrace.plans.flow import run_workflow
 from millrace.session import scratch_path, spread
 from millrace.sources.readers import read_any, read_catalog
 from millrace.sources.sinks import save_table, write_csv
+from millrace.sources.xml_nodes import inside, read_xml_nodes
 from millrace.streaming import keyed
 from millrace.streaming.landing import clean_stream, read_landing, write_landing
 from queries import written
@@ -78,6 +79,24 @@ def read_json_one_file(spark, d):
     return read_any(spark, folder, "json", parallel=True).withColumn("text", F.md5("text"))
 
 
+def xml_subtrees(spark, d):
+    """Orders nested in customers, written as XML and read as nodes: what lies inside each customer."""
+    path = scratch_path(spark, "nested-xml")
+    orders = table(spark, d, "orders").selectExpr("o_custkey", "struct(o_orderkey as _key, o_orderstatus as status, o_totalprice as price) as o")
+    held = orders.groupBy("o_custkey").agg(F.collect_list("o").alias("order"))
+    customers = table(spark, d, "customer").join(held, F.col("c_custkey") == F.col("o_custkey"), "left")
+    customers = customers.selectExpr("c_custkey as _id", "c_name as name", "`order`")
+    customers.write.format("xml").option("rowTag", "customer").option("rootTag", "all").save(path)
+    nodes = read_xml_nodes(spark, path)
+    found = inside(nodes, nodes.where("tag = 'customer'").select("doc", "pre", "attributes"))
+    return found.groupBy(F.col("top_attributes")["id"].cast("long").alias("c_custkey")).agg(
+        F.max(F.when(F.col("tag") == "name", F.col("text"))).alias("name"),
+        F.count_if(F.col("tag") == "order").alias("orders"),
+        F.max(F.when(F.col("tag") == "order", F.col("attributes")["key"].cast("long"))).alias("last_key"),
+        F.round(F.sum(F.when(F.col("path") == "/all/customer/order/price", F.col("text").cast("double"))), 2).alias("price"),
+    )
+
+
 def read_xml(spark, d):
     path = scratch_path(spark, "xml")
     customers = _customers(spark, d)
@@ -303,6 +322,7 @@ QUERIES = {
         read_json_lines,
         read_json_documents,
         read_xml,
+        xml_subtrees,
         read_parquet,
         read_feather,
         read_gzip,
@@ -347,6 +367,9 @@ ORACLES = {
     "read_json_lines": _CUSTOMERS.replace("*", "* replace (c_nationkey::bigint as c_nationkey)"),
     "read_json_documents": _CUSTOMERS,
     "read_xml": _CUSTOMERS,
+    "xml_subtrees": """
+select c_custkey, c_name as name, count(o_orderkey) as orders, max(o_orderkey) as last_key, round(sum(o_totalprice), 2) as price
+from customer left join orders on c_custkey = o_custkey group by c_custkey, c_name""",
     "read_parquet": "select * from nation",
     "read_feather": _CUSTOMERS,
     "read_gzip": _DIGESTS,
