@@ -15,7 +15,7 @@ from millrace.operators.sqlq import SqlAgent
 from millrace.plans.cleaning import CleaningPlan
 from millrace.plans.config import CleanerConfig
 from millrace.plans.fit import fit
-from millrace.session import scratch_path, spread
+from millrace.session import spread_once
 from millrace.sources.readers import read_any
 from millrace.sources.sinks import save_table, write_csv
 
@@ -40,16 +40,6 @@ def table_name(path: str) -> str:
     return re.sub(r"\W+", "_", stem).lower() or "data"
 
 
-def spread_once(raw: DataFrame) -> DataFrame:
-    """An input that must be dealt out is read and shuffled once, not in each pass of the fit."""
-    dealt = spread(raw)
-    if dealt is raw:
-        return raw
-    path = scratch_path(raw.sparkSession, "spread")
-    dealt.write.parquet(path)
-    return raw.sparkSession.read.schema(dealt.schema).parquet(path)
-
-
 def run_pipeline(
     spark: SparkSession,
     path: str,

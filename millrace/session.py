@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 SMALL_BYTES = 1 << 30
 SPLIT_BYTES = 512 << 20
+UNKNOWN_BYTES = 1 << 56  # Spark's stand-in for a size that it cannot know is near the largest long
 _made: dict[str, str] = {}  # application → folder, only where the session names none
 
 
@@ -73,6 +74,7 @@ def spread(df: DataFrame) -> DataFrame:
     row costs far more than one shuffle of such an input.  What counts is the estimated size of a
     split, at every size of the input: beyond ``SPLIT_BYTES`` it could not be split by Spark.  Inputs of
     at most ``SMALL_BYTES`` in all cost next to nothing to deal out and are so if most cores would idle.
+    An input whose size is not known, like rows from the driver, stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -82,6 +84,28 @@ def spread(df: DataFrame) -> DataFrame:
 
 def wanted_splits(size: int, splits: int, cores: int) -> int | None:
     """Into how many partitions to deal an input of ``size`` bytes, or None to leave it as it is."""
+    if size >= UNKNOWN_BYTES:
+        return None
     if size <= SMALL_BYTES:
         return cores if splits * 2 <= cores else None
     return max(cores, -(-size // SPLIT_BYTES)) if size / splits > SPLIT_BYTES else None
+
+
+def spread_once(df: DataFrame) -> DataFrame:
+    """An input that must be dealt out is read and shuffled once, not in each pass over it."""
+    dealt = spread(df)
+    if dealt is df:
+        return df
+    path = scratch_path(df.sparkSession, "spread")
+    dealt.write.parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only picks and computes on the rows of one scan, so that asking for its splits costs nothing."""
+    if df.isStreaming:
+        return False
+    node = df._jdf.queryExecution().sparkPlan()
+    while node.nodeName() in ("Project", "Filter", "Generate"):
+        node = node.children().head()
+    return node.children().isEmpty() and node.nodeName().startswith("Scan")

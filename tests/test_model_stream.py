@@ -53,6 +53,33 @@ def test_regression(spark):
     assert forest.score(df.drop("y")).columns == ["a", "y_prediction"]
 
 
+def test_any_number_of_classes(spark):
+    df = spark.range(3000).selectExpr(
+        "id % 150 div 15 as a", "id % 15 as b", "timestamp_seconds(id) as at", "concat('class ', id % 150) as kind"
+    )  # fewer values per feature than a tree has bins; the time is no feature, but keeps equal rows apart in the split
+    forest = model.train_forest(df, "kind", trees=10, depth=10)
+    scored = forest.score(df)
+    assert scored.columns == ["a", "b", "at", "kind", "kind_prediction"] and scored.count() == 3000
+    assert {r[0] for r in scored.select("kind_prediction").distinct().collect()} <= {f"class {i}" for i in range(150)}
+    assert forest.metrics().first().accuracy > 0.3
+    with pytest.raises(ValueError, match="more than 100 classes"):
+        model.train_forest(df, "kind", trees=1, class_limit=100)
+
+
+def test_nothing_is_collected_per_class(spark):
+    df = spark.range(600).selectExpr("id % 30 as a", "concat('class ', id % 30) as kind")
+    plan = model.train_forest(df, "kind", trees=2, depth=3).score(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "class 29" not in plan
+
+
+def test_one_row_group_is_dealt_out_for_training_and_scoring(spark):
+    lines = table(spark, DATA, "lineitem").withColumn("late", F.expr("l_linenumber > 3"))
+    scored = model.train_forest(lines, "late", trees=5, depth=3).score(lines)
+    assert scored.rdd.getNumPartitions() > table(spark, DATA, "lineitem").rdd.getNumPartitions()
+    assert scored.where("late <> late_prediction").count() == 0
+    assert scored.drop("late_prediction").exceptAll(lines).count() == 0 and scored.count() == lines.count()
+
+
 @pytest.fixture(scope="module")
 def trained(spark):
     """A forest, and a holdout that holds one row a hundred times."""

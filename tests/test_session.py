@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from millrace import session
-from millrace.plans.flow import spread_once
-from millrace.session import spread, wanted_splits
+from millrace.session import is_scan, spread, spread_once, wanted_splits
 from queries.base import table
 from tests.conftest import DATA
 
@@ -31,3 +30,14 @@ def test_rows_stay_the_same_and_are_written_once(spark, monkeypatch):
     assert kept.exceptAll(one).count() == one.exceptAll(kept).count() == 0
     monkeypatch.setattr(session, "SPLIT_BYTES", 1 << 40)
     assert spread(one) is one and spread_once(one) is one
+
+
+def test_scans_are_told_from_work_that_shuffles(spark):
+    orders = table(spark, DATA, "orders")
+    assert is_scan(orders) and is_scan(orders.where("o_custkey > 3").selectExpr("o_custkey + 1 as k"))
+    assert not is_scan(orders.distinct()) and not is_scan(orders.crossJoin(orders.limit(1))) and not is_scan(spark.range(3))
+
+
+def test_an_unknown_size_deals_nothing_out(spark):
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(1, "a"), (2, "b")], 1), "a long, b string")
+    assert spread(rows) is rows and wanted_splits((1 << 63) - 1, 1, 8) is None
