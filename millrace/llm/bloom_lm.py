@@ -3,7 +3,7 @@
 The model learns words and pairs of neighbouring words (with a start mark before and an end after
 each text) from the training documents.  A count is quantised to a level, 1 + floor(log(count) / log(BASE)),
 and a gram of level L is put into a Bloom filter once per level 1 to L; its count is read back by asking for
-level 1, 2, ... until one is missing.  Pairs need ``PAIR_COUNT`` occurrences.  A level stands for counts from low(x)
+level 1, 2, ... until one is missing.  Pairs need ``pair_count`` occurrences: with 1, as in the query, none is left out.  A level stands for counts from low(x)
 to high(x), q(x) is their middle, Q the sum of q over all distinct words, and
 
     P(w | v) = MIX * low(v w) / high(v) + (1 - MIX) * (q(w) + 0.1) / (Q + 0.1 * (V + 1)).
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from millrace.llm.base import fold_of, slices, stored, table
 
 BASE = 1.5
-PAIR_COUNT = 2
+PAIR_COUNT = 2  # where the caller names none
 MIX = 0.2
 SHARD_TOKENS = 4 << 20
 BITS, PROBES = 12, 6  # bits per entry, hash functions
@@ -203,15 +203,13 @@ def places(first: np.ndarray, second: np.ndarray, probe: int, size: np.ndarray)
     return ((first + np.uint64(probe) * second) & LOW) * size >> np.uint64(32)
 
 
-def build_filter(kind: int, marks: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One bit array, packed; the counts of equal marks are added first."""
+def build_filter(kind: int, marks: np.ndarray, counts: np.ndarray, least: int = 1) -> np.ndarray:
+    """One bit array, packed; the counts of equal marks are added first, and those below ``least`` left out."""
     order = np.argsort(marks, kind="stable")
     marks, counts = marks[order], counts[order]
     first = np.flatnonzero(np.diff(marks.astype(np.int64), prepend=-1))
     total = np.add.reduceat(counts.astype(np.int64), first) if len(first) else counts
-    marks = marks[first]
-    if kind == 1:
-        marks, total = marks[total >= PAIR_COUNT], total[total >= PAIR_COUNT]
+    marks, total = marks[first][total >= least], total[total >= least]
     levels = level(total)
     size = max(64, -(-int(levels.sum()) * BITS // 8) * 8)
     bits = np.zeros(size, bool)
@@ -222,14 +220,14 @@ def build_filter(kind: int, marks: np.ndarray, counts: np.ndarray) -> np.ndarray
     return np.packbits(bits, bitorder="little")
 
 
-def build_filters(blobs: DataFrame) -> DataFrame:
+def build_filters(blobs: DataFrame, pair_count: int) -> DataFrame:
     """(kind, shard, bits)"""
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         marks = np.concatenate([np.frombuffer(m, np.uint32) for m in rows.column("marks").to_pylist()])
         kind, shard = key[0].as_py(), key[1].as_py()
         counts = np.concatenate([np.frombuffer(zlib.decompress(c), COUNTS[kind]) for c in rows.column("counts").to_pylist()])
-        bits = build_filter(kind, marks, counts).tobytes()
+        bits = build_filter(kind, marks, counts, pair_count if kind == 1 else 1).tobytes()
         return pa.table({"kind": pa.array([kind], pa.int32()), "shard": pa.array([shard], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
     return blobs.groupBy("kind", "shard").applyInArrow(build, "kind int, shard int, bits binary")
@@ -280,7 +278,8 @@ class Model:
         self.total, self.distinct, self.middles, self.starts = total, distinct, middles, starts
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
+def train(docs: DataFrame, text: str = "text", pair_count: int = PAIR_COUNT) -> Model:
+    """The model of all texts; pairs seen fewer than ``pair_count`` times are no part of it."""
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
     counts = stored(word_counts(texts), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -288,7 +287,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     counts_of_counts = counts.groupBy((F.floor(F.log(F.col("n")) / math.log(BASE) + 1e-9) + 1).alias("level")).count().collect()  # a row per level
     middles = sum(float(count_of(np.array([r[0]]))[0]) * r[1] for r in counts_of_counts)
     shards = max(4, -(-total // SHARD_TOKENS))
-    filters = stored(build_filters(pair_blobs(texts, shards).unionByName(word_blobs(counts, shards))), "filters")
+    filters = stored(build_filters(pair_blobs(texts, shards).unionByName(word_blobs(counts, shards)), pair_count), "filters")
     by_count = counts.where(F.octet_length("word") <= HOT_BYTES).groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count(F.lit(1)).alias("words"))
     least, room = 1, HOT_WORDS
     for r in sorted(by_count.collect(), key=lambda r: -r.n):  # a row per count: few
@@ -409,7 +408,7 @@ def _task(shared, hot, names: list[str], model: Model, last: bool):
 def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = fold_of("doc_id", 10) == 0
-    model = train(docs.where(~held_out))
+    model = train(docs.where(~held_out), pair_count=1)
     return score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )

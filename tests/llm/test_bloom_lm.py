@@ -116,3 +116,10 @@ def test_nothing_learned(spark):
     got = lm.score(table_of(spark), model).collect()
     assert len(got) == len(texts()) and all(r.n_known == 0 and math.isfinite(r.score) and r.base_score == 0 for r in got)
     assert lm.score(spark.createDataFrame([], SCHEMA), model).count() == 0
+
+
+def test_pairs_seen_once_are_kept():
+    marks = np.arange(0, 1 << 20, 997, dtype=np.uint32)
+    bits = lm.build_filter(1, marks, np.ones(len(marks), np.uint32))
+    keys = marks.astype(np.uint64) << np.uint64(32)
+    assert (lm.Filters(1, [(1, 0, bits.tobytes())]).levels(1, keys, np.zeros(len(keys), np.uint8)) >= 1).all()
