@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from millrace.session import scratch_path
 
 
-def _store(folder: str, name: str, data: bytes) -> None:
-    from pyarrow import fs
+FILES_PER_TASK = 2_000  # where each row becomes a file
 
-    system, base = fs.FileSystem.from_uri(folder)
-    system.create_dir(base, recursive=True)
-    with system.open_output_stream(f"{base}/{name}", compression=None) as out:
-        out.write(data)
+
+def _one_each(df: DataFrame) -> DataFrame:
+    """Rows that become a file each, dealt out by their number: a file costs far more than its bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // FILES_PER_TASK)))
 
 
 def _write(
@@ -37,10 +37,16 @@ def _write(
     folder = folder or scratch_path(df.sparkSession, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         part, n = TaskContext.get().partitionId(), 0
+        system, base = fs.FileSystem.from_uri(folder)
         for i, batch in enumerate(batches):
+            if not i:
+                system.create_dir(base, recursive=True)
             for name, data in encode(part * 100_000 + i, batch).items():
-                _store(folder, name, data)
+                with system.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(data)
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
 
@@ -50,7 +56,7 @@ def _write(
 
 def text_files(df: DataFrame) -> str:
     """``(name, text)`` rows, a file each."""
-    return _write(df, "text", lambda i, batch: {f"{r['name']}.txt": r["text"].encode() for r in batch.to_pylist()})
+    return _write(_one_each(df), "text", lambda i, batch: {f"{r['name']}.txt": r["text"].encode() for r in batch.to_pylist()})
 
 
 def json_files(df: DataFrame) -> str:
@@ -105,7 +111,7 @@ def gzip_files(df: DataFrame) -> str:
             f"{row['name']}.txt.gz": gzip.compress(row["text"].encode()) for row in batch.to_pylist()
         }
 
-    return _write(df, "gzip", encode)
+    return _write(_one_each(df), "gzip", encode)
 
 
 def mail_files(df: DataFrame) -> str:
@@ -126,4 +132,4 @@ def mail_files(df: DataFrame) -> str:
             out[f"{row['name']}.eml"] = message.as_bytes()
         return out
 
-    return _write(df, "mail", encode)
+    return _write(_one_each(df), "mail", encode)
