@@ -8,7 +8,7 @@ from millrace.functions.html import add_html_text
 from millrace.plans.config import CleanerConfig
 from millrace.plans.fit import fit
 from millrace.plans.flow import run_workflow
-from millrace.session import scratch_path, spread
+from millrace.session import files_for, input_bytes, scratch_path, spread
 from millrace.sources.readers import read_any, read_catalog
 from millrace.sources.sinks import save_table, write_csv
 from millrace.sources.xml_nodes import inside, read_xml_nodes
@@ -65,20 +65,35 @@ def read_json_documents(spark, d):
     return read_any(spark, folder, "json", schema=_customers(spark, d).schema)
 
 
+FILE_BYTES = 256 << 20
+XML_RECORDS = 20_000
+
+
+def _in_few(df):
+    """One large file's worth of rows per partition: a single one up to FILE_BYTES of input, else as many as it takes."""
+    return df.coalesce(files_for(input_bytes(df), FILE_BYTES))
+
+
 def read_csv_one_file(spark, d):
-    """All documents from one CSV file with line breaks in its values, cut at the true ends of records."""
+    """All documents from one CSV file (beyond FILE_BYTES: a few) with line breaks in its values, cut at the true ends of records."""
     df = table(spark, d, "documents")
-    path = write_csv(df.coalesce(1), scratch_path(spark, "csv"))
+    path = write_csv(_in_few(df), scratch_path(spark, "csv"))
     back = read_any(spark, path, "csv", schema=df.schema, multiLine=True, parallel=True)
     return back.withColumn("text", F.md5("text"))
 
 
 def read_json_one_file(spark, d):
-    """All documents from one JSON array in one file, its schema inferred."""
-    folder = written.json_files(table(spark, d, "documents").coalesce(1))
+    """All documents from large JSON arrays, cut at the true ends of records, the schema inferred."""
+    folder = written.json_files(_in_few(table(spark, d, "documents")))
     return read_any(spark, folder, "json", parallel=True).withColumn("text", F.md5("text"))
 
 
+def _write_xml(customers, path):
+    """Files of bounded length, for an XML file is read by one task."""
+    writer = customers.write.format("xml").option("maxRecordsPerFile", XML_RECORDS)
+    writer.option("rowTag", "customer").option("rootTag", "all").save(path)
+
+
 def xml_subtrees(spark, d):
     """Orders nested in customers, written as XML and read as nodes: what lies inside each customer."""
     path = scratch_path(spark, "nested-xml")
@@ -86,7 +101,7 @@ def xml_subtrees(spark, d):
     held = orders.groupBy("o_custkey").agg(F.collect_list("o").alias("order"))
     customers = table(spark, d, "customer").join(held, F.col("c_custkey") == F.col("o_custkey"), "left")
     customers = customers.selectExpr("c_custkey as _id", "c_name as name", "`order`")
-    customers.write.format("xml").option("rowTag", "customer").option("rootTag", "all").save(path)
+    _write_xml(customers, path)
     nodes = read_xml_nodes(spark, path)
     found = inside(nodes, nodes.where("tag = 'customer'").select("doc", "pre", "attributes"))
     return found.groupBy(F.col("top_attributes")["id"].cast("long").alias("c_custkey")).agg(
@@ -100,7 +115,7 @@ def xml_subtrees(spark, d):
 def read_xml(spark, d):
     path = scratch_path(spark, "xml")
     customers = _customers(spark, d)
-    customers.write.format("xml").option("rowTag", "customer").option("rootTag", "all").save(path)
+    _write_xml(customers, path)
     return read_any(spark, path, "xml", row_tag="customer", schema=customers.schema)
 
 

@@ -137,3 +137,29 @@ def test_shared_folder_is_the_configured_one(spark):
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         assert scratch_path(spark, "x").startswith(configured.rstrip("/"))
+
+
+def test_large_single_files_are_few_files_beyond_a_bound():
+    from millrace.session import UNKNOWN_BYTES, files_for
+
+    assert [files_for(n, 100) for n in (0, 1, 100, 101, 1000, UNKNOWN_BYTES)] == [1, 1, 1, 2, 10, 1]
+
+
+def test_each_task_writes_a_bounded_number_of_files(spark, monkeypatch):
+    from queries import written
+
+    monkeypatch.setattr(written, "FILES_PER_TASK", 3)
+    df = spark.range(400).selectExpr("concat('n', id) as name", "cast(id as string) as text").coalesce(1)
+    dealt = written._one_each(df)
+    assert dealt.rdd.getNumPartitions() >= 134
+    assert spark.read.text(written.text_files(df), wholetext=True).count() == 400
+
+
+def test_xml_files_are_of_bounded_length(spark, monkeypatch):
+    from millrace.session import scratch_path
+    from queries import files
+
+    monkeypatch.setattr(files, "XML_RECORDS", 10)
+    files._write_xml(spark.range(95).selectExpr("id as a").coalesce(1), path := scratch_path(spark, "xml"))
+    back = spark.read.format("xml").option("rowTag", "customer").load(path)
+    assert back.selectExpr("_metadata.file_path as f").distinct().count() == 10 and back.count() == 95
