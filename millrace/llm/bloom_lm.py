@@ -16,9 +16,9 @@ shard of the hash space, one blob per shard and task.  The number of shards foll
 tokens, so a shard stays small however large the corpus is, and a frequent gram is one entry per task.  Each
 shard's task merges its blobs and builds its filter.
 
-Filters are broadcast in blocks of at most ``BLOCK_BYTES``.  Documents are scanned once per block; the levels found so
-far are written down with the texts as a byte per gram, and the block is given up before the next is sent.
-Workers, the driver and broadcasts therefore hold one block at a time, and a model of any size is used whole.
+Filters are broadcast in blocks of at most ``BLOCK_BYTES``, each in parts of ``PART_BYTES``.  Documents are scanned once per
+block; the levels found so far are written down with the texts as a byte per gram, and the block is destroyed before the next is
+sent.  Workers and broadcasts therefore hold one block at a time, the driver collects one part at a time, and a model of any size is used whole.
 
 The base score needs exact counts.  The most frequent words, at most ``HOT_WORDS`` of at most
 ``HOT_BYTES`` bytes each, are broadcast with theirs; all other words of a document meet the count table in a
@@ -50,7 +50,8 @@ PAIR_COUNT = 2  # where the caller names none
 MIX = 0.2
 SHARD_TOKENS = 4 << 20
 BITS, PROBES = 12, 6  # bits per entry, hash functions
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 128 << 20  # filters asked in one scan
+PART_BYTES = 12 << 20  # filters that pass through the driver at once
 HOT_WORDS, HOT_BYTES = 100_000, 48
 PIECE_BYTES, SCORE_BYTES = 6 << 20, 4 << 20  # text counted, text scored at once inside a task
 END = b"\n"  # no word holds it
@@ -253,6 +254,8 @@ class Filters:
 
     def levels(self, kind: int, keys: np.ndarray, known: np.ndarray) -> np.ndarray:
         """``known`` with the levels of the grams whose shard is here."""
+        if not self.size[kind].any():
+            return known
         out = known.copy()
         shard = (keys % np.uint64(self.shards)).astype(np.int64)
         left = np.flatnonzero(self.size[kind, shard])
@@ -299,16 +302,39 @@ def train(docs: DataFrame, text: str = "text", pair_count: int = PAIR_COUNT) ->
     return Model(counts, filters, shards, int(total), int(distinct), float(middles), int(starts), hot)
 
 
-def blocks(model: Model) -> list[list[tuple[int, int]]]:
-    """Filters by broadcast: (kind, shard) lists of at most BLOCK_BYTES, one filter at least."""
-    sizes = model.filters.select("kind", "shard", F.octet_length("bits").alias("b")).collect()
-    out, room = [[]], BLOCK_BYTES
-    for r in sorted(sizes):
-        if r.b > room and out[-1]:
+Filter = tuple[int, int, int]  # kind, shard, bytes
+
+
+def grouped(filters: list[Filter], most: int) -> list[list[Filter]]:
+    """Filters in order, in groups of at most ``most`` bytes, one filter at least; one empty group for none."""
+    out, room = [[]], most
+    for f in filters:
+        if f[2] > room and out[-1]:
             out.append([])
-            room = BLOCK_BYTES
-        out[-1].append((r.kind, r.shard))
-        room -= r.b
+            room = most
+        out[-1].append(f)
+        room -= f[2]
+    return out
+
+
+def blocks(model: Model) -> list[list[Filter]]:
+    """Filters by scan of the documents."""
+    sizes = model.filters.select("kind", "shard", F.octet_length("bits").alias("b")).collect()
+    return grouped(sorted((r.kind, r.shard, r.b) for r in sizes), BLOCK_BYTES)
+
+
+def sent(model: Model, block: list[Filter]) -> list:
+    """The filters of a block as broadcasts of ``PART_BYTES``; the driver holds one of these at a time."""
+    out = []
+    for part in grouped(block, PART_BYTES):
+        wanted = F.lit(False)
+        for kind in (0, 1):
+            own = [s for k, s, _ in part if k == kind]
+            if own:
+                wanted = wanted | ((F.col("kind") == kind) & F.col("shard").between(min(own), max(own)))
+        rows = model.filters.where(wanted).collect()
+        out.append(model.filters.sparkSession.sparkContext.broadcast(vars(Filters(model.shards, [tuple(r) for r in rows]))))
+        del rows
     return out
 
 
@@ -326,19 +352,12 @@ def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",),
     bottom = model.total + 0.1 * (model.distinct + 1)
     for i, block in enumerate(found):
         last = i == len(found) - 1
-        wanted = None
-        for kind in (0, 1):
-            own = [s for k, s in block if k == kind]
-            if own:
-                cond = (F.col("kind") == kind) & F.col("shard").between(min(own), max(own))
-                wanted = cond if wanted is None else wanted | cond
-        parts = [] if wanted is None else [(r.kind, r.shard, bytes(r.bits)) for r in model.filters.where(wanted).collect()]
-        shared = spark.sparkContext.broadcast(vars(Filters(model.shards, parts)))
-        del parts
+        shared = sent(model, block)
         result = "n_tokens long, score double, hot_score double, hot_known long, tail array<struct<word:string,n:long>>"
         frame = frame.mapInArrow(_task(shared, hot, names, model, last), kept + (result if last else "__text string, __levels binary"))
         frame = stored(frame.select("*", F.monotonically_increasing_id().alias("__row")) if last else frame, "scored")
-        shared.unpersist()
+        for part in shared:
+            part.destroy()  # what it was for is written down
     rows = frame
     own = "log10((coalesce(c, 0) + 0.1) / {b}D)".format(b=repr(bottom))
     rare = rows.select("__row", F.explode("tail").alias("t")).select("__row", "t.word", "t.n")
@@ -361,7 +380,7 @@ def _task(shared, hot, names: list[str], model: Model, last: bool):
     bottom, spread = model.total + unseen, model.middles + unseen
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, (hot_words, hot_counts) = Filters.of(shared.value), hot.value
+        filters, (hot_words, hot_counts) = [Filters.of(part.value) for part in shared], hot.value
         hot_counts = np.append(hot_counts, -1)  # behind the last: not among them
         for piece in slices(batches, "__text", SCORE_BYTES):
             kept = [piece.column(i) for i in range(len(names))]
@@ -374,8 +393,9 @@ def _task(shared, hot, names: list[str], model: Model, last: bool):
                 packed = np.frombuffer(b"".join(before), np.uint8).reshape(-1, 2)
                 known_words[w.at] = packed[:, 0]
                 known_pairs[which] = packed[:, 1]
-            known_words = filters.levels(0, w.hashes, known_words)
-            known_pairs = filters.levels(1, pairs, known_pairs)
+            for part in filters:
+                known_words = part.levels(0, w.hashes, known_words)
+                known_pairs = part.levels(1, pairs, known_pairs)
             if not last:
                 packed = np.stack((known_words[w.at], known_pairs[which]), 1)
                 carried = [packed[a:b].tobytes() for a, b in zip(w.starts, ends, strict=True)]

@@ -123,3 +123,14 @@ def test_pairs_seen_once_are_kept():
     bits = lm.build_filter(1, marks, np.ones(len(marks), np.uint32))
     keys = marks.astype(np.uint64) << np.uint64(32)
     assert (lm.Filters(1, [(1, 0, bits.tobytes())]).levels(1, keys, np.zeros(len(keys), np.uint8)) >= 1).all()
+
+
+def test_the_driver_sends_a_block_in_parts(spark, monkeypatch):
+    model, whole = scored(spark, texts(), texts()[:8])
+    monkeypatch.setattr(lm, "PART_BYTES", 1)
+    (block,) = lm.blocks(model)
+    shared = lm.sent(model, block)
+    held = [(part.value["size"] > 0).sum() for part in shared]
+    assert held == [1] * len(block) and len(block) > 4
+    found = {(r.doc_id or 0): r for r in lm.score(table_of(spark, texts()), model).collect()}
+    assert all(found[d].score == pytest.approx(whole[d].score, rel=1e-9) for d in whole)
