@@ -53,7 +53,7 @@ BITS, PROBES = 12, 6  # bits per entry, hash functions
 BLOCK_BYTES = 128 << 20  # filters asked in one scan
 PART_BYTES = 12 << 20  # filters that pass through the driver at once
 HOT_WORDS, HOT_BYTES = 100_000, 48
-PIECE_BYTES, SCORE_BYTES = 6 << 20, 4 << 20  # text counted, text scored at once inside a task
+PIECE_BYTES, SCORE_BYTES = 3 << 20, 3 << 20  # text counted, text scored at once inside a task; a worker needs some 20 times that
 END = b"\n"  # no word holds it
 START = np.uint64(0x5851F42D4C957F2D)
 SEED = 42  # of Spark's xxhash64
@@ -174,13 +174,14 @@ def _blobs(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.R
     )
 
 
-def pair_blobs(texts: DataFrame, shards: int) -> DataFrame:
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text", PIECE_BYTES):
-            keys, counts = np.unique(Words(piece.column("text")).pairs(), return_counts=True)
-            yield _blobs(1, keys, counts, shards)
+def pair_pieces(batches: Iterable[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    for piece in slices(batches, "text", PIECE_BYTES):
+        keys, counts = np.unique(Words(piece.column("text")).pairs(), return_counts=True)
+        yield _blobs(1, keys, counts, shards)
+
 
-    return texts.mapInArrow(work, BLOB)
+def pair_blobs(texts: DataFrame, shards: int) -> DataFrame:
+    return texts.mapInArrow(lambda batches: pair_pieces(batches, shards), BLOB)
 
 
 def word_blobs(counts: DataFrame, shards: int) -> DataFrame:
@@ -273,6 +274,23 @@ class Filters:
         return out
 
 
+def asked(filters: list[Filters], kind: int, keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """``known`` with the levels of all grams whose shard is in one of ``filters``; each of these sees its own grams only."""
+    if not filters or not len(keys):
+        return known
+    holder = np.full(filters[0].shards, len(filters), np.int16)
+    for i, f in enumerate(filters):
+        holder[f.size[kind] > 0] = i
+    at = holder[(keys % np.uint64(filters[0].shards)).astype(np.int64)]
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(len(filters) + 1))
+    out = known.copy()
+    for f, a, b in zip(filters, cuts[:-1], cuts[1:], strict=True):
+        own = order[a:b]
+        out[own] = f.levels(kind, keys[own], known[own])
+    return out
+
+
 class Model:
     """What training leaves: totals, the count table, the stored filters and the frequent words."""
 
@@ -393,9 +411,8 @@ def _task(shared, hot, names: list[str], model: Model, last: bool):
                 packed = np.frombuffer(b"".join(before), np.uint8).reshape(-1, 2)
                 known_words[w.at] = packed[:, 0]
                 known_pairs[which] = packed[:, 1]
-            for part in filters:
-                known_words = part.levels(0, w.hashes, known_words)
-                known_pairs = part.levels(1, pairs, known_pairs)
+            known_words = asked(filters, 0, w.hashes, known_words)
+            known_pairs = asked(filters, 1, pairs, known_pairs)
             if not last:
                 packed = np.stack((known_words[w.at], known_pairs[which]), 1)
                 carried = [packed[a:b].tobytes() for a, b in zip(w.starts, ends, strict=True)]

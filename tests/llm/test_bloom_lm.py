@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -134,3 +136,14 @@ def test_the_driver_sends_a_block_in_parts(spark, monkeypatch):
     assert held == [1] * len(block) and len(block) > 4
     found = {(r.doc_id or 0): r for r in lm.score(table_of(spark, texts()), model).collect()}
     assert all(found[d].score == pytest.approx(whole[d].score, rel=1e-9) for d in whole)
+
+
+def test_counting_pairs_takes_little_memory():
+    pick = random.Random(1)
+    text = [" ".join(str(pick.randrange(30_000)) for _ in range(300)) for _ in range(4_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(text)], ["text"])
+    tracemalloc.start()
+    found = sum(np.frombuffer(m, np.uint32).size for b in lm.pair_pieces([batch], 8) for m in b.column("marks").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 1_000_000 and peak < 70e6  # 87 MB with pieces of 6 MB
