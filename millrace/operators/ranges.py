@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,3 +103,53 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
     inside = (bare(point) >= bare(start)) & (bare(point) < bare(stop) if open_end else bare(point) <= bare(stop))
     met = left.join(right.drop("_full", "_parts"), (F.col("_cell") == F.col("_touched")) & (F.col("_part") == F.col("_share")) & inside)
     return met.select(*(bare(c) for c in (*points.columns, *intervals.columns)))
+
+
+def range_counts(points: DataFrame, intervals: DataFrame, point: str, start: str, stop: str, *, open_end: bool = False) -> DataFrame:
+    """``intervals`` with ``n``, how many points have ``start <= point <= stop``, and ``least``, the smallest of them.
+
+    For questions about the pairs of ``range_join`` that need no pair: their number may be the product of both tables, while this
+    sorts each distinct value once.  Counted points and distinct bounds are put in one order by range partitions, pinned by a
+    checkpoint; the points before a bound are those of earlier partitions and those before it in its own, and the points of an
+    interval are the difference between its bounds.  A value that fills a third of either table is one row there; intervals
+    are joined with their bounds by equality, on a side that is unique per key.
+
+    Types, NULL, NaN and ``open_end`` are as in ``range_join``; an interval that meets nothing has 0 and NULL.
+    """
+    spark = points.sparkSession
+    for df, c in ((points, point), (intervals, start), (intervals, stop)):
+        _order(df, c)  # refuses what has no order
+    taken = {c.lower() for c in intervals.columns} & {"n", "least"}
+    if taken:
+        raise ValueError(f"the column names {sorted(taken)} are taken")
+    ensure_checkpoint_dir(spark)
+    after = 0 if open_end else 2  # where an end stands among equal points, which have 1
+    counted = points.select(bare(point).alias("_v")).where("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    sound = intervals.where(bare(start) <= bare(stop))
+    bounds = sound.select(bare(start).alias("_v"), F.lit(0).alias("_kind")).union(sound.select(bare(stop), F.lit(after))).distinct()
+    told = counted.select("_v", F.lit(1).alias("_kind"), "_n").union(bounds.select("_v", "_kind", F.lit(0).cast("long")))
+    kept = told.repartitionByRange("_v", "_kind").withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    kept = kept.withColumn("_part", F.shiftright("_at", 33)).withColumn("_point", F.when(F.col("_kind") == 1, F.col("_v")))
+
+    in_order = Window.orderBy("_of")  # over a row per partition
+    parts = kept.groupBy(F.col("_part").alias("_of")).agg(F.sum("_n").alias("_all"), F.min("_point").alias("_first"))
+    parts = parts.select(
+        "_of",
+        F.coalesce(F.sum("_all").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.first("_first", ignorenulls=True).over(in_order.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    own = Window.partitionBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = kept.withColumn("_own", F.sum("_n").over(own.orderBy("_v", "_kind")))
+    placed = placed.withColumn("_next", F.last("_point", ignorenulls=True).over(own.orderBy(F.desc("_v"), F.desc("_kind"))))
+    placed = placed.where("_kind <> 1").join(F.broadcast(parts), F.col("_part") == F.col("_of"))
+    placed = placed.select("_v", "_kind", (F.col("_before") + F.col("_own")).alias("_seen"), F.coalesce("_next", "_later").alias("_next"))
+
+    value = told.schema["_v"].dataType
+    begun = placed.where("_kind = 0").select(F.col("_v").alias("_from"), F.col("_seen").alias("_seen_from"), "_next")
+    ended = placed.where(F.col("_kind") == after).select(F.col("_v").alias("_to"), F.col("_seen").alias("_seen_to"))
+    asked = intervals.withColumns({"_a": bare(start).cast(value), "_b": bare(stop).cast(value), "_sound": bare(start) <= bare(stop)})
+    met = asked.join(begun, F.col("_sound") & (F.col("_a") == F.col("_from")), "left").join(
+        ended, F.col("_sound") & (F.col("_b") == F.col("_to")), "left"
+    )
+    n = F.coalesce(F.col("_seen_to") - F.col("_seen_from"), F.lit(0).cast("long"))
+    return met.select(*(bare(c) for c in intervals.columns), n.alias("n"), F.when(n > 0, F.col("_next")).alias("least"))

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import ranges
 
@@ -61,3 +62,39 @@ def test_empty_sides_and_errors(spark):
         ranges.range_join(some, spans.withColumn("X", spans.lo), "x", "lo", "hi")
     with pytest.raises(ValueError, match="no order"):
         ranges.range_join(some.selectExpr("cast(x as string) x"), spans, "x", "lo", "hi")
+
+
+@pytest.mark.parametrize("open_end", [False, True])
+def test_counts_equal_to_all_pairs(spark, open_end):
+    pick = random.Random(5)
+    points = [(i, pick.choice([7.0, 7.0, pick.uniform(0, 100), float(pick.randrange(50))])) for i in range(400)]
+    points += [(400, None), (401, math.nan), (402, math.inf), (403, -math.inf), (404, -0.0), (405, math.nan)]
+    intervals = [(j, a := pick.choice([pick.uniform(-5, 100), 7.0]), a + pick.choice([0.0, 1.0, 30.0, 200.0])) for j in range(80)]
+    intervals += [(80, 7.0, 7.0), (80, 7.0, 7.0), (81, 9.0, 3.0), (82, None, 3.0), (83, 3.0, None), (84, -math.inf, math.nan), (85, 0.0, 8.0)]
+    intervals += [(86, math.nan, math.nan), (87, 500.0, 600.0), (None, 1.0, 20.0)]
+    left = spark.createDataFrame(points, "i long, x double").repartition(5)
+    right = spark.createDataFrame(intervals, "j long, lo double, hi double")
+    rows = ranges.range_counts(left, right, "x", "lo", "hi", open_end=open_end).collect()
+    pairs = ranges.range_join(left, right, "x", "lo", "hi", open_end=open_end).groupBy("j", "lo", "hi")
+    pairs = pairs.agg(F.count("*").alias("n"), F.min("x").alias("least")).collect()
+    copies = Counter(str((r.j, r.lo, r.hi)) for r in rows)
+    assert sum(copies.values()) == len(intervals)
+    assert {str((r.j, r.lo, r.hi, r.n * copies[str((r.j, r.lo, r.hi))], r.least)) for r in rows if r.n} == {str(tuple(r)) for r in pairs}
+    assert all(r.least is None for r in rows if not r.n)
+
+
+def test_counts_make_no_pairs(spark):
+    """300,000 points and as many intervals: 7 * 10^10 pairs, more than a join could write."""
+    left = spark.range(300_000).selectExpr("cast(id % 10 as int) as x")
+    right = spark.range(300_000).selectExpr("id % 3 as j", "id % 5 as lo", "id % 5 + 100 as hi")
+    found = ranges.range_counts(left, right, "x", "lo", "hi").agg(F.sum("n"), F.min("least"), F.max("least")).first()
+    assert tuple(found) == (60_000 * 30_000 * (10 + 9 + 8 + 7 + 6), 0, 4)
+
+
+def test_counts_without_rows_or_with_taken_names(spark):
+    some = spark.createDataFrame([(5,)], "x int")
+    spans = spark.createDataFrame([(1, 9)], "lo int, hi int")
+    assert [tuple(r) for r in ranges.range_counts(some.limit(0), spans, "x", "lo", "hi").collect()] == [(1, 9, 0, None)]
+    assert ranges.range_counts(some, spans.limit(0), "x", "lo", "hi").count() == 0
+    with pytest.raises(ValueError, match="taken"):
+        ranges.range_counts(some, spans.withColumn("N", spans.lo), "x", "lo", "hi")
