@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.heavy import frequent_values
 from millrace.operators.longform import SLOT, as_double, field, is_number, melt, named, non_null
+from millrace.session import scratch_path
 
 LG_K = 13
 HLL_ERROR = 3 * 1.04 / 2 ** (LG_K / 2)
@@ -72,7 +73,11 @@ def batch_values(df: DataFrame, columns: Sequence[str], hitters: int = HITTERS)
 def add_batch(df: DataFrame, path: str, batch: str, columns: Sequence[str] | None = None, hitters: int = HITTERS) -> None:
     """Keep the state of ``df`` as ``batch`` below ``path``."""
     columns = list(columns) if columns is not None else df.columns
+    # written once, a few rows per column: counting them again for ``left_out`` would count most of the batch again
     values = batch_values(df, columns, hitters)
+    kept = scratch_path(df.sparkSession, "batch-values")
+    values.write.parquet(kept)
+    values = df.sparkSession.read.schema(values.schema).parquet(kept)
     _write(values.where(F.col("rank") <= hitters).withColumn("n_most", F.col("n")).drop("rank"), f"{path}/values", batch)
     # What is left out is at most as frequent as the first value beyond the kept ones.
     beyond = values.where(F.col("rank") == hitters + 1).select("column_name", F.col("n").alias("left_out"))

@@ -122,3 +122,14 @@ def test_a_refreshed_plan_is_like_a_new_fit(spark):
     assert new.moments["price"] == pytest.approx(whole.moments["price"], rel=0.02)
     assert new.fills == whole.fills and new.transform(df).columns == plan.transform(df).columns
     assert plan.medians["price"] != new.medians["price"]
+
+
+def test_frequent_values_of_a_batch_are_counted_once(spark, tmp_path, monkeypatch):
+    written = []
+    write = state._write
+    monkeypatch.setattr(state, "_write", lambda df, path, batch: (written.append(df), write(df, path, batch)))
+    state.add_batch(spark.range(1_000), str(tmp_path / "s"), "b0", hitters=5)
+    scans = [df._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 1000") for df in written]
+    assert scans == [0, 1]  # the kept values, and one pass for the statistics
+    stats, values = state.load(spark, str(tmp_path / "s"))
+    assert values.count() == 5 and stats.first().left_out == 1
