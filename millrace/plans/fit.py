@@ -5,7 +5,8 @@ Passes over the data, whatever the number of columns:
 1. one fused look at all columns (null shares, constancy, all text patterns);
 2. only if JSON columns were found: their fields, one pass per nesting level;
 3. only if new text columns came into being: their delimiters and digits;
-4. order statistics of the numeric columns (a sketch, a count, a small pick);
+4. order statistics of the numeric columns (a sketch, a count, a small pick); on large tables those
+   that come from text are written once before, so that no pass reads the text again;
 5. mean and deviation of the limited values, when outliers are marked;
 6. only for ``categorical_strategy="mode"`` or category columns: value counts.
 
@@ -25,7 +26,7 @@ from millrace.operators import frequency, lookup, names
 from millrace.operators.longform import nan_to_null, number_columns, text_columns
 from millrace.operators.moments import moments
 from millrace.operators.names import bare
-from millrace.operators.quantiles import approx_quantiles, interpolate, order_statistics
+from millrace.operators.quantiles import GAP_ROWS, approx_quantiles, interpolate, order_statistics
 from millrace.plans import look as looks
 from millrace.plans.cleaning import NO_CATEGORY_TYPE, CleaningPlan, Step
 from millrace.plans.config import CleanerConfig
@@ -33,6 +34,7 @@ from millrace.plans.json_fields import find_fields
 from millrace.session import scratch_path
 
 LEVELS_IN_PLAN = 1_000  # larger level tables are written next to the checkpoints; plans.growth.save_plan takes them along
+NUMBERS_ROWS = GAP_ROWS  # more rows take several passes over the numbers: those that come from text are then written once
 
 
 def fit(
@@ -210,6 +212,8 @@ def _fit_numbers(plan: CleaningPlan, stage: DataFrame) -> None:
         middle = {c: [q[shares.index(0.5)]] for c, q in sketched.items() if q[0] is not None}
         counts = None
     else:
+        if plan.rows_filled > NUMBERS_ROWS and (plan.readings or plan.json_fields or plan.numbers):
+            stage = _stored_numbers(stage, columns)
         stats = order_statistics(stage, columns, shares, rows_at_most=plan.rows_filled)
         for c in limited:
             if stats[c].rows:
@@ -231,6 +235,14 @@ def _fit_numbers(plan: CleaningPlan, stage: DataFrame) -> None:
         _fit_moments(plan, stage, columns)
 
 
+def _stored_numbers(stage: DataFrame, columns: list[str]) -> DataFrame:
+    """The numeric columns alone, read from text once and written, not read from it again in each of the next passes."""
+    slim = stage.select(*(bare(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    path = scratch_path(stage.sparkSession, "numbers")
+    slim.write.parquet(path)
+    return stage.sparkSession.read.schema(slim.schema).parquet(path).toDF(*columns)
+
+
 def _fit_moments(plan: CleaningPlan, stage: DataFrame, columns: list[str]) -> None:
     """Mean and population deviation after imputation; the imputed rows enter in closed form."""
     found = moments(stage, [plan.limited(stage, c).cast("double") for c in columns], columns)

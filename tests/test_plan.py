@@ -274,3 +274,20 @@ def test_later_columns_and_failed_casts_are_kept(spark):
     halves = plan.transform(frame("k int, n double", (7, 70.0), (8, 80.5), (9, float("nan"))))
     assert sorted((r.k, r.n__rest) for r in halves.collect()) == [(7, None), (8, "80.5"), (9, None)]
     assert plan.transform(frame("k int, n int", (7, 70))).columns == ["k", "n"]
+
+
+def test_numbers_from_text_are_read_once_on_large_tables(spark, monkeypatch):
+    plain = spark.range(60).selectExpr(
+        "id as o_id", "concat('$', cast(id * 3 % 17 as string), '.50') as price", "case when id % 7 > 0 then concat('{\"a\": {\"b.c\": ', id, '}, \"A\": 1.5}') end as doc"
+    )
+    before = fit(plain)
+    monkeypatch.setattr(fitting, "NUMBERS_ROWS", 10)
+    seen = []
+    for name in ("order_statistics", "moments"):
+        own = getattr(fitting, name)
+        monkeypatch.setattr(fitting, name, lambda df, *a, own=own, **b: (seen.append(df), own(df, *a, **b))[1])
+    after = fit(plain)
+    assert after.readings and after.json_fields and (after.bounds, after.medians) == (before.bounds, before.medians)
+    assert {c: pytest.approx(m) for c, m in before.moments.items()} == after.moments  # sums of doubles differ by their order
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in seen]
+    assert len(plans) == 2 and not any("Range (0" in p for p in plans)
