@@ -244,3 +244,20 @@ def test_keyed_stream_refuses_what_it_cannot_do(spark):
         keyed.first_by_key(stream, ["k"], [], "ts")
     with keyed.keyed_state(spark), pytest.raises(ValueError, match="ordered by 'm'"):
         keyed.first_by_key(stream, ["k"], [], "ts")
+
+
+def test_keys_that_share_an_entry_of_the_state(spark, monkeypatch):
+    """Keys in one entry keep their own first rows and their own ends; fewer entries than keys are held."""
+    from functools import partial
+
+    day = lambda n: datetime(2024, 1, n)
+    batches = [
+        [(k, day(n), float(n), s) for k, n, s in [("a", 1, "a"), ("b", 2, "b"), (None, 3, "none"), ("c", 9, "c"), ("c", 10, "c2")]],
+        [("c", day(11), 1.0, "first"), ("b", day(4), 1.0, "late"), ("a", day(30), 0.0, "again")],
+    ]
+    monkeypatch.setattr(keyed, "first_by_key", partial(keyed.first_by_key, slots=1))
+    told = _keyed(spark, batches, ["k"], ["v"], "5 days", 86_400_000)
+    assert {(r.k, r.s, r.late) for r in told[0][0]} == {("a", "a", False), ("b", "b", False), (None, "none", False), ("c", "c", False)}
+    assert told[0][1]["held"] < 4
+    closed = {("a", "a", False), ("b", "b", False), (None, "none", False), ("b", "late", True), ("c", "first", False)}
+    assert {(r.k, r.s, r.late) for r in told[1][0]} == {*closed, ("a", "again", False)}
