@@ -53,6 +53,43 @@ def test_regression(spark):
     assert forest.score(df.drop("y")).columns == ["a", "y_prediction"]
 
 
+def test_many_rows_of_few_cells_are_counted_for_training(spark, monkeypatch):
+    """A long table is learnt from weighted cells that keep counts, sums and squares; numbers, gaps and classes."""
+    df = spark.range(40_000).selectExpr(
+        "id % 40 as a", "case when id % 7 > 0 then pmod(xxhash64(id), 1000) end as b", "id as key", "concat('t', id % 3) as c",
+        "id % 40 * 10 + id % 3 + id % 11 * 0.5 as y", "concat('class ', id % 40 div 20) as kind", "timestamp_seconds(id) as at",
+    )
+    seen, cells = [], model._cells
+    monkeypatch.setattr(model, "_cells", lambda forest, rows: seen.append((rows, cells(forest, rows))) or seen[-1][1])
+    forest = model.train_forest(df.drop("kind", "key"), "y", trees=10, depth=6)
+    rows, told = seen[-1]
+    assert told.count() < rows.count() / 2 and [*forest.cuts] == ["b"] and len(forest.cuts["b"]) <= 31
+    sums = lambda t, w: t.selectExpr(f"sum({w})", f"sum({w} * _label)", f"sum({w} * _label * _label)").first()
+    assert [*sums(told, "_weight")] == pytest.approx([*sums(rows, "1")])
+    with monkeypatch.context() as patch:
+        patch.setattr(model, "CELL_ROWS", 1 << 40)
+        plain = model.train_forest(df.drop("kind", "key"), "y", trees=10, depth=6)
+    assert seen[-1][1] is None and not plain.counted
+    assert forest.metrics().first().rmse == pytest.approx(plain.metrics().first().rmse, rel=0.25)
+    assert forest.tree_importance().first().feature == plain.tree_importance().first().feature == "a"
+    at_once = {r.feature: r.importance for r in forest.permutation_importance().collect()}
+    forest.counted = False
+    one_by_one = {r.feature: r.importance for r in forest.permutation_importance().collect()}
+    assert at_once == pytest.approx(one_by_one, abs=1e-9) and max(at_once, key=at_once.get) == "a"
+    scored = forest.score(df.limit(100).drop("y"))
+    assert scored.count() == 100 and "b" in scored.columns and scored.where("y_prediction is null").count() == 0
+
+    forest = model.train_forest(df.drop("y", "key"), "kind", trees=5, depth=4)
+    rows, told = seen[-1]
+    assert told.count() < rows.count() / 2 and told.agg(F.sum("_weight")).first()[0] == rows.count()
+    assert forest.metrics().first().accuracy > 0.99
+    at_once = forest.permutation_importance().collect()
+    forest.counted = False
+    assert at_once == forest.permutation_importance().collect() and at_once[0].feature == "a"
+    model.train_forest(df.drop("kind"), "y", trees=2, depth=2)  # the key has too many values with the others
+    assert seen[-1][1] is None
+
+
 def test_any_number_of_classes(spark):
     df = spark.range(3000).selectExpr(
         "id % 150 div 15 as a", "id % 15 as b", "timestamp_seconds(id) as at", "concat('class ', id % 150) as kind"
