@@ -126,6 +126,26 @@ def trained(spark):
     return forest
 
 
+def test_vectors_of_a_large_split_are_kept_in_small_parts(spark, monkeypatch):
+    """One task's vectors come from a bounded stretch of a file, whatever the session's splits are."""
+    path = scratch_path(spark, "groups")
+    rows = spark.range(200_000).selectExpr("xxhash64(id) as a", "id % 7 as b", "id * 0.5 as y").coalesce(1)
+    rows.write.option("parquet.block.size", 200_000).option("parquet.page.size", 20_000).parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    kept, cells = [], model._cells
+    monkeypatch.setattr(model, "VECTOR_SPLIT", 100_000)
+    monkeypatch.setattr(model, "spread_once", lambda df: df)
+    monkeypatch.setattr(model, "_cells", lambda forest, rows: kept.append(rows) or cells(forest, rows))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        model.train_forest(spark.read.parquet(path), "y", trees=2, depth=2)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    parts = [r[0] for r in kept[0].groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(parts) > 150_000 and max(parts) < 30_000
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 def test_importance_is_the_same_on_any_partitions(spark, trained):
     found = []
     before = spark.conf.get("spark.sql.shuffle.partitions")
