@@ -1,24 +1,36 @@
-"""Formats Spark has no reader for: feather, e-mail, zip and tar.
+"""Formats Spark has no reader for: feather, e-mail, zip and tar; and folders of very many files.
 
-Spark lists the files and spreads them over tasks by size; each task opens its own files.  Members
-and record batches are passed on one at a time, so a task holds one of them, not a whole archive's
-contents twice.
+A task lists a folder, its names are spread over tasks, and each task opens its own files; the driver holds
+no list of files.  Members and record batches are passed on one at a time, so a task holds one of them, not a
+whole archive's contents twice.
 """
 
 from __future__ import annotations
 
 import email
 import email.policy
+import gzip
+import os
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from millrace.session import scratch_path, split_bytes
+
 BATCH_BYTES = 8 * 1024 * 1024
 BATCH_ROWS = 1_000
+NAMES = 10_000  # names a task holds while it lists a folder
+FILES_PER_TASK = 2_000
+PACKED = (".bz2", ".deflate", ".lz4", ".snappy", ".zst")  # fixed values: besides .gz, what Spark unpacks by its ending
+GLOB = re.compile(r"[{}\[\]*?\\]")
+QUOTED = re.compile(r"[\x00-\x20\"#%<>?\[\\\]^`{|}\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # what a URI has no place for
 
 MEMBER_SCHEMA = "archive string, member string, content binary, text string"
 MAIL_SCHEMA = "path string, subject string, sender string, recipient string, body string"
@@ -29,14 +41,103 @@ def _open(uri: str):
     from pyarrow import fs
 
     if uri.startswith("file:"):
-        uri = "file:///" + uri[len("file:") :].lstrip("/")
+        return fs.LocalFileSystem().open_input_file(_local(uri))
     system, path = fs.FileSystem.from_uri(uri)
     return system.open_input_file(path)
 
 
+def _local(uri: str) -> str:
+    """The plain path behind ``file:``, which Spark does not quote."""
+    return "/" + uri[len("file:") :].lstrip("/")
+
+
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder that a task can list by itself (local or mounted), else None."""
+    if GLOB.search(path):
+        return None
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getScheme() != "file" or not system.exists(at) or not system.getFileStatus(at).isDirectory():
+        return None
+    return system.makeQualified(at).toUri().getPath()
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark passes over the name when it lists a folder."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _listing(spark: SparkSession, path: str, unfit: tuple[str, ...] = ()) -> DataFrame | None:
+    """``(path)`` of the files in a folder, in parts of bounded number and length, or None if Spark must list it.
+
+    One task walks through the folder, a stretch of names at a time, and writes them down; the driver only learns their
+    number and length.  As in Spark's own listing, hidden and empty files are left out.  Globs, stores other than a
+    local or mounted one, folders in folders (which may be partitions) and names that end in ``unfit`` are Spark's.
+    """
+    folder = _local_folder(spark, path)
+    if folder is None:
+        return None
+
+    arrow = pa.schema([("path", pa.string()), ("length", pa.int64()), ("odd", pa.bool_())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                if _hidden(entry.name):
+                    continue
+                try:
+                    inner, length = entry.is_dir(), entry.stat().st_size
+                except FileNotFoundError:  # gone since
+                    continue
+                if inner or length:
+                    rows.append(("file:" + os.path.join(folder, entry.name), 0 if inner else length, inner or entry.name.lower().endswith(unfit)))
+                if len(rows) == NAMES:
+                    yield _batch(rows, arrow)
+                    rows = []
+        if rows:
+            yield _batch(rows, arrow)
+
+    kept, schema = scratch_path(spark, "listed"), "path string, length bigint, odd boolean"
+    spark.range(0, 1, 1, 1).mapInArrow(walk, schema).write.parquet(kept)
+    listed = spark.read.schema(schema).parquet(kept)
+    number, length, odd = listed.agg(F.count("path"), F.coalesce(F.sum("length"), F.lit(0)), F.count_if("odd")).first()
+    if odd:
+        return None
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(1, min(number, cores), -(-number // FILES_PER_TASK), min(number, -(-length // split_bytes(spark))))
+    return listed.select("path").repartition(parts)
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path)`` of the files, packed into tasks by their length; contents are not read."""
-    return spark.read.format("binaryFile").load(path).select("path")
+    """``(path)`` of the files, dealt out to tasks; contents are not read."""
+    listed = _listing(spark, path)
+    return spark.read.format("binaryFile").load(path).select("path") if listed is None else listed
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame | None:
+    """``(path, text)``, one row per file of a folder, as Spark's text reader gives them; None if only that can read it.
+
+    Bytes that are no UTF-8 stay as they are, gzip files are unpacked, and paths are quoted as URIs.
+    """
+    listed = _listing(spark, path, PACKED)
+    if listed is None:
+        return None
+    arrow = pa.schema([("path", pa.string()), ("data", pa.binary())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                with _open(uri) as handle:
+                    data = handle.readall()
+                shown = "file://" + QUOTED.sub(lambda m: quote(m[0], safe=""), _local(uri))
+                yield shown, gzip.decompress(data) if uri.lower().endswith(".gz") else data
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(rows(batches), arrow)
+
+    read = listed.mapInArrow(load, "path string, data binary")
+    return read.select("path", F.col("data").cast("string").alias("text"))
 
 
 def read_feather(spark: SparkSession, path: str) -> DataFrame:

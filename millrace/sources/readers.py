@@ -142,7 +142,13 @@ def read_avro(spark: SparkSession, path: str, **opts) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str, whole: bool = True, **opts) -> DataFrame:
-    """``(path, text)``, one row per file or per line."""
+    """``(path, text)``, one row per file or per line.
+
+    Whole files of a folder are listed and read by tasks (``files.read_whole``), unless an option asks for what only
+    Spark's own reader knows.
+    """
+    if whole and not opts and (found := files.read_whole(spark, path)) is not None:
+        return found
     return spark.read.options(**opts).text(path, wholetext=whole).select(
         F.input_file_name().alias("path"), F.col("value").alias("text")
     )

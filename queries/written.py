@@ -18,17 +18,30 @@ from email.message import EmailMessage
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from millrace.session import scratch_path
+from millrace.session import is_scan, scratch_path, splits_of
 
 
 FILES_PER_TASK = 2_000  # where each row becomes a file
+MOST_FILES = 8  # times FILES_PER_TASK, that a split may hold and still be left as it is
+EACH_SPLIT = 4 << 20  # bytes of a table whose rows become a file each
 
 
 def _one_each(df: DataFrame) -> DataFrame:
-    """Rows that become a file each, dealt out by their number: a file costs far more than its bytes."""
+    """Rows that become a file each, dealt out by their number: a file costs far more than its bytes.
+
+    Splits of a scan that hold few enough are left as they are, since a shuffle would keep all rows on disk once more.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, -(-df.count() // FILES_PER_TASK)))
+    if is_scan(df):
+        held = df.groupBy(F.spark_partition_id()).count()
+        splits, most, rows = held.agg(F.count("count"), F.max("count"), F.coalesce(F.sum("count"), F.lit(0))).first()
+        if splits >= cores and most <= MOST_FILES * FILES_PER_TASK:
+            return df
+    else:
+        rows = df.count()
+    return df.repartition(max(cores, -(-rows // FILES_PER_TASK)))
 
 
 def _write(
@@ -54,9 +67,14 @@ def _write(
     return folder
 
 
+def _write_each(df: DataFrame, label: str, encode: Callable[[int, list], dict[str, bytes]]) -> str:
+    with splits_of(df.sparkSession, EACH_SPLIT):
+        return _write(_one_each(df), label, encode)
+
+
 def text_files(df: DataFrame) -> str:
     """``(name, text)`` rows, a file each."""
-    return _write(_one_each(df), "text", lambda i, batch: {f"{r['name']}.txt": r["text"].encode() for r in batch.to_pylist()})
+    return _write_each(df, "text", lambda i, batch: {f"{r['name']}.txt": r["text"].encode() for r in batch.to_pylist()})
 
 
 def json_files(df: DataFrame) -> str:
@@ -111,7 +129,7 @@ def gzip_files(df: DataFrame) -> str:
             f"{row['name']}.txt.gz": gzip.compress(row["text"].encode()) for row in batch.to_pylist()
         }
 
-    return _write(_one_each(df), "gzip", encode)
+    return _write_each(df, "gzip", encode)
 
 
 def mail_files(df: DataFrame) -> str:
@@ -132,4 +150,4 @@ def mail_files(df: DataFrame) -> str:
             out[f"{row['name']}.eml"] = message.as_bytes()
         return out
 
-    return _write(_one_each(df), "mail", encode)
+    return _write_each(df, "mail", encode)

@@ -163,3 +163,50 @@ def test_xml_files_are_of_bounded_length(spark, monkeypatch):
     files._write_xml(spark.range(95).selectExpr("id as a").coalesce(1), path := scratch_path(spark, "xml"))
     back = spark.read.format("xml").option("rowTag", "customer").load(path)
     assert back.selectExpr("_metadata.file_path as f").distinct().count() == 10 and back.count() == 95
+
+
+def _odd_folder(folder):
+    names = ("a b.txt", "é%#?[x].txt", "c;,$&+=@!~'()*.txt", "{q}|^`\"<>\\.txt", "_h.txt", ".h.txt", "_k=v.txt", "x._COPYING_", "n\n.txt")
+    for name in names:
+        (folder / name).write_bytes(b"\xff\x00ok" + name.encode())
+    (folder / "empty.txt").write_bytes(b"")
+    (folder / "h.txt.GZ").write_bytes(gzip.compress(b"one") + gzip.compress(b"two"))
+    (folder / "g.gz").write_bytes(gzip.compress(b""))
+
+
+def test_whole_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from millrace.sources import files
+
+    monkeypatch.setattr(files, "NAMES", 7)
+    for i in range(60):
+        (tmp_path / f"n{i}.txt").write_text(f"text {i}")
+    _odd_folder(tmp_path)
+    back = read_any(spark, str(tmp_path), "txt")
+    # the files that the driver knows are those of the listing
+    assert len(back.inputFiles()) == 1 and back.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    wanted = spark.read.text(str(tmp_path), wholetext=True).select(F.input_file_name(), F.hex("value"))
+    assert sorted(map(tuple, back.select("path", F.hex("text")).collect())) == sorted(map(tuple, wanted.collect()))
+    (tmp_path / "k=v").mkdir()  # partitions stay with Spark
+    assert files.read_whole(spark, str(tmp_path)) is None and files.read_whole(spark, f"{tmp_path}/*.txt") is None
+
+
+def test_a_folder_without_files_has_no_rows(spark, tmp_path):
+    (tmp_path / "_SUCCESS").write_text("")
+    assert read_any(spark, str(tmp_path), "txt").columns == ["path", "text"]
+    assert read_any(spark, str(tmp_path), "txt").count() == 0
+
+
+def test_small_splits_become_files_without_a_shuffle(spark, tmp_path, monkeypatch):
+    from queries import written
+
+    df = spark.range(400).selectExpr("concat('n', id) as name", "cast(id as string) as text")
+    df.repartition(spark.sparkContext.defaultParallelism * 4).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(written, "EACH_SPLIT", 1000)
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    with written.splits_of(spark, 1000):
+        assert written._one_each(stored) is stored
+        monkeypatch.setattr(written, "MOST_FILES", 0)
+        assert written._one_each(stored) is not stored
+    assert read_any(spark, written.text_files(stored), "txt").count() == 400
