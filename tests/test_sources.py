@@ -15,6 +15,7 @@ from millrace.operators.catalog import schema_text
 from millrace.operators.sqlq import SqlAgent, extract_select, run_select
 from millrace.plans.flow import run_workflow
 from millrace.session import CHECKPOINT_KEY, scratch_path
+from millrace.sources import files
 from millrace.sources.readers import read_any
 from millrace.sources.sinks import cleaned_name, save_table
 
@@ -210,3 +211,15 @@ def test_small_splits_become_files_without_a_shuffle(spark, tmp_path, monkeypatc
         monkeypatch.setattr(written, "MOST_FILES", 0)
         assert written._one_each(stored) is not stored
     assert read_any(spark, written.text_files(stored), "txt").count() == 400
+
+
+def test_mails_are_listed_by_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"m {i}#%41.eml").write_text(f"Subject: s{i}\nFrom: a@b.c\nTo: d@e.f\n\nbody {i}\n")
+    (tmp_path / "empty.eml").write_text("")
+    listed = files.list_files(spark, str(tmp_path))
+    assert len(listed.inputFiles()) == 1
+    shown = spark.read.format("binaryFile").load(str(tmp_path)).select("path")
+    assert sorted(listed.collect()) == sorted(shown.collect())
+    back = read_any(spark, str(tmp_path), "eml")
+    assert sorted(back.select("subject", "body").collect()) == sorted((f"s{i}", f"body {i}\n") for i in range(40))
