@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.names import bare
-from millrace.session import ensure_checkpoint_dir
+from millrace.session import ensure_checkpoint_dir, is_scan
 
 BIN_POINTS = 10_000  # points a bin should hold
 MOST_BINS = 10_000  # bins at most: what reaches the driver is a row per bin
 CELL_POINTS = 500  # points a cell should hold: bins are cut into cells of equal width, as many as they have points for
+CELLS_EACH = 4  # cells that the interval of mean length should cover, if they hold CELL_POINTS or more
 PART_POINTS = 1_000_000  # a cell with more points is split
 
 
@@ -38,7 +39,14 @@ def _binned(df: DataFrame, cuts: list[float], column: str, name: str) -> DataFra
     return put.transform(df).withColumn(name, F.col(f"{name}_d").cast("int")).drop(f"{name}_d")
 
 
-def _cells(dealt: DataFrame, cuts: list[float]) -> DataFrame:
+def _lengths(intervals: DataFrame, cuts: list[float]) -> dict[int, float]:
+    """The mean length of the intervals that begin in a bin."""
+    length = F.col("_hi") - F.col("_lo")
+    begun = _binned(intervals, cuts, "_lo", "_bin").groupBy("_bin").agg(F.avg(F.when(length < math.inf, length)))
+    return {r[0]: r[1] for r in begun.collect() if r[1]}  # a row per bin
+
+
+def _cells(dealt: DataFrame, cuts: list[float], lengths: dict[int, float]) -> DataFrame:
     """Per bin: its first cell's number, how many it has, where they begin and how many come to a unit of length."""
     finite = F.when(F.abs("_x") < math.inf, F.col("_x"))
     counted = dealt.groupBy("_bin").agg(F.count(F.lit(1)).alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"))
@@ -49,6 +57,8 @@ def _cells(dealt: DataFrame, cuts: list[float]) -> DataFrame:
         many, low, scale = 1, 0.0, 0.0
         if r and r.low is not None and r.high > r.low:
             wanted = max(1, r.n // CELL_POINTS)
+            if number in lengths:  # an interval's copies cost more than the points its end cells hold in vain
+                wanted = max(1, int(min(wanted, CELLS_EACH * (r.high - r.low) / lengths[number])))
             if wanted > 1 and math.isfinite(wanted / (r.high - r.low)) and math.isfinite(r.high - r.low):
                 many, low, scale = wanted, r.low, wanted / (r.high - r.low)
         rows.append((number, before, many, low, scale))
@@ -69,11 +79,12 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
 
     A bounded quantile sketch of the points gives bins of about equal depth, and their counts cut each bin into
     cells of equal width.  A point goes to its cell, an interval to each cell it touches; cells are joined by
-    equality and every pair is checked on the values themselves.  Where an interval touches many cells, most of them
-    are full of its own results, so its copies follow the size of the result.  A cell that holds many points, such as
+    equality and every pair is checked on the values themselves.  Where the intervals that begin in a bin hold many points,
+    its cells are wider, so that an interval of mean length covers ``CELLS_EACH`` of them and has few copies; the points checked in
+    vain in its end cells are then no more than a share of the result.  A cell that holds many points, such as
     one value that fills a third of the table, is split into parts that each meet the cell's intervals.
 
-    Points are pinned by a checkpoint, so a part never changes when a task is run again.  Both sides must be of
+    Points that are no mere scan are pinned by a checkpoint, so a part never changes when a task is run again.  Both sides must be of
     one ordered type family (numbers, dates or timestamps).  With ``open_end`` the end is left out.  NULL in a point
     or a bound and bounds in wrong order meet nothing; NaN is greater than any number; repeated rows give repeated
     pairs; an empty side gives an empty table.  Columns of equal name on both sides are an error.
@@ -83,25 +94,30 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
     if twice:
         raise ValueError(f"columns on both sides: {sorted(twice)}")
     ensure_checkpoint_dir(spark)
-    kept = points.where(bare(point).isNotNull()).withColumns({"_x": _order(points, point), "_at": F.monotonically_increasing_id()}).checkpoint()
+    kept = points.where(bare(point).isNotNull()).withColumns({"_x": _order(points, point), "_at": F.monotonically_increasing_id()})
+    kept = kept if is_scan(kept) else kept.checkpoint()
     total = kept.count()
     bins = max(1, min(MOST_BINS, total // BIN_POINTS))
     cuts = sorted({c for c in kept.approxQuantile("_x", [i / bins for i in range(1, bins)], 0.25 / bins) if math.isfinite(c)}) if bins > 1 else []
-    cells = _cells(_binned(kept, cuts, "_x", "_bin"), cuts)
-    left = _placed(kept, cuts, cells, "_x", "_cell")
-    # fewer than one row per PART_POINTS points
-    full = left.groupBy("_cell").count().where(F.col("count") > PART_POINTS)
-    full = full.select(F.col("_cell").alias("_full"), F.ceil(F.col("count") / PART_POINTS).alias("_parts"))
-    parts = F.coalesce("_parts", F.lit(1).cast("long"))
-    left = left.join(full, F.col("_cell") == F.col("_full"), "left").withColumn("_part", F.pmod("_at", parts)).drop("_full", "_parts", "_at")
-
     right = intervals.where(bare(start) <= bare(stop)).withColumns({"_lo": _order(intervals, start), "_hi": _order(intervals, stop)})
+    cells = _cells(_binned(kept, cuts, "_x", "_bin"), cuts, _lengths(right, cuts))
+    left = _placed(kept, cuts, cells, "_x", "_cell")
     right = _placed(_placed(right, cuts, cells, "_lo", "_first"), cuts, cells, "_hi", "_last")
     right = right.withColumn("_touched", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
-    right = right.join(full, F.col("_touched") == F.col("_full"), "left")
-    right = right.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    # fewer than one row per PART_POINTS points
+    counted = left.groupBy("_cell").count().where(F.col("count") > PART_POINTS)
+    found = [tuple(r) for r in counted.select("_cell", F.ceil(F.col("count") / PART_POINTS)).collect()]
+    same = F.col("_cell") == F.col("_touched")
+    if found:
+        full = F.broadcast(spark.createDataFrame(found, "_full long, _parts long"))
+        parts = F.coalesce("_parts", F.lit(1).cast("long"))
+        left = left.join(full, F.col("_cell") == F.col("_full"), "left").withColumn("_part", F.pmod("_at", parts)).drop("_full", "_parts")
+        right = right.join(full, F.col("_touched") == F.col("_full"), "left")
+        right = right.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_full", "_parts")
+        same = same & (F.col("_part") == F.col("_share"))
     inside = (bare(point) >= bare(start)) & (bare(point) < bare(stop) if open_end else bare(point) <= bare(stop))
-    met = left.join(right.drop("_full", "_parts"), (F.col("_cell") == F.col("_touched")) & (F.col("_part") == F.col("_share")) & inside)
+    # a merge streams the points in their order, whatever side is small
+    met = left.drop("_at").join(right.hint("merge"), same & inside)
     return met.select(*(bare(c) for c in (*points.columns, *intervals.columns)))
 
 

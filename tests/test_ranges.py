@@ -98,3 +98,26 @@ def test_counts_without_rows_or_with_taken_names(spark):
     assert ranges.range_counts(some, spans.limit(0), "x", "lo", "hi").count() == 0
     with pytest.raises(ValueError, match="taken"):
         ranges.range_counts(some, spans.withColumn("N", spans.lo), "x", "lo", "hi")
+
+
+def test_long_intervals_have_few_copies(spark, tmp_path, monkeypatch):
+    """Intervals that hold 2,000 points each: a copy per 10 points would be 200 of each."""
+    monkeypatch.setattr(ranges, "CELL_POINTS", 10)
+    monkeypatch.setattr(ranges, "BIN_POINTS", 20_000)
+    spark.range(20_000).selectExpr("id as x").write.parquet(str(tmp_path / "p"))
+    left = spark.read.parquet(str(tmp_path / "p"))
+    right = spark.range(50).selectExpr("id as j", "id * 300 as lo", "id * 300 + 1999 as hi")
+    bounds = right.selectExpr("cast(lo as double) _lo", "cast(hi as double) _hi")
+    dealt = ranges._binned(left.selectExpr("cast(x as double) _x"), [], "_x", "_bin")
+    cells = ranges._cells(dealt, [], ranges._lengths(bounds, []))
+    assert cells.agg(F.max("_many")).first()[0] == 20_000 * ranges.CELLS_EACH // 2_000
+    pairs = ranges.range_join(left, right, "x", "lo", "hi")
+    assert pairs.count() == 50 * 2_000 and pairs.where("x < lo or x > hi").count() == 0
+    assert ranges.is_scan(left) and "checkpoint" not in "".join(pairs.inputFiles())
+
+
+def test_a_full_cell_is_split(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "PART_POINTS", 7)
+    left = spark.range(100).selectExpr("id as i", "id % 3 as x")
+    right = spark.createDataFrame([(1, 1), (0, 2)], "lo int, hi int")
+    assert sorted(map(tuple, ranges.range_join(left, right, "x", "lo", "hi").groupBy("lo").count().collect())) == [(0, 100), (1, 33)]
