@@ -318,3 +318,11 @@ def test_keys_that_share_an_entry_of_the_state(spark, monkeypatch):
     assert told[0][1]["held"] < 4
     closed = {("a", "a", False), ("b", "b", False), (None, "none", False), ("b", "late", True), ("c", "first", False)}
     assert {(r.k, r.s, r.late) for r in told[1][0]} == {*closed, ("a", "again", False)}
+
+
+def test_each_bag_of_few_cells_holds_all_of_them(spark):
+    """A value that is in one cell alone must not be missing from a third of the trees."""
+    df = spark.range(6_000).selectExpr("cast(id % 25 as double) as grade", "timestamp_seconds(id) as at", "(id % 25 * 37 % 101) * 1.5 as fee")
+    forest = model.train_forest(df, "fee", trees=10, depth=20)
+    assert forest.counted
+    assert forest.score(df).where("abs(fee - fee_prediction) > 1e-6").count() == 0
